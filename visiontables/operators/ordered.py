@@ -129,7 +129,7 @@ def interpolate_on_grid(knots: DataFrame, keys: Sequence[str], x: Column, y: Col
     k = k.withColumn("_g", F.least(F.greatest(cell, F.lit(0)), F.lit(steps)))
     per_cell = k.groupBy(*keys, "_g").agg(
         F.max_by(F.struct("_x", "_y"), F.struct("_x", "_tie")).alias("_last"),
-        F.min_by(F.struct("_x", "_y"), F.struct(F.col("_x"), -F.col("_tie"))).alias("_first"))
+        F.min_by(F.struct("_x", "_y"), F.struct("_x", "_tie")).alias("_first"))
     grid = per_cell.select(*keys).distinct().withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     w_before = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
     w_after = Window.partitionBy(*keys).orderBy("_g").rowsBetween(1, Window.unboundedFollowing)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["boxes"]
+MODULES = ["boxes", "matching", "evaluation"]
 
 
 def load_all() -> None:
