@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from visiontables.operators.match import confusion_conf
 from visiontables.operators.ordered import interpolate_on_grid, running
+from visiontables.operators.stages import materialize
 
 BUCKETS = 4096
 EPS = 1e-16
@@ -51,7 +52,7 @@ def pr_points(env: DataFrame, steps: int = 101) -> DataFrame:
         "cls", "thr", F.col("k.recall").alias("r"), F.col("k.env").alias("p"), "rank")
     ends = F.array(F.struct(F.lit(0.0).alias("r"), F.lit(1.0).alias("p"), F.lit(0).cast("bigint").alias("rank")),
                    F.struct(F.lit(1.0).alias("r"), F.lit(0.0).alias("p"), F.lit(2 ** 62).alias("rank")))
-    guards = knots.select("cls", "thr").distinct().select("cls", "thr", F.explode(ends).alias("e")).select("cls", "thr", "e.*")
+    guards = knots.where("rank = 1").select("cls", "thr", F.explode(ends).alias("e")).select("cls", "thr", "e.*")
     return interpolate_on_grid(knots.unionByName(guards), ["cls", "thr"], F.col("r"), F.col("p"), F.col("rank"), steps)
 
 
@@ -72,13 +73,17 @@ def confidence_curves(pr: DataFrame, steps: int = 1000, thr: int = 0) -> DataFra
     last = steps - 1
     x = 1 - F.col("conf")
 
-    def read(name, left):
-        g = interpolate_on_grid(pr, ["cls"], x, F.col(name)[thr], F.col("rank"), steps, left=left, out=name)
-        return g.select("cls", (F.lit(last) - F.col("g")).alias("i"), name)
-
-    both = read("precision", 1.0).join(read("recall", 0.0), ["cls", "i"])
-    p, r = F.col("precision"), F.col("recall")
-    return both.select("cls", "i", (F.col("i") / last).alias("px"), p.alias("p"), r.alias("r"), (2 * p * r / (p + r + EPS)).alias("f1"))
+    both = F.struct(F.col("precision")[thr].alias("p"), F.col("recall")[thr].alias("r"))
+    knots = pr.select("cls", "rank", x.alias("x"), F.explode(F.array(
+        F.struct(F.lit("p").alias("kind"), both["p"].alias("y")), F.struct(F.lit("r").alias("kind"), both["r"].alias("y")))).alias("v"))
+    grid = interpolate_on_grid(knots.select("cls", "rank", "x", "v.kind", "v.y"), ["cls", "kind"], F.col("x"), F.col("y"), F.col("rank"),
+                               steps, left=float("nan"))
+    # above the highest confidence precision reads 1 and recall 0
+    value = F.when(F.isnan("y"), F.when(F.col("kind") == "p", F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(F.col("y"))
+    wide = grid.groupBy("cls", (F.lit(last) - F.col("g")).alias("i")).agg(
+        F.max(F.when(F.col("kind") == "p", value)).alias("p"), F.max(F.when(F.col("kind") == "r", value)).alias("r"))
+    p, r = F.col("p"), F.col("r")
+    return wide.select("cls", "i", (F.col("i") / last).alias("px"), "p", "r", (2 * p * r / (p + r + EPS)).alias("f1"))
 
 
 def box_smooth(curve: DataFrame, value: str, fraction: float = 0.1, n: int = 1000) -> DataFrame:
@@ -107,7 +112,7 @@ def best_f1(curves: DataFrame, totals: DataFrame, n: int = 1000) -> DataFrame:
 
 def ap_per_class(tp_table: DataFrame, totals: DataFrame) -> DataFrame:
     """Per class AP at ten thresholds and the best-F1 point; classes without detections score 0."""
-    pr = precision_recall(tp_table, totals)
+    pr = materialize(precision_recall(materialize(tp_table, "hits"), totals), "curve")
     ap = average_precision(precision_envelope(pr)).groupBy("cls").agg(
         F.max(F.when(F.col("thr") == 0, F.col("ap"))).alias("ap50"), F.max(F.when(F.col("thr") == 5, F.col("ap"))).alias("ap75"),
         F.avg("ap").alias("ap"))

@@ -130,13 +130,21 @@ def interpolate_on_grid(knots: DataFrame, keys: Sequence[str], x: Column, y: Col
     per_cell = k.groupBy(*keys, "_g").agg(
         F.max_by(F.struct("_x", "_y"), F.struct("_x", "_tie")).alias("_last"),
         F.min_by(F.struct("_x", "_y"), F.struct("_x", "_tie")).alias("_first"))
-    grid = per_cell.select(*keys).distinct().withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-    w_before = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
-    w_after = Window.partitionBy(*keys).orderBy("_g").rowsBetween(1, Window.unboundedFollowing)
-    filled = grid.join(per_cell, [*keys, "_g"], "left").select(
-        *keys, "_g", F.last("_last", True).over(w_before).alias("_a"), F.first("_first", True).over(w_after).alias("_b"))
+    w = Window.partitionBy(*keys).orderBy("_g")
+    lead_g, lead_first = F.lead("_g").over(w), F.lead("_first").over(w)
+    # each filled cell serves the grid points up to the next one; the first also those before it
+    spans = per_cell.select(
+        *keys, F.col("_g").alias("_lo"), (F.coalesce(lead_g, F.lit(steps)) - 1).alias("_hi"), F.col("_last").alias("_a"),
+        lead_first.alias("_b"), F.when(F.lag("_g").over(w).isNull() & (F.col("_g") > 0), F.col("_first")).alias("_head"))
+    none = F.lit(None).cast(spans.schema["_a"].dataType)
+    body = F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_a").alias("a"), F.col("_b").alias("b"))
+    head = F.when(F.col("_head").isNotNull(), F.struct(
+        F.lit(0).alias("lo"), (F.col("_lo") - 1).alias("hi"), none.alias("a"), F.col("_head").alias("b")))
+    pieces = F.filter(F.array(body, head), lambda s: s.isNotNull() & (s["lo"] <= s["hi"]))
+    filled = (spans.select(*keys, F.explode(pieces).alias("_s"))
+              .select(*keys, "_s.a", "_s.b", F.explode(F.sequence(F.col("_s.lo"), F.col("_s.hi"))).alias("_g")))
     gx = F.col("_g").cast("double") / n
-    a, b = F.col("_a"), F.col("_b")
+    a, b = F.col("a"), F.col("b")
     low = F.lit(left).cast("double") if left is not None else b["_y"]
     value = (F.when(a.isNull(), low).when(b.isNull() | (a["_x"] == gx), a["_y"])
              .otherwise(a["_y"] + (b["_y"] - a["_y"]) / (b["_x"] - a["_x"]) * (gx - a["_x"])))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from visiontables.operators import evaluate as E
 from visiontables.operators import match as M
 from visiontables.operators import runs as RU
+from visiontables.operators.stages import materialize
 from visiontables.plans import fixtures as fx
 from visiontables.plans.boxes_queries import r
 from visiontables.plans.matching_queries import CONF_SQL, MATCH_SQL
@@ -17,7 +18,11 @@ NAMES = ["alpha", "Beta", "beta", "gam ma", "delta", "background"]
 
 def tp_table(spark, sf):
     d, g = fx.detections(spark, sf), fx.ground_truth(spark, sf)
-    return M.true_positive_table(d, M.match_for_ap(M.match_candidates(d, g)))
+    return materialize(M.true_positive_table(d, M.match_for_ap(M.match_candidates(d, g))), "hits")
+
+
+def pr_table(spark, sf):
+    return materialize(E.precision_recall(tp_table(spark, sf), totals(spark, sf)), "curve")
 
 
 def totals(spark, sf):
@@ -101,7 +106,7 @@ e AS (SELECT *, max(precision) OVER (PARTITION BY cls, thr ORDER BY rank ROWS BE
 
 @query("agg10_precision_recall_curve", "WITH " + PR_SQL + " SELECT cls, det_id, rank, CAST(tpc AS BIGINT) AS tpc, round(precision,6) AS precision, round(recall,6) AS recall, round(env,6) AS env FROM e WHERE thr=0")
 def agg10(spark, sf):
-    env = E.precision_envelope(E.precision_recall(tp_table(spark, sf), totals(spark, sf)))
+    env = E.precision_envelope(pr_table(spark, sf))
     return env.select("cls", "det_id", "rank", F.col("tpc")[0].alias("tpc"), r(F.col("precision")[0], "precision"), r(F.col("recall")[0], "recall"), r(F.col("env")[0], "env"))
 
 
@@ -115,7 +120,7 @@ ap AS (SELECT cls, thr, sum(y*CASE WHEN g IN (0,100) THEN 0.005::DOUBLE ELSE 0.0
 
 
 def envelope(spark, sf):
-    return E.precision_envelope(E.precision_recall(tp_table(spark, sf), totals(spark, sf)))
+    return E.precision_envelope(pr_table(spark, sf))
 
 
 @query("agg11_average_precision", "WITH " + AP_SQL + " SELECT cls, thr, round(ap,6) AS ap FROM ap")
@@ -137,19 +142,20 @@ cv AS (SELECT cls, g AS i, gx AS px, CASE WHEN lx IS NULL THEN 1 WHEN rx IS NULL
 cf AS (SELECT *, 2*p*r/(p+r+1e-16) AS f1 FROM cv), mn AS (SELECT i, sum(f1)/(SELECT count(*) FROM n) AS m FROM cf GROUP BY i),
 sm AS (SELECT a.i, (SELECT sum(coalesce(b.m, 0)) FROM range(-50,51) o(o) JOIN mn b ON b.i=greatest(0,least(999,a.i+o.o)))/101 AS s FROM mn a),
 pk AS (SELECT arg_min(i, (-round(s,12), i)) AS i FROM sm),
-at AS (SELECT n.cls, n.n_l, n.n_images, coalesce(p,0) AS p, coalesce(r,0) AS r, coalesce(f1,0) AS f1 FROM n LEFT JOIN (SELECT * FROM cf WHERE i=(SELECT i FROM pk)) USING (cls)),
-pc AS (SELECT at.*, round_even(r*n_l,0) AS tp, round_even(round_even(r*n_l,0)/(p+1e-16)-round_even(r*n_l,0),0) AS fp, coalesce(ap50,0) AS ap50, coalesce(ap75,0) AS ap75, coalesce(apm,0) AS ap
- FROM at LEFT JOIN (SELECT cls, max(CASE WHEN thr=0 THEN ap END) AS ap50, max(CASE WHEN thr=5 THEN ap END) AS ap75, avg(ap) AS apm FROM ap GROUP BY cls) USING (cls))"""
+atp AS (SELECT n.cls, n.n_l, n.n_images, coalesce(p,0) AS p, coalesce(r,0) AS r, coalesce(f1,0) AS f1 FROM n LEFT JOIN (SELECT * FROM cf WHERE i=(SELECT i FROM pk)) USING (cls)),
+pc AS (SELECT atp.*, round_even(r*n_l,0) AS tp, round_even(round_even(r*n_l,0)/(p+1e-16)-round_even(r*n_l,0),0) AS fp, coalesce(ap50,0) AS ap50, coalesce(ap75,0) AS ap75, coalesce(apm,0) AS ap
+ FROM atp LEFT JOIN (SELECT cls, max(CASE WHEN thr=0 THEN ap END) AS ap50, max(CASE WHEN thr=5 THEN ap END) AS ap75, avg(ap) AS apm FROM ap GROUP BY cls) USING (cls))"""
 
 
 @query("agg13_confidence_curves", "WITH " + CURVE_SQL + " SELECT cls, i, round(px,6) AS px, round(p,5) AS p, round(r,5) AS r, round(f1,5) AS f1 FROM cf")
 def agg13_curves(spark, sf):
-    c = E.confidence_curves(E.precision_recall(tp_table(spark, sf), totals(spark, sf)))
+    c = E.confidence_curves(pr_table(spark, sf))
     return c.select("cls", F.col("i").cast("bigint").alias("i"), r(F.col("px"), "px"), r(F.col("p"), "p", 5), r(F.col("r"), "r", 5), r(F.col("f1"), "f1", 5))
 
 
 def per_class(spark, sf):
-    return E.ap_per_class(tp_table(spark, sf), totals(spark, sf))
+    d, g = fx.detections(spark, sf), fx.ground_truth(spark, sf)
+    return E.ap_per_class(M.true_positive_table(d, M.match_for_ap(M.match_candidates(d, g))), totals(spark, sf))
 
 
 @query("agg13_ap_per_class", "WITH " + CURVE_SQL + " SELECT cls, n_l, round(p,5) AS p, round(r,5) AS r, round(f1,5) AS f1, tp, fp, round(ap50,5) AS ap50, round(ap75,5) AS ap75, round(ap,5) AS ap FROM pc")
@@ -188,7 +194,7 @@ def agg17(spark, sf):
 
 @query("win08_box_smooth", "WITH " + CURVE_SQL + " SELECT i, round(s,5) AS smooth FROM sm")
 def win08(spark, sf):
-    c = E.confidence_curves(E.precision_recall(tp_table(spark, sf), totals(spark, sf)))
+    c = E.confidence_curves(pr_table(spark, sf))
     n = totals(spark, sf).agg(F.count("*").alias("nc"))
     mean = c.groupBy("i").agg(F.sum("f1").alias("s")).crossJoin(n).select("i", (F.col("s") / F.col("nc")).alias("m"))
     return E.box_smooth(mean, "m").select(F.col("i").cast("bigint").alias("i"), r(F.col("smooth"), "smooth", 5))
