@@ -30,9 +30,9 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coars
     )
     local = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
     return (
-        rows.withColumn("_rn", local).join(offsets, [*keys, "_b"])
-        .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
-        .drop("_b", "_rn", "_off")
+        rows.withColumn("_local", local).join(offsets, [*keys, "_b"])
+        .withColumn(out, (F.col("_local") + F.col("_off")).cast("bigint"))
+        .drop("_b", "_local", "_off")
     )
 
 

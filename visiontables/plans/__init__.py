@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["boxes", "matching", "evaluation"]
+MODULES = ["boxes", "matching", "evaluation", "tracks", "poses"]
 
 
 def load_all() -> None:

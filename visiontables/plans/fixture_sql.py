@@ -74,3 +74,23 @@ SELECT t.technique, a.angle, CASE WHEN (length(t.technique)+a.n)%3=0 THEN 'todo'
  concat('u', CAST(a.n AS VARCHAR), '|u', CAST(a.n%3 AS VARCHAR)) AS source_url_1,
  concat('u', CAST(a.n*2 AS VARCHAR)) AS source_url_2, n_events
 FROM (SELECT event_type AS technique, count(*) AS n_events FROM events GROUP BY event_type) t CROSS JOIN fx_angles a"""
+
+VIEWS["fx_norm"] = """
+SELECT seq_id, frame, label, kpts, list_transform(z, lambda p: CASE WHEN p IS NULL THEN NULL ELSE {'x': p.x/s, 'y': p.y/s} END) AS pts, c AS center, s AS scale
+FROM (SELECT *, CASE WHEN s2<1e-6 THEN 1 ELSE s2 END AS s FROM (SELECT *, CASE WHEN s1<1e-6 THEN coalesce(list_median(list_transform(list_filter(z, lambda p: p IS NOT NULL), lambda p: sqrt(p.x*p.x+p.y*p.y))),0) ELSE s1 END AS s2
+FROM (SELECT *, CASE WHEN s0<1e-6 THEN coalesce(sqrt(pow(m[12].x-m[13].x,2)+pow(m[12].y-m[13].y,2)),0) ELSE s0 END AS s1
+FROM (SELECT *, coalesce(sqrt(pow(m[6].x-m[7].x,2)+pow(m[6].y-m[7].y,2)),0) AS s0, list_transform(m, lambda p: CASE WHEN p IS NULL THEN NULL ELSE {'x': p.x-c.x, 'y': p.y-c.y} END) AS z
+FROM (SELECT *, CASE WHEN m[12] IS NOT NULL AND m[13] IS NOT NULL THEN {'x': (m[12].x+m[13].x)/2, 'y': (m[12].y+m[13].y)/2}
+ ELSE {'x': coalesce(list_avg(list_transform(list_filter(m, lambda p: p IS NOT NULL), lambda p: p.x)),0), 'y': coalesce(list_avg(list_transform(list_filter(m, lambda p: p IS NOT NULL), lambda p: p.y)),0)} END AS c
+FROM (SELECT seq_id, frame, label, kpts, list_transform(kpts, lambda p: CASE WHEN p.c<0.2 THEN NULL ELSE {'x': p.x, 'y': p.y} END) AS m FROM fx_poses))))))"""
+
+VIEWS["fx_seq"] = """
+SELECT seq_id, arg_min(label, frame) AS technique, list(pts ORDER BY frame) AS frames, list(kpts ORDER BY frame) AS raw, count(*) AS n FROM fx_norm GROUP BY seq_id"""
+
+VIEWS["fx_filled"] = """
+WITH r AS (SELECT seq_id, frame, j, pts[j].x AS x, pts[j].y AS y FROM fx_norm CROSS JOIN range(1,18) q(j)),
+w AS (SELECT *, last_value(x IGNORE NULLS) OVER a AS px, last_value(y IGNORE NULLS) OVER a AS py, last_value(CASE WHEN x IS NOT NULL THEN frame END IGNORE NULLS) OVER a AS pf,
+ first_value(x IGNORE NULLS) OVER b AS nx, first_value(y IGNORE NULLS) OVER b AS ny, first_value(CASE WHEN x IS NOT NULL THEN frame END IGNORE NULLS) OVER b AS nf FROM r
+ WINDOW a AS (PARTITION BY seq_id, j ORDER BY frame ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY seq_id, j ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT seq_id, frame, j, CASE WHEN x IS NOT NULL THEN x WHEN px IS NULL AND nx IS NULL THEN 0 WHEN px IS NULL THEN nx WHEN nx IS NULL THEN px ELSE px+(nx-px)*(frame-pf)/(nf-pf) END AS x,
+ CASE WHEN y IS NOT NULL THEN y WHEN py IS NULL AND ny IS NULL THEN 0 WHEN py IS NULL THEN ny WHEN ny IS NULL THEN py ELSE py+(ny-py)*(frame-pf)/(nf-pf) END AS y FROM w"""
