@@ -155,11 +155,22 @@ def family(technique: Column) -> Column:
 
 def family_angles(frames: Column, technique: Column) -> Column:
     """Mean angles of the joints that matter for the technique, four per sequence."""
-    def of(triples):
-        return F.array(*[mean_angle(frames, t) for t in triples])
+    def listed(triples):
+        return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", t)]) for t in triples])
 
     f = family(technique)
-    return F.when(f == "punch", of(PUNCH_TRIPLES)).when(f == "kick", of(KICK_TRIPLES)).otherwise(of(OTHER_TRIPLES))
+    triples = F.when(f == "punch", listed(PUNCH_TRIPLES)).when(f == "kick", listed(KICK_TRIPLES)).otherwise(listed(OTHER_TRIPLES))
+
+    def mean(t):
+        def angle(frame):
+            def of(p):
+                return joint_angle(p["a"]["x"], p["a"]["y"], p["b"]["x"], p["b"]["y"], p["c"]["x"], p["c"]["y"])
+
+            return let(F.struct(*[F.get(frame, t[n]).alias(n) for n in "abc"]), of)
+
+        return let(F.filter(F.transform(frames, angle), lambda v: v.isNotNull()), _mean)
+
+    return F.transform(triples, mean)
 
 
 def angle_error(a: Column, b: Column) -> Column:
@@ -243,20 +254,23 @@ def feedback(technique: Column, last: Column, score: Column) -> Column:
     def at(i, axis="y"):
         return F.get(last, F.lit(i))[axis]
 
-    le, re = triple_angle(last, PUNCH_TRIPLES[0]), triple_angle(last, PUNCH_TRIPLES[1])
-    right = re > le
-    wrist, shoulder = F.when(right, at(L_WRIST)).otherwise(at(R_WRIST)), F.when(right, at(L_SHOULDER)).otherwise(at(R_SHOULDER))
-    lk, rk = triple_angle(last, KICK_TRIPLES[0]), triple_angle(last, KICK_TRIPLES[1])
     f = family(technique)
-    arms, legs = (f == "punch") & le.isNotNull() & re.isNotNull(), (f == "kick") & lk.isNotNull() & rk.isNotNull()
-    msgs = F.array(
-        F.when(arms & (F.greatest(le, re) < 150), "Extend your punching arm more").otherwise(none),
-        F.when(arms & (wrist > shoulder + 0.15), "Keep your guard hand higher").otherwise(none),
-        F.when(legs & (F.greatest(lk, rk) < 155), "Extend the kicking leg more").otherwise(none),
-        F.when(legs & (F.least(lk, rk) < 145), "Stabilize and straighten your support leg").otherwise(none),
-        F.when(score < 60, "Slow down and focus on form").otherwise(none))
-    kept = F.filter(msgs, lambda m: m.isNotNull())
-    return F.when(F.size(kept) == 0, F.array(F.lit("Good form"))).otherwise(F.slice(kept, 1, 2))
+    angles = F.struct(*[triple_angle(last, t).alias(n) for n, t in zip(("le", "re", "lk", "rk"), PUNCH_TRIPLES[:2] + KICK_TRIPLES[:2])])
+
+    def notes(g):
+        le, re, lk, rk = (g[n] for n in ("le", "re", "lk", "rk"))
+        right = re > le
+        wrist, shoulder = F.when(right, at(L_WRIST)).otherwise(at(R_WRIST)), F.when(right, at(L_SHOULDER)).otherwise(at(R_SHOULDER))
+        arms, legs = (f == "punch") & le.isNotNull() & re.isNotNull(), (f == "kick") & lk.isNotNull() & rk.isNotNull()
+        return F.array(
+            F.when(arms & (F.greatest(le, re) < 150), "Extend your punching arm more").otherwise(none),
+            F.when(arms & (wrist > shoulder + 0.15), "Keep your guard hand higher").otherwise(none),
+            F.when(legs & (F.greatest(lk, rk) < 155), "Extend the kicking leg more").otherwise(none),
+            F.when(legs & (F.least(lk, rk) < 145), "Stabilize and straighten your support leg").otherwise(none),
+            F.when(score < 60, "Slow down and focus on form").otherwise(none))
+
+    kept = F.filter(let(angles, notes), lambda m: m.isNotNull())
+    return let(kept, lambda k: F.when(F.size(k) == 0, F.array(F.lit("Good form"))).otherwise(F.slice(k, 1, 2)))
 
 
 def flat(frames: Column) -> Column:

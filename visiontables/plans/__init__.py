@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["boxes", "matching", "evaluation", "tracks", "poses"]
+MODULES = ["boxes", "matching", "evaluation", "tracks", "poses", "catalog"]
 
 
 def load_all() -> None:
