@@ -122,3 +122,12 @@ def planar_hull(points) -> list[tuple[float, float]]:
         return out[:-1]
 
     return sweep(pts) + sweep(pts[::-1])
+
+
+def top_classes(df: DataFrame, scores: str, keys: Sequence[str], k: int = 5, softmax: bool = True) -> DataFrame:
+    """The k best classes of each row with their (softmax) score, ties to the lower class."""
+    ranked = F.slice(F.array_sort(F.transform(scores, lambda v, i: F.struct((-v.cast("double")).alias("n"), i.alias("cls")))), 1, k)
+    total = F.aggregate(scores, F.lit(0.0), lambda acc, v: acc + F.exp(v.cast("double")))
+    d = df.select(*keys, total.alias("_t"), F.posexplode(ranked).alias("rank", "_r"))
+    value = F.exp(-F.col("_r.n")) / F.col("_t") if softmax else -F.col("_r.n")
+    return d.select(*keys, "rank", F.col("_r.cls").alias("cls"), value.alias("p"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["boxes", "matching", "evaluation", "tracks", "poses", "catalog"]
+MODULES = ["boxes", "matching", "evaluation", "tracks", "poses", "catalog", "annotations", "search"]
 
 
 def load_all() -> None:
