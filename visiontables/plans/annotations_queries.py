@@ -51,12 +51,12 @@ def cnv01(spark, sf):
     return rounded_labels(CV.from_coco(twice), "image_id", "ann_id")
 
 
-@query("cnv02_dota_labels", f"""SELECT image_id, gt_id AS line, cls, round(x1/640,6) AS x1, round(y1/480,6) AS y1, round(x2/640,6) AS x2, round(y1/480,6) AS y2, round(x2/640,6) AS x3, round(y2/480,6) AS y3, round(x1/640,6) AS x4, round(y2/480,6) AS y4 FROM fx_ground_truth""")
+@query("cnv02_dota_labels", f"""SELECT image_id, gt_id AS line, cls, round(x1/640,9) AS x1, round(y1/480,9) AS y1, round(x2/640,9) AS x2, round(y1/480,9) AS y2, round(x2/640,9) AS x3, round(y2/480,9) AS y3, round(x1/640,9) AS x4, round(y2/480,9) AS y4 FROM fx_ground_truth""")
 def cnv02(spark, sf):
     d = sized(spark, sf).select("image_id", F.col("gt_id").alias("line"), name_of(F.col("cls")).alias("class_name"), "img_w", "img_h", "x1", "y1", "x2",
                                 F.col("y1").alias("y2"), F.col("x2").alias("x3"), F.col("y2").alias("y3"), F.col("x1").alias("x4"), F.col("y2").alias("y4"))
     out = CV.from_dota(d, {n: i for i, n in enumerate(NAMES)})
-    return out.select("image_id", "line", "cls", *[r(F.col(f"{a}{i}"), f"{a}{i}") for i in range(1, 5) for a in "xy"])
+    return out.select("image_id", "line", "cls", *[r(F.col(f"{a}{i}"), f"{a}{i}", 9) for i in range(1, 5) for a in "xy"])
 
 
 @query("cnv03_sku_labels", f"SELECT image_id, gt_id, 0 AS cls, {CENTER} FROM fx_ground_truth")
