@@ -248,3 +248,46 @@ def tracker_cost(tracks: DataFrame, dets: DataFrame, on: Sequence[str] = ("image
     looks = F.greatest(F.lit(0.0), 1 - cosine(F.col("a_feat"), F.col("b_feat"))) / 2
     gated = F.when((looks > 1 - appearance) | (F.col("iou_cost") > 1 - proximity), F.lit(1.0)).otherwise(looks)
     return pairs.withColumn("looks_cost", gated).withColumn("cost", F.least("fused_cost", "looks_cost"))
+
+
+# --- candidates of the other tasks -------------------------------------------------------------------------------
+
+def _reach_pairs(dets: DataFrame, gts: DataFrame, det_reach: B.Box, gt_reach: B.Box) -> DataFrame:
+    names = ("x1", "y1", "x2", "y2")
+    a = dets.select(*[c for c in dets.columns if c not in names], *det_reach.named(*names))
+    b = gts.select(*[c for c in gts.columns if c not in names], *gt_reach.named(*names))
+    return overlap_pairs(a, b, ("image_id", "cls"))
+
+
+def _candidates(pairs: DataFrame, overlap: Column, least: float) -> DataFrame:
+    p = pairs.select(F.col("a_det_id").alias("det_id"), F.col("b_gt_id").alias("gt_id"), overlap.alias("overlap"), F.col("a_conf").alias("conf"))
+    return _best(p.where(F.col("overlap") >= least), "det_id", "gt_id", ["conf"])
+
+
+def oriented_candidates(dets: DataFrame, gts: DataFrame, least: float = THRESHOLDS[0]) -> DataFrame:
+    """As ``match_candidates`` for oriented boxes; squares bound how far apart boxes of that overlap can be."""
+    k = math.sqrt(-4 * math.log(1 - (1 - least) ** 2) / 12) + 1e-3
+    r = F.greatest("w", "h") * k + 1e-3
+    reach = B.Box(F.col("cx") - r, F.col("cy") - r, F.col("cx") + r, F.col("cy") + r)
+    return _candidates(_reach_pairs(dets, gts, reach, reach), B.probiou(B.obb("b_"), B.obb("a_")), least)
+
+
+def pose_candidates(dets: DataFrame, gts: DataFrame, least: float = THRESHOLDS[0], sigmas: list[float] | None = None) -> DataFrame:
+    """As ``match_candidates`` by keypoint similarity (column kpts on both sides, area from the truth box).
+
+    Similarity t needs one joint nearer than sqrt(-8 ln t) * sigma * sqrt(area), so the joints' extents, widened by
+    that much, must meet.
+    """
+    from visiontables.functions import geometry as G
+    from visiontables.functions import pose as P
+    g = gts.withColumn("area", B.area(B.box()) * 0.53)
+    far = math.sqrt(-8 * math.log(least)) * max(sigmas or P.OKS_SIGMAS) + 1e-3
+    span = lambda grow: B.Box(*[e + s * grow for e, s in zip([G.points_box(F.col("kpts"))[n] for n in ("x1", "y1", "x2", "y2")], (-1, -1, 1, 1))])
+    pairs = _reach_pairs(dets, g, span(F.lit(0.5)), span(F.sqrt("area") * far + 0.5))
+    return _candidates(pairs, P.oks(F.col("b_kpts"), F.col("a_kpts"), F.col("b_area"), sigmas), least)
+
+
+def mask_candidates(ious: DataFrame, dets: DataFrame, least: float = THRESHOLDS[0]) -> DataFrame:
+    """As ``match_candidates`` from mask IoUs (det_id, gt_id, iou)."""
+    p = ious.where(F.col("iou") >= least).join(dets.select("det_id", "conf"), "det_id")
+    return _best(p.select("det_id", "gt_id", F.col("iou").alias("overlap"), "conf"), "det_id", "gt_id", ["conf"])

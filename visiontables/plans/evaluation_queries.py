@@ -269,3 +269,68 @@ def set06(spark, sf):
     m = fx.run_metrics(spark, sf).select("run_id", "score", "track_id")
     parts = {"first": m.where("track_id%2=0").drop("track_id"), "second": m.where("track_id%2=1").drop("track_id")}
     return RU.union_runs(parts)
+
+
+# --- other tasks: the same chain over other overlaps -------------------------------------------------------------
+
+def task_sql(candidates: str) -> str:
+    """Per-class AP over another candidate list named c(det_id, conf, cls, gt_id, ov)."""
+    return "WITH " + candidates + AP_SQL[AP_SQL.index("\nb AS ("):] + " SELECT cls, round(max(CASE WHEN thr=0 THEN ap END),5) AS ap50, round(avg(ap),5) AS ap FROM ap GROUP BY 1"
+
+
+def task_ap(candidates, dets, spark, sf):
+    hits = materialize(M.true_positive_table(dets, M.match_for_ap(candidates)), "hits")
+    env = E.precision_envelope(materialize(E.precision_recall(hits, totals(spark, sf)), "curve"))
+    ap = E.average_precision(env)
+    return ap.groupBy("cls").agg(r(F.max(F.when(F.col("thr") == 0, F.col("ap"))), "ap50", 5), r(F.avg("ap"), "ap", 5))
+
+
+OBB_GT = "SELECT gt_id, image_id, cls, (x1+x2)/2 AS cx, (y1+y2)/2 AS cy, x2-x1 AS w, y2-y1 AS h, CAST((2*gt_id)%628 AS DOUBLE)/100-1.5 AS theta FROM fx_ground_truth"
+COV = "w*w/12*cos(theta)*cos(theta)+h*h/12*sin(theta)*sin(theta) AS a, w*w/12*sin(theta)*sin(theta)+h*h/12*cos(theta)*cos(theta) AS b, (w*w/12-h*h/12)*cos(theta)*sin(theta) AS c"
+
+
+@query("agg16_oriented_ap", task_sql(f"""dd AS (SELECT *, {COV} FROM fx_obb), gg AS (SELECT *, {COV} FROM ({OBB_GT})),
+pp AS (SELECT x.det_id, x.conf, x.cls, y.gt_id, x.cx-y.cx AS dx, x.cy-y.cy AS dy, x.a+y.a AS a, x.b+y.b AS b, x.c+y.c AS c, sqrt(greatest(x.a*x.b-x.c*x.c,0)*greatest(y.a*y.b-y.c*y.c,0)) AS g FROM dd x JOIN gg y USING (image_id, cls)),
+qq AS (SELECT *, a*b-c*c AS det FROM pp),
+c AS (SELECT det_id, conf, cls, gt_id, 1-sqrt(1-exp(-least(greatest((a*dy*dy+b*dx*dx)/(det+1e-7)*0.25-(c*dx*dy)/(det+1e-7)*0.5+ln(det/(4*g+1e-7)+1e-7)*0.5,1e-7),100))+1e-7) AS ov FROM qq),"""))
+def agg16_obb(spark, sf):
+    g = fx.ground_truth(spark, sf).selectExpr("gt_id", "image_id", "cls", "(x1+x2)/2 AS cx", "(y1+y2)/2 AS cy", "x2-x1 AS w", "y2-y1 AS h",
+                                              "CAST((2*gt_id)%628 AS DOUBLE)/100-CAST(1.5 AS DOUBLE) AS theta")
+    d = fx.obb(spark, sf)
+    return task_ap(M.oriented_candidates(d, g), d, spark, sf)
+
+
+JOINTS_SQL = "list_transform(range(0,17), lambda j: {{'x': x1+(x2-x1)*((j*7)%17)/17, 'y': y1+(y2-y1)*((j*5)%17)/17, 'c': CASE WHEN ({key}+j)%4=0 THEN 0 ELSE 1 END}})"
+SIG = "[" + ",".join(str(v) for v in (26, 25, 25, 35, 35, 79, 79, 72, 72, 62, 62, 107, 107, 87, 87, 89, 89)) + "]"
+
+
+@query("agg16_pose_ap", task_sql(f"""dd AS (SELECT *, {JOINTS_SQL.format(key='det_id')} AS k FROM fx_detections), gg AS (SELECT *, {JOINTS_SQL.format(key='gt_id')} AS k, (x2-x1)*(y2-y1)*0.53::DOUBLE AS area FROM fx_ground_truth),
+c AS (SELECT d.det_id, d.conf, d.cls, g.gt_id, list_sum(list_transform(range(1,18), lambda j: CASE WHEN g.k[j].c<>0 THEN exp(-(pow(g.k[j].x-d.k[j].x,2)+pow(g.k[j].y-d.k[j].y,2))/(4*pow({SIG}[j]/1000,2)*(g.area+1e-7)*2)) ELSE 0 END))/(len(list_filter(g.k, lambda p: p.c<>0))+1e-7) AS ov
+ FROM dd d JOIN gg g USING (image_id, cls)),"""))
+def agg16_pose(spark, sf):
+    def joints(key):
+        return F.expr(f"transform(sequence(0,16), j -> named_struct('x', x1+(x2-x1)*((j*7)%17)/17, 'y', y1+(y2-y1)*((j*5)%17)/17, 'c', CASE WHEN ({key}+j)%4=0 THEN 0D ELSE 1D END))")
+
+    d = fx.detections(spark, sf)
+    return task_ap(M.pose_candidates(d.withColumn("kpts", joints("det_id")), fx.ground_truth(spark, sf).withColumn("kpts", joints("gt_id"))), d, spark, sf)
+
+
+def mask_sql(table, key):
+    return f"SELECT image_id, cls, {key}, y*640+CAST(greatest(0,x1) AS BIGINT) AS s, y*640+CAST(least(640,x2) AS BIGINT) AS e FROM (SELECT *, unnest(range(CAST(greatest(0,y1) AS BIGINT)//16, CAST(y2 AS BIGINT)//16)) AS y FROM {table})"
+
+
+@query("agg16_segment_ap", task_sql(f"""dd AS ({mask_sql('fx_detections', 'det_id')}), gg AS ({mask_sql('fx_ground_truth', 'gt_id')}),
+ii AS (SELECT det_id, gt_id, cls, sum(least(dd.e,gg.e)-greatest(dd.s,gg.s)) AS inter FROM dd JOIN gg USING (image_id, cls) WHERE least(dd.e,gg.e)>greatest(dd.s,gg.s) GROUP BY 1,2,3),
+aa AS (SELECT det_id, sum(e-s) AS aa FROM dd GROUP BY 1), ba AS (SELECT gt_id, sum(e-s) AS ba FROM gg GROUP BY 1),
+c AS (SELECT det_id, conf, ii.cls, gt_id, inter/(aa+ba-inter+1e-7) AS ov FROM ii JOIN aa USING (det_id) JOIN ba USING (gt_id) JOIN (SELECT det_id, conf FROM fx_detections) USING (det_id)),"""))
+def agg16_segment(spark, sf):
+    from visiontables.operators import tracks as T
+
+    def runs(d, key, out):
+        rows = d.withColumn("y", F.explode(F.expr("sequence(CAST(greatest(0D,y1) AS BIGINT) div 16, (CAST(y2 AS BIGINT) div 16)-1)")))
+        return rows.selectExpr("image_id", "cls", f"{key} AS {out}", "y*640+CAST(greatest(0D,x1) AS BIGINT) AS start", "y*640+CAST(least(640D,x2) AS BIGINT) AS stop")
+
+    d = fx.detections(spark, sf)
+    ious = T.mask_iou(runs(d, "det_id", "a_id"), runs(fx.ground_truth(spark, sf), "gt_id", "b_id"), ["image_id", "cls"])
+    c = M.mask_candidates(ious.select(F.col("a_id").alias("det_id"), F.col("b_id").alias("gt_id"), "iou"), d)
+    return task_ap(c, d, spark, sf)

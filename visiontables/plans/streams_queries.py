@@ -60,7 +60,7 @@ def folded(spark, sf, fold):
 
 
 @query("str05_crossing_counter", f"""WITH {MOVES}, p AS (SELECT *, lag(cx) OVER (PARTITION BY track_id ORDER BY frame) AS px FROM m)
-SELECT track_id, frame, CASE WHEN cx>px THEN 'IN' ELSE 'OUT' END AS direction FROM p WHERE least(px,cx)<=320 AND greatest(px,cx)>=320 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame)=1""")
+SELECT track_id, frame, CASE WHEN cx>px THEN 'IN' ELSE 'OUT' END AS direction FROM p WHERE px IS NOT NULL AND least(px,cx)<=320 AND greatest(px,cx)>=320 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame)=1""")
 def str05(spark, sf):
     return folded(spark, sf, folds.crossing(fx.LINE))
 
@@ -99,3 +99,27 @@ def str10_xywh(spark, sf):
 def str11(spark, sf):
     twice = events(spark, sf).select("event_id", "user_id", "ts", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
     return ST.run_available(ST.dedupe_events(twice, ["event_id"]).select("event_id", "user_id"))
+
+
+@query("str09_live_windows", """
+WITH s AS (SELECT seq_id AS track_id, frame AS at_frame, list({'f': frame, 'x': kpts[1].x}) OVER (PARTITION BY seq_id ORDER BY frame ROWS 3 PRECEDING) AS l FROM fx_poses),
+u AS (SELECT track_id, at_frame, unnest(range(4)) AS frame, unnest(l) AS p FROM s WHERE len(l)=4) SELECT track_id, at_frame, frame, round(p.x,6) AS nose_x FROM u""")
+def str09(spark, sf):
+    """Rolling pose windows of a stream of embeddings read as poses; scoring them is ``score_stream``."""
+    d = ST.source_stream(spark, sf, fx.table(spark, sf, "embeddings").schema, "embeddings*.parquet")
+    poses = d.selectExpr(
+        "CAST(floor(vec_id/10.0) AS BIGINT) AS track_id", "vec_id%10 AS frame",
+        "transform(sequence(0,16), j -> named_struct('x', CAST(embedding[3*j] AS DOUBLE), 'y', CAST(embedding[3*j+1] AS DOUBLE), 'c', CAST(abs(embedding[3*j+2])*8 AS DOUBLE))) AS kpts")
+    w = ST.run_available(ST.fold_stream(poses, ["track_id"], ["frame"], *folds.rolling_sequences(4)))
+    return w.select("track_id", "at_frame", "frame", r(w.kpts[0]["x"], "nose_x"))
+
+
+@query("str13_restart_per_video", """
+WITH m AS (SELECT user_id AS track_id, event_type AS video_id, event_id AS frame, CAST(abs((event_id*17+user_id*29)%1280-640) AS DOUBLE) AS cx FROM events),
+p AS (SELECT *, lag(cx) OVER (PARTITION BY video_id, track_id ORDER BY frame) AS px FROM m)
+SELECT track_id, frame, CASE WHEN cx>px THEN 'IN' ELSE 'OUT' END AS direction FROM p WHERE px IS NOT NULL AND least(px,cx)<=320 AND greatest(px,cx)>=320 QUALIFY row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame)=1""")
+def str13(spark, sf):
+    d = events(spark, sf).selectExpr("event_type AS video_id", "user_id AS track_id", "event_id AS frame", "CAST(abs((event_id*17+user_id*29)%1280-640) AS DOUBLE) AS cx",
+                                     "CAST(abs((event_id*11+user_id*53)%960-480) AS DOUBLE) AS cy")
+    step, schema = folds.crossing(fx.LINE)
+    return ST.run_available(ST.fold_stream(d, ["video_id", "track_id"], ["frame"], step, schema))
