@@ -29,7 +29,7 @@ def number_text(c: Column, digits: int = 6) -> Column:
 def label_lines(labels: DataFrame, numbers: Column | None = None, conf: str | None = None) -> DataFrame:
     """Label rows as text: class, then the box or the given numbers, then the confidence if asked for."""
     nums = numbers if numbers is not None else F.array("xc", "yc", "bw", "bh")
-    parts = F.concat(F.array(F.col("cls").cast("string")), F.transform(nums, number_text), *([F.array(number_text(F.col(conf)))] if conf else []))
+    parts = F.concat(F.array(F.col("cls").cast("string")), F.transform(nums, lambda v: number_text(v)), *([F.array(number_text(F.col(conf)))] if conf else []))
     return labels.select("image_id", F.array_join(parts, " ").alias("value"))
 
 
