@@ -9,6 +9,15 @@ def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     """Pairs (row, col) of the cheapest matching in which leaving a pair unmatched costs ``limit``."""
     if cost.size == 0:
         return []
+    # rows and columns without a pair below the limit stay unmatched whatever the rest does
+    rows, cols = np.flatnonzero((cost < limit).any(1)), np.flatnonzero((cost < limit).any(0))
+    if not len(rows):
+        return []
+    if len(rows) < cost.shape[0] or len(cols) < cost.shape[1]:
+        return [(int(rows[i]), int(cols[j])) for i, j in assign(cost[np.ix_(rows, cols)], limit)]
+    least = cost.argmin(1)
+    if len(np.unique(least)) == len(least):  # every row can have its cheapest column
+        return [(i, int(j)) for i, j in enumerate(least)]
     flipped = cost.shape[0] > cost.shape[1]
     c = np.minimum(np.asarray(cost.T if flipped else cost, dtype=float), limit)
     n, m = c.shape

@@ -144,19 +144,26 @@ def _spread(o: Obb):
     return a * c * c + b * s * s, a * s * s + b * c * c, (a - b) * c * s
 
 
-def probiou(p: Obb, q: Obb, ciou: bool = False, eps: float = EPS) -> Column:
-    """Overlap of two oriented boxes read as Gaussians (1 - Hellinger distance)."""
-    a1, b1, c1 = _spread(p)
-    a2, b2, c2 = _spread(q)
+def spread_columns(o: Obb, names=("_sa", "_sb", "_sc")) -> list[Column]:
+    """The Gaussian of an oriented box as columns, to be computed once before a join."""
+    return [c.alias(n) for c, n in zip(_spread(o), names)]
+
+
+def gaussian_overlap(dx: Column, dy: Column, p: tuple, q: tuple, eps: float = EPS) -> Column:
+    (a1, b1, c1), (a2, b2, c2) = p, q
     a, b, c = a1 + a2, b1 + b2, c1 + c2
     det = a * b - c * c
-    dx, dy = p.cx - q.cx, p.cy - q.cy
     mahalanobis = 0.25 * (a * dy * dy + b * dx * dx) / (det + eps) - 0.5 * (c * dx * dy) / (det + eps)
     zero = F.lit(0.0)
     shape = F.sqrt(F.greatest(a1 * b1 - c1 * c1, zero) * F.greatest(a2 * b2 - c2 * c2, zero))
     spread = 0.5 * F.log(det / (4 * shape + eps) + eps)
     bd = F.least(F.greatest(mahalanobis + spread, F.lit(eps)), F.lit(100.0))
-    score = 1 - F.sqrt(1.0 - F.exp(-bd) + eps)
+    return 1 - F.sqrt(1.0 - F.exp(-bd) + eps)
+
+
+def probiou(p: Obb, q: Obb, ciou: bool = False, eps: float = EPS) -> Column:
+    """Overlap of two oriented boxes read as Gaussians (1 - Hellinger distance)."""
+    score = gaussian_overlap(p.cx - q.cx, p.cy - q.cy, _spread(p), _spread(q), eps)
     return score - _aspect_penalty(p.w, p.h, q.w, q.h, score, eps) if ciou else score
 
 

@@ -141,14 +141,17 @@ def suppress_fast(dets: DataFrame, threshold: float, on: Sequence[str] = ("image
     """
     overlap = overlap or (lambda a, b: B.iou(B.box(a), B.box(b)))
     reach = reach or B.box()
-    spread = to_cells(dets, reach, size)
+    bounds = ("_rx1", "_ry1", "_rx2", "_ry2")
+    spread = to_cells(dets.select("*", *reach.named(*bounds)), reach, size)
     a, b = prefixed(spread, "a_"), prefixed(spread, "b_")
     keys = [*on, "_cx", "_cy"]
     same = F.col("a_" + keys[0]) == F.col("b_" + keys[0])
     for k in keys[1:]:
         same = same & (F.col("a_" + k) == F.col("b_" + k))
     better = (F.col("b_conf") > F.col("a_conf")) | ((F.col("b_conf") == F.col("a_conf")) & (F.col("b_det_id") < F.col("a_det_id")))
-    lost = a.join(b, same & better & (overlap("a_", "b_") >= threshold), "left_semi").select(F.col("a_det_id").alias("det_id")).distinct()
+    # the cheap test of the bounds comes first
+    near = B.overlaps(B.box("a_", bounds), B.box("b_", bounds))
+    lost = a.join(b, same & near & better & (overlap("a_", "b_") >= threshold), "left_semi").select(F.col("a_det_id").alias("det_id")).distinct()
     return dets.join(lost, "det_id", "left_anti")
 
 
@@ -161,7 +164,10 @@ def suppress_rotated(dets: DataFrame, threshold: float, on: Sequence[str] = ("im
     k = math.sqrt(-4 * math.log(1 - (1 - threshold) ** 2) / 12) + 1e-3
     r = F.greatest("w", "h") * k + 1e-3
     reach = B.Box(F.col("cx") - r, F.col("cy") - r, F.col("cx") + r, F.col("cy") + r)
-    return suppress_fast(dets, threshold, on, lambda a, b: B.probiou(B.obb(a), B.obb(b)), reach)
+    prepared = dets.select("*", *B.spread_columns(B.obb()))
+    shape = lambda p: tuple(F.col(f"{p}{c}") for c in ("_sa", "_sb", "_sc"))
+    gauss = lambda a, b: B.gaussian_overlap(F.col(f"{a}cx") - F.col(f"{b}cx"), F.col(f"{a}cy") - F.col(f"{b}cy"), shape(a), shape(b))
+    return suppress_fast(prepared, threshold, on, gauss, reach).drop("_sa", "_sb", "_sc")
 
 
 def top_boxes(dets: DataFrame, n: int, by: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -269,7 +275,10 @@ def oriented_candidates(dets: DataFrame, gts: DataFrame, least: float = THRESHOL
     k = math.sqrt(-4 * math.log(1 - (1 - least) ** 2) / 12) + 1e-3
     r = F.greatest("w", "h") * k + 1e-3
     reach = B.Box(F.col("cx") - r, F.col("cy") - r, F.col("cx") + r, F.col("cy") + r)
-    return _candidates(_reach_pairs(dets, gts, reach, reach), B.probiou(B.obb("b_"), B.obb("a_")), least)
+    ready = [d.select("*", *B.spread_columns(B.obb())) for d in (dets, gts)]
+    shape = lambda p: tuple(F.col(f"{p}{c}") for c in ("_sa", "_sb", "_sc"))
+    gauss = B.gaussian_overlap(F.col("b_cx") - F.col("a_cx"), F.col("b_cy") - F.col("a_cy"), shape("b_"), shape("a_"))
+    return _candidates(_reach_pairs(*ready, reach, reach), gauss, least)
 
 
 def pose_candidates(dets: DataFrame, gts: DataFrame, least: float = THRESHOLDS[0], sigmas: list[float] | None = None) -> DataFrame:

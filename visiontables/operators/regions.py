@@ -61,17 +61,39 @@ def occupancy(objects: DataFrame, slots: Zones) -> DataFrame:
     return per_frame.select("source_id", "frame", F.explode(rows).alias("r")).select("source_id", "frame", "r.*")
 
 
-def tile_objects(objects: DataFrame, sizes=((256, 64),), min_iof: float = 0.7) -> DataFrame:
+def _axis(low: Column, high: Column, length: Column, size: int, step: int) -> tuple[Column, Column]:
+    """Tile numbers along one side that an interval can touch, and the start of the (pulled-in) last tile."""
+    n = F.when(length <= size, F.lit(1)).otherwise(F.ceil((length - size) / step + 1)).cast("int")
+    last = F.greatest(length - size, F.lit(0))
+    first = F.least(F.greatest(F.floor((low - size) / step).cast("int") + 1, F.lit(0)), n - 1)
+    final = F.when(high > last, n - 1).otherwise(F.least(F.floor(high / step).cast("int"), n - 1))
+    return F.sequence(first, F.greatest(first, final)), last
+
+
+def tile_objects(objects: DataFrame, sizes=((256, 64),), min_iof: float = 0.7, min_rate: float = 0.6, eps: float = 0.01) -> DataFrame:
     """Objects (x1..y2, image size w, h) with each tile of their image that holds at least ``min_iof`` of their area.
 
-    The tiles of an image follow from its size, so the candidates are computed in the row and nothing is joined.
+    The tiles of an image follow from its size, so the few an object can touch are computed in the row; nothing is
+    joined. All tiles of one size are filled alike, so the fill rule keeps or drops a whole size.
     """
     b = B.box()
-    near = F.filter(G.tile_windows(F.col("w"), F.col("h"), sizes), lambda t: (
-        (t["x1"] < b.x2) & (t["x2"] > b.x1) & (t["y1"] < b.y2) & (t["y2"] > b.y1)))
+    fill = [F.least(F.lit(1.0), F.col("w") / size) * F.least(F.lit(1.0), F.col("h") / size) for size, _ in sizes]
+    best = F.greatest(*fill) if len(fill) > 1 else fill[0]
+    parts = []
+    for (size, gap), rate in zip(sizes, fill):
+        step = size - gap
+        kept = F.when(best > min_rate, rate > min_rate).otherwise(F.abs(rate - best) < eps)
+        xs, last_x = _axis(b.x1, b.x2, F.col("w"), size, step)
+        ys, last_y = _axis(b.y1, b.y2, F.col("h"), size, step)
+        d = objects.where(kept).withColumn("_i", F.explode(xs)).withColumn("_j", F.explode(ys))
+        x, y = F.least(F.col("_i") * step, last_x).cast("bigint"), F.least(F.col("_j") * step, last_y).cast("bigint")
+        parts.append(d.withColumn("tile", F.struct(x.alias("x1"), y.alias("y1"), (x + size).alias("x2"), (y + size).alias("y2"))))
+    d = parts[0]
+    for more in parts[1:]:
+        d = d.unionByName(more)
     t = B.Box(*[F.col(f"tile.{c}").cast("double") for c in ("x1", "y1", "x2", "y2")])
     share = B.intersection(b, t) / F.greatest(B.area(b), F.lit(1e-6))
-    return objects.withColumn("tile", F.explode(near)).withColumn("iof", share).where(F.col("iof") >= min_iof)
+    return d.withColumn("iof", share).where(F.col("iof") >= min_iof).drop("_i", "_j")
 
 
 def tile_quads(objects: DataFrame, sizes=((256, 64),), min_iof: float = 0.7) -> DataFrame:

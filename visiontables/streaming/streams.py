@@ -109,7 +109,7 @@ def track(dets: DataFrame, settings: Settings = Settings()) -> DataFrame:
         out["_seg"] = int(pdf["_seg"].iloc[0])
         if last:  # a closing row that carries the number of ids used
             end = {**dict.fromkeys(COLUMNS), "source_id": int(pdf["source_id"].iloc[0]), "track_id": state.get("next", 0), "_seg": int(pdf["_seg"].iloc[0])}
-            out = pd.concat([out, pd.DataFrame([end])], ignore_index=True)
+            out = pd.DataFrame([*out.to_dict("records"), end], columns=[*COLUMNS, "_seg"])
         return out.astype({c: "Int64" for c in ("source_id", "frame", "track_id", "det_id", "_seg")} | {"cls": "Int32"})
 
     from visiontables.operators.stages import materialize

@@ -62,14 +62,24 @@ def start_track(box, form):
     return np.r_[m, np.zeros(4)], _noise(m, form, 1e-2, 2 * POS, 10 * VEL)
 
 
-def predict(t: dict, form: str) -> None:
-    mean = t["mean"].copy()
-    if t["state"] != TRACKED:
-        mean[7] = 0
-        if form == "xywh":
-            mean[6] = 0
-    t["cov"] = MOTION @ t["cov"] @ MOTION.T + _noise(mean, form, 1e-2, POS, VEL)
-    t["mean"] = MOTION @ mean
+def predict(tracks: list[dict], form: str) -> None:
+    """Move all tracks one frame on; a lost track no longer changes its size."""
+    if not tracks:
+        return
+    mean, cov = np.stack([t["mean"] for t in tracks]), np.stack([t["cov"] for t in tracks])
+    lost = np.array([t["state"] != TRACKED for t in tracks])
+    mean[lost, 7] = 0
+    if form == "xywh":
+        mean[lost, 6] = 0
+    h = mean[:, 3]
+    w, fixed = (h, True) if form == "xyah" else (mean[:, 2], False)
+    one = np.ones(len(tracks))
+    std = np.stack([POS * w, POS * h, 1e-2 * one if fixed else POS * w, POS * h, VEL * w, VEL * h, 1e-5 * one if fixed else VEL * w, VEL * h], 1)
+    cov = MOTION @ cov @ MOTION.T
+    cov[:, range(8), range(8)] += std ** 2
+    mean = mean @ MOTION.T
+    for t, m, c in zip(tracks, mean, cov):
+        t["mean"], t["cov"] = m, c
 
 
 def correct(t: dict, box: np.ndarray, form: str) -> None:
@@ -106,7 +116,11 @@ class Tracker:
         self.s = settings
 
     def boxes(self, tracks):
-        return np.array([_corners(t["mean"], self.s.form) for t in tracks]).reshape(-1, 4)
+        if not tracks:
+            return np.zeros((0, 4))
+        m = np.stack([t["mean"] for t in tracks])
+        half = np.stack([m[:, 2] * m[:, 3] if self.s.form == "xyah" else m[:, 2], m[:, 3]], 1) / 2
+        return np.hstack([m[:, :2] - half, m[:, :2] + half])
 
     def cost(self, tracks, dets, fuse=True, looks=True):
         d = _iou_distance(self.boxes(tracks), np.array([x["box"] for x in dets]).reshape(-1, 4))
@@ -142,8 +156,7 @@ class Tracker:
         live = [t for t in tracks if t["state"] == TRACKED]
         fresh = [t for t in live if not t["confirmed"]]
         pool = [t for t in live if t["confirmed"]] + [t for t in tracks if t["state"] == LOST]
-        for t in pool:
-            predict(t, s.form)
+        predict(pool, s.form)
         if warp is not None:
             turn = np.kron(np.eye(4), warp[:, :2])
             for t in pool + fresh:
