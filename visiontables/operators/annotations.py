@@ -74,8 +74,7 @@ def class_frequency(labels: DataFrame, names: Column) -> DataFrame:
 
 def frequent(freq: DataFrame, cap: int = 100) -> DataFrame:
     """Texts at least as frequent as the cap, or as the most frequent one where that is below the cap."""
-    top = freq.agg(F.least(F.max("n"), F.lit(cap)).alias("_m"))
-    return freq.crossJoin(top).where(F.col("n") >= F.col("_m")).drop("_m")
+    return freq.where(F.col("n") >= freq.agg(F.least(F.max("n"), F.lit(cap))).scalar())
 
 
 def dataset_inventory(files: DataFrame) -> DataFrame:
@@ -99,23 +98,27 @@ def instance_count_check(labels: DataFrame, expected: dict[int, int]) -> DataFra
     return n.withColumn("matches", F.coalesce(F.col("n") == F.col("expected"), F.lit(False)))
 
 
+def _ends(df: DataFrame, x: str, y: str) -> DataFrame:
+    """The rows with the extremes of two columns in struct _e."""
+    ends = df.agg(F.struct(*[f(c).alias(f"{n}{i}") for i, c in enumerate((x, y)) for n, f in (("lo", F.min), ("hi", F.max))])).scalar()
+    return df.withColumn("_e", ends)
+
+
+def _share(c: str, i: int) -> Column:
+    return (F.col(c) - F.col(f"_e.lo{i}")) / (F.col(f"_e.hi{i}") - F.col(f"_e.lo{i}"))
+
+
 def histogram_2d(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     """Counts over bins x bins even cells between the extremes; the last cell is closed on both sides."""
-    ends = df.agg(*[f(c).alias(f"_{n}{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max))])
-    idx = lambda c: F.least(F.floor((F.col(c) - F.col(f"_lo{c}")) / (F.col(f"_hi{c}") - F.col(f"_lo{c}")) * bins), F.lit(bins - 1)).cast("int")
-    return df.crossJoin(ends).groupBy(idx(x).alias("i"), idx(y).alias("j")).agg(F.count("*").alias("n"))
+    cell = lambda c, i: F.least(F.floor(_share(c, i) * bins), F.lit(bins - 1)).cast("int")
+    return _ends(df, x, y).groupBy(cell(x, 0).alias("i"), cell(y, 1).alias("j")).agg(F.count("*").alias("n"))
 
 
 def density(df: DataFrame, key: str, x: str, y: str, bins: int = 20) -> DataFrame:
     """Each row with the count of its cell, cells read closed on the right (the least value reads the last cell)."""
-    hist = histogram_2d(df, x, y, bins)
-    ends = df.agg(*[f(c).alias(f"_{n}{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max))])
-    def idx(c):
-        at = F.ceil((F.col(c) - F.col(f"_lo{c}")) / (F.col(f"_hi{c}") - F.col(f"_lo{c}")) * bins) - 1
-        return F.pmod(F.least(at, F.lit(bins - 1)), F.lit(bins)).cast("int")
-
-    rows = df.crossJoin(ends).select(key, idx(x).alias("i"), idx(y).alias("j"))
-    return rows.join(hist, ["i", "j"], "left").select(key, F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    cell = lambda c, i: F.pmod(F.least(F.ceil(_share(c, i) * bins) - 1, F.lit(bins - 1)), F.lit(bins)).cast("int")
+    rows = _ends(df, x, y).select(key, cell(x, 0).alias("i"), cell(y, 1).alias("j"))
+    return rows.join(histogram_2d(df, x, y, bins), ["i", "j"], "left").select(key, F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def category_texts(anns: DataFrame) -> DataFrame:

@@ -19,17 +19,15 @@ def knn(queries: DataFrame, items: DataFrame, k: int = 30, min_sim: float = 0.1,
     counts. Each block meets each chunk in one cogroup that multiplies two matrices and keeps only its k best per
     query, so the final ranking sees k rows per query and chunk. Nothing is collected or broadcast by hand.
     """
-    def parts(df, size, name):
-        n = df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias(name))
-        return n
+    def parts(df, size):
+        return df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int")).scalar()
 
-    nb, ns = parts(queries, block, "_nb"), parts(items, chunk, "_ns")
     vec = F.transform("embedding", lambda v: v.cast("double")).alias("embedding")
-    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    q = queries.select("query_id", vec).crossJoin(nb).crossJoin(ns).select(
-        "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.col("_nb")).cast("int").alias("_b"), spread("_ns").alias("_s"))
-    it = items.select("item_id", vec).crossJoin(nb).crossJoin(ns).select(
-        "item_id", "embedding", F.pmod(F.xxhash64("item_id"), F.col("_ns")).cast("int").alias("_s"), spread("_nb").alias("_b"))
+    home = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    counted = lambda df, *cols: df.select(*cols, parts(queries, block).alias("_nb"), parts(items, chunk).alias("_ns"))
+    q = counted(queries, "query_id", vec).select("query_id", "embedding", home("query_id", "_nb").alias("_b"), spread("_ns").alias("_s"))
+    it = counted(items, "item_id", vec).select("item_id", "embedding", home("item_id", "_ns").alias("_s"), spread("_nb").alias("_b"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:

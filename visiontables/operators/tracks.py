@@ -291,9 +291,8 @@ def aspect_batches(images: DataFrame, batch: int, imgsz: int, stride: int, pad:
 def contiguous_shards(rows: DataFrame, order: list[Column], coarse: Column, shards: int, batch: int, total: int | None = None) -> DataFrame:
     """Whole batches dealt to shards in order; the first shards take the remainder."""
     ranked = rank_rows(rows, [], order, coarse, "_rn")
-    n = F.lit(total) if total is not None else F.col("_n")
-    if total is None:
-        ranked = ranked.crossJoin(rows.agg(F.count("*").alias("_n")))
+    ranked = ranked.withColumn("_n", F.lit(total) if total is not None else rows.agg(F.count("*")).scalar())
+    n = F.col("_n")
     size = F.when(F.lit(batch) >= n, F.lit(1)).otherwise(F.lit(batch))
     batches = F.ceil(n / size)
     base, rest = F.floor(batches / shards), batches % shards

@@ -96,15 +96,15 @@ def prj06(spark, sf):
 @query("prj07_scale_boxes", """
 WITH j AS (SELECT d.*, i.w, i.h, least(480.0::DOUBLE/i.h, 640.0::DOUBLE/i.w) AS gain FROM fx_detections d JOIN fx_images i USING (image_id)),
 p AS (SELECT *, round_even((640-w*gain)/2-0.1,0) AS px, round_even((480-h*gain)/2-0.1,0) AS py FROM j)
-SELECT det_id, round(greatest(0,least(w,(x1-px)/gain)),6) AS x1, round(greatest(0,least(h,(y1-py)/gain)),6) AS y1,
- round(greatest(0,least(w,(x2-px)/gain)),6) AS x2, round(greatest(0,least(h,(y2-py)/gain)),6) AS y2,
- round((x1-px)/gain,6) AS fx1, round((x2-x1)/gain,6) AS fw FROM p""")
+SELECT det_id, round(greatest(0,least(w,(x1-px)/gain)),9) AS x1, round(greatest(0,least(h,(y1-py)/gain)),9) AS y1,
+ round(greatest(0,least(w,(x2-px)/gain)),9) AS x2, round(greatest(0,least(h,(y2-py)/gain)),9) AS y2,
+ round((x1-px)/gain,9) AS fx1, round((x2-x1)/gain,9) AS fw FROM p""")
 def prj07(spark, sf):
     d = fx.detections(spark, sf).join(fx.images(spark, sf), "image_id")
     w, h = F.col("w").cast("double"), F.col("h").cast("double")
     s = B.scale_box(B.box(), (480, 640), (h, w))
     lt = B.scale_box(B.xyxy_to_ltwh(B.box()), (480, 640), (h, w), xywh=True)
-    return d.select("det_id", *rounded(s, *XYXY), r(lt[0], "fx1"), r(lt[2], "fw"))
+    return d.select("det_id", *[r(c, n, 9) for c, n in zip(s, XYXY)], r(lt[0], "fx1", 9), r(lt[2], "fw", 9))
 
 
 @query("prj08_clip_boxes", """
@@ -115,14 +115,14 @@ def prj08(spark, sf):
 
 
 @query("prj09_scale_coords", """
-SELECT gt_id, """ + POINT_ROWS + """ FROM (SELECT s.gt_id, list_transform(pts, lambda p: {'x': round(greatest(0,least(i.w,(p.x-(640-i.w*least(480.0::DOUBLE/i.h,640.0::DOUBLE/i.w))/2)/least(480.0::DOUBLE/i.h,640.0::DOUBLE/i.w)))/i.w,9),
- 'y': round(greatest(0,least(i.h,(p.y-(480-i.h*least(480.0::DOUBLE/i.h,640.0::DOUBLE/i.w))/2)/least(480.0::DOUBLE/i.h,640.0::DOUBLE/i.w)))/i.h,9)}) AS pts
+SELECT gt_id, """ + POINT_ROWS + """ FROM (SELECT s.gt_id, list_transform(pts, lambda p: {'x': round(greatest(0,least(i.w,(p.x-(640-i.w*least(480.0::DOUBLE/i.h,640.0::DOUBLE/i.w))/2)/least(480.0::DOUBLE/i.h,640.0::DOUBLE/i.w)))/i.w+1.2345e-10,7),
+ 'y': round(greatest(0,least(i.h,(p.y-(480-i.h*least(480.0::DOUBLE/i.h,640.0::DOUBLE/i.w))/2)/least(480.0::DOUBLE/i.h,640.0::DOUBLE/i.w)))/i.h+1.2345e-10,7)}) AS pts
 FROM fx_segments s JOIN fx_images i USING (image_id))""")
 def prj09(spark, sf):
     d = fx.segments(spark, sf).join(fx.images(spark, sf), "image_id")
     w, h = F.col("w").cast("double"), F.col("h").cast("double")
     scaled = L.scale_points(F.col("pts"), (480, 640), (h, w), normalize=True)
-    return point_rows(d.select("gt_id", G.map_points(scaled, lambda x: F.round(x, 9), lambda y: F.round(y, 9)).alias("pts")), "gt_id")
+    return point_rows(d.select("gt_id", G.map_points(scaled, lambda x: F.round(x + 1.2345e-10, 7), lambda y: F.round(y + 1.2345e-10, 7)).alias("pts")), "gt_id")
 
 
 @query("prj10_instance_scaling", """

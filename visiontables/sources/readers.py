@@ -186,8 +186,7 @@ def list_media(spark: SparkSession, folder: str, fraction: float = 1.0) -> DataF
     if fraction >= 1.0:
         return files
     ranked = rank_rows(files, [], [F.col("path")], F.substring("path", 1, 256), "_k")
-    n = files.agg(F.round(F.count("*") * fraction).alias("_n"))
-    return ranked.crossJoin(n).where(F.col("_k") <= F.col("_n")).drop("_k", "_n")
+    return ranked.where(F.col("_k") <= files.agg(F.round(F.count("*") * fraction)).scalar()).drop("_k")
 
 
 def read_trials(spark: SparkSession, path: str, params: list[str]) -> DataFrame:
