@@ -139,6 +139,12 @@ def test_ordered_helpers_with_tiny_blocks(spark):
     assert got.count() == 180 and got.withColumn("want", F.sum("v").over(w.rowsBetween(-3, 2))).where("s <> want").count() == 0
 
 
+def test_sorted_rank_with_ties(spark):
+    d = spark.range(500).select((F.col("id") * 7 % 13).alias("v"), "id")
+    r = O.sorted_rank(d, [F.col("v"), F.col("id")])
+    assert r.withColumn("want", F.row_number().over(Window.orderBy("v", "id"))).where("rn <> want").count() == 0 and r.count() == 500
+
+
 def test_grid_interpolation_matches_numpy(spark):
     rnd = np.random.default_rng(0)
     x = np.sort(rnd.integers(1, 99, 40) / 100)

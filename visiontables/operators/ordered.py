@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from visiontables.operators.stages import materialize
+
 BLOCK = 4096
 
 
@@ -36,6 +38,20 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coars
     )
 
 
+def sorted_rank(df: DataFrame, order: Sequence[Column], out: str = "rn") -> DataFrame:
+    """Exact 1-based row number over the whole table in ``order``, whatever the values look like.
+
+    A range-partitioned sort is written once; within a part the position is known, and the counts per part give what
+    lies before it. Needs no bucket column and does not mind ties.
+    """
+    rows = materialize(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_id", 33)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    placed = rows.withColumn("_p", part).join(offsets, "_p")
+    return placed.withColumn(out, F.col("_off") + F.col("_id") - F.shiftleft("_p", 33) + 1).drop("_p", "_id", "_off")
+
+
 def _before(keys: Sequence[str], ascending: bool = True):
     order = F.col("_b").asc() if ascending else F.col("_b").desc()
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

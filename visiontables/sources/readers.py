@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from visiontables.functions import text as T
 from visiontables.operators.annotations import is_image
-from visiontables.operators.ordered import rank_rows
+from visiontables.operators.ordered import rank_rows, sorted_rank
 
 # Columns of the metrics and plan tables, and of a retail label file (fixed values).
 RUN_COLUMNS = ["run_id", "timestamp_utc", "frame", "track_id", "technique", "reference_angle", "score", "score_threshold", "is_correct",
@@ -185,7 +185,7 @@ def list_media(spark: SparkSession, folder: str, fraction: float = 1.0) -> DataF
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime").where(is_image(F.col("path")))
     if fraction >= 1.0:
         return files
-    ranked = rank_rows(files, [], [F.col("path")], F.substring("path", 1, 256), "_k")
+    ranked = sorted_rank(files, [F.col("path")], "_k")
     return ranked.where(F.col("_k") <= files.agg(F.round(F.count("*") * fraction)).scalar()).drop("_k")
 
 
