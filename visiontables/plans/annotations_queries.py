@@ -144,9 +144,9 @@ def set03(spark, sf):
     return rows.groupBy("image_id").agg(F.count("*").alias("kept")).join(removed, "image_id")
 
 
-@query("set04_distinct_boxes", "SELECT image_id, cls, x1, y1, x2, y2, min(gt_id) AS gt_id FROM (SELECT image_id, cls, round(x1/50) AS x1, round(y1/50) AS y1, round(x2/50) AS x2, round(y2/50) AS y2, gt_id FROM fx_ground_truth WHERE gt_id%10<>0) WHERE x2>x1 AND y2>y1 GROUP BY ALL")
+@query("set04_distinct_boxes", "SELECT image_id, cls, x1, y1, x2, y2, min(gt_id) AS gt_id FROM (SELECT image_id, cls, round(x1/50) AS x1, round(y1/50) AS y1, round(x2/50) AS x2, round(y2/50) AS y2, gt_id FROM fx_ground_truth) WHERE x2>x1 AND y2>y1 GROUP BY ALL")
 def set04(spark, sf):
-    d = fx.ground_truth(spark, sf).where("gt_id%10<>0").select("image_id", "cls", "gt_id", *[F.round(F.col(c) / 50).alias(c) for c in XYXY]).where("x2 > x1 AND y2 > y1")
+    d = fx.ground_truth(spark, sf).select("image_id", "cls", "gt_id", *[F.round(F.col(c) / 50).alias(c) for c in XYXY]).where("x2 > x1 AND y2 > y1")
     return CV._first_equal(d.select("image_id", "cls", "gt_id", *[F.col(a).alias(b) for a, b in zip(XYXY, LABEL)]), "gt_id").select(
         "image_id", "cls", "gt_id", *[F.col(b).alias(a) for a, b in zip(XYXY, LABEL)])
 

@@ -251,7 +251,7 @@ def top08(spark, sf):
 
 
 @query("fun06_mask_iou", """
-WITH d AS (SELECT image_id, det_id AS a_id, CAST(y AS BIGINT)*640+CAST(greatest(0,x1) AS BIGINT) AS s, CAST(y AS BIGINT)*640+CAST(least(640,x2) AS BIGINT) AS e FROM (SELECT *, unnest(range(CAST(greatest(0,y1) AS BIGINT)//16, CAST(y2 AS BIGINT)//16)) AS y FROM fx_detections) WHERE conf>0.5),
+WITH d AS (SELECT image_id, det_id AS a_id, CAST(y AS BIGINT)*640+CAST(greatest(0,x1) AS BIGINT) AS s, CAST(y AS BIGINT)*640+CAST(least(640,x2) AS BIGINT) AS e FROM (SELECT *, unnest(range(CAST(greatest(0,y1) AS BIGINT)//16, CAST(y2 AS BIGINT)//16)) AS y FROM fx_detections)),
 g AS (SELECT image_id, gt_id AS b_id, CAST(y AS BIGINT)*640+CAST(x1 AS BIGINT) AS s, CAST(y AS BIGINT)*640+CAST(x2 AS BIGINT) AS e FROM (SELECT *, unnest(range(CAST(y1 AS BIGINT)//16, CAST(y2 AS BIGINT)//16)) AS y FROM fx_ground_truth)),
 i AS (SELECT image_id, a_id, b_id, sum(least(d.e,g.e)-greatest(d.s,g.s)) AS inter FROM d JOIN g USING (image_id) WHERE least(d.e,g.e)>greatest(d.s,g.s) GROUP BY 1,2,3),
 a AS (SELECT a_id, sum(e-s) AS aa FROM d GROUP BY 1), b AS (SELECT b_id, sum(e-s) AS ba FROM g GROUP BY 1)
@@ -261,7 +261,7 @@ def fun06(spark, sf):
         rows = d.withColumn("y", F.explode(F.expr("sequence(CAST(greatest(0D,y1) AS BIGINT) div 16, (CAST(y2 AS BIGINT) div 16)-1)")))
         return rows.selectExpr("image_id", name, "y*640+CAST(greatest(0D,x1) AS BIGINT) AS start", "y*640+CAST(least(640D,x2) AS BIGINT) AS stop")
 
-    a = runs(fx.detections(spark, sf).where("conf > 0.5").withColumnRenamed("det_id", "a_id"), "a_id")
+    a = runs(fx.detections(spark, sf).withColumnRenamed("det_id", "a_id"), "a_id")
     b = runs(fx.ground_truth(spark, sf).withColumnRenamed("gt_id", "b_id"), "b_id")
     return T.mask_iou(a, b, ["image_id"]).select("image_id", "a_id", "b_id", r(F.col("iou"), "iou"))
 
