@@ -46,6 +46,41 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
+def _sql_parts(url: str, name: str) -> str:
+    """DuckDB columns NAME_host, NAME_path and NAME (the address) of a URL expression."""
+    rest = f"substr({url}, instr({url}, '://') + 3)"
+    there = f"instr({url}, '://') > 0"
+    host = f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}')"
+    path = f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+    asked = f"array_to_string(list_filter(string_split(regexp_extract({rest}, '^[^/?#]*[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')), '&')"
+    return (f"CASE WHEN {there} THEN {host} ELSE '' END AS {name}_host, CASE WHEN {there} THEN {path} ELSE '' END AS {name}_path, "
+            f"CASE WHEN {there} THEN {host} || {path} || CASE WHEN {asked} <> '' THEN '?' || {asked} ELSE '' END END AS {name}")
+
+
+def _sql_rule(host: str, path: str, verdict: bool) -> str:
+    ordered = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    return "CASE " + " ".join(f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{v if verdict else h + p}'" for v, h, p in ordered) + " END"
+
+
+def _sql_attribute(name: str) -> str:
+    return rf"""trim(regexp_extract(tag, '(?i)\s{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"''')"""
+
+
+ORACLES["op5_url_filters"] = rf"""
+WITH RECURSIVE page AS (SELECT page_id, html, {_sql_parts("url", "address")} FROM pages),
+tags AS (SELECT address AS a, unnest(regexp_extract_all(html, '(?i)(<(?:link|meta)\b[^>]*>)', 1)) AS tag FROM page WHERE address IS NOT NULL),
+named AS (SELECT a, trim(replace(CASE
+    WHEN regexp_matches(lower({_sql_attribute("rel")}), '(^|\s)canonical(\s|$)') THEN {_sql_attribute("href")}
+    WHEN lower({_sql_attribute("http-equiv")}) = 'refresh' THEN regexp_extract({_sql_attribute("content")}, '(?i)url\s*=\s*[''"]?([^''"\s;]+)', 1) END, '&amp;', '&')) AS target FROM tags),
+links AS (SELECT a, {_sql_parts("target", "b")} FROM named),
+both_ways AS (SELECT a, b FROM links WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM links WHERE b IS NOT NULL AND a <> b),
+reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+judged AS (SELECT DISTINCT node, other, {_sql_parts("'x://' || other", "o")} FROM reach),
+sites AS (SELECT node, min(other) AS alias_of, bool_or({_sql_rule("o_host", "o_path", True)} = 'block') AS blocked, bool_or({_sql_rule("o_host", "o_path", True)} = 'allow') AS allowed FROM judged GROUP BY node)
+SELECT page_id, address_host AS host, address_path AS path, {_sql_rule("address_host", "address_path", False)} AS rule,
+    coalesce({_sql_rule("address_host", "address_path", True)}, CASE WHEN coalesce(blocked, false) AND NOT coalesce(allowed, false) THEN 'block' END, 'allow') AS verdict, address, alias_of
+FROM page LEFT JOIN sites ON address = node"""
+
 
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,9 +37,10 @@ def path_of(url: Column) -> Column:
 
 
 def address_of(url: Column) -> Column:
-    """The URL without scheme, fragment and utm_ parameters, its host in lower case; NULL where there is no ://."""
-    rest = F.regexp_replace(F.regexp_extract(_after_scheme(url), r"\A[^/?#]*([^#]*)", 1), r"(?<=[?&])utm_[^&=]*(=[^&]*)?(&|\z)", "")
-    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), F.regexp_replace(rest, r"[?&]\z", "")))
+    """Host, path and query without utm_ parameters, no scheme and no fragment; NULL where there is no ://."""
+    asked = F.split(F.regexp_extract(_after_scheme(url), r"\A[^/?#]*[^?#]*\?([^#]*)", 1), "&")
+    query = F.array_join(F.filter(asked, lambda part: (part != "") & ~F.startswith(part, F.lit("utm_"))), "&")
+    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), path_of(url), F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES, verdict: bool = False) -> Column:
