@@ -36,8 +36,8 @@ def separators(*ranges: tuple[int, int]) -> np.ndarray:
 
 #: Words are what stands between ASCII white space.
 SPACE = separators((0x20, 0x20), (0x09, 0x0D))
-#: Words are ASCII letters and digits and everything beyond ASCII.
-PUNCTUATION = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
+#: Words are ASCII letters (of either case) and digits and everything beyond ASCII.
+PUNCTUATION = separators((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 _LOWER = _VALUE.copy()
