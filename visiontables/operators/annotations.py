@@ -157,12 +157,12 @@ def stratified_split(files: DataFrame, cls: str, ratio: float = 0.8) -> DataFram
     return ranked.join(n, cls).withColumn("split", F.when(F.col("_k") <= F.floor(F.col("_n") * ratio), "train").otherwise("val")).drop("_h", "_k", "_n")
 
 
-def negative_texts(images: DataFrame, present: str, num_classes: int, n: int, max_samples: int = 80) -> DataFrame:
-    """Class numbers not in the image, n of them in hash order, without passing ``max_samples`` in all."""
+def negative_texts(images: DataFrame, present: str, num_classes: int, n: int, max_samples: int | None = None) -> DataFrame:
+    """Class numbers not in the image, n of them in hash order, without passing ``max_samples`` in all if that is given."""
     have = F.array_distinct(F.col(present))
     rest = F.array_except(F.sequence(F.lit(0), F.lit(num_classes - 1)), have)
     shuffled = F.array_sort(F.transform(rest, lambda c: F.struct(F.md5(F.concat_ws(":", F.col("image_id").cast("string"), c.cast("string"))).alias("h"), c.alias("c"))))
-    take = F.greatest(F.lit(0), F.least(F.lit(n), F.lit(min(num_classes, max_samples)) - F.size(have)))
+    take = F.greatest(F.lit(0), F.least(F.lit(n), F.lit(num_classes if max_samples is None else min(num_classes, max_samples)) - F.size(have)))
     return images.withColumn("negatives", F.transform(F.slice(shuffled, F.lit(1), take), lambda s: s["c"]))
 
 

@@ -105,33 +105,34 @@ def tile_labels(objects: DataFrame, keep: str, size: int = 256, gap: int = 64, m
     return hits.select(keep, "cls", name.alias("tile_name"), (moved.x1 / tw).alias("x1"), (moved.y1 / th).alias("y1"), (moved.x2 / tw).alias("x2"), (moved.y2 / th).alias("y2"))
 
 
-def _join_parts(parts: list[np.ndarray]) -> np.ndarray:
-    """One outline through several polygons: out along the nearest points, back the same way."""
+def _outline(parts: list[np.ndarray]) -> np.ndarray:
+    """One closed walk through polygons that follow each other.
+
+    Neighbours are joined by a bridge between their closest points. The walk goes once round the first polygon, over the
+    bridges along each polygon to the next bridge, once round the last one, and back along the other side of each polygon.
+    """
     if len(parts) == 1:
         return parts[0]
-    gates: list[list[int]] = [[] for _ in parts]
-    for k in range(1, len(parts)):
-        gap = ((parts[k - 1][:, None] - parts[k][None]) ** 2).sum(-1)
-        leave, enter = np.unravel_index(gap.argmin(), gap.shape)
-        gates[k - 1].append(int(leave))
-        gates[k].append(int(enter))
-    out, back = [], []
-    for k, poly in enumerate(parts):
-        gate = gates[k]
-        if len(gate) == 2 and gate[0] > gate[1]:
-            gate, poly = gate[::-1], poly[::-1]
-        ring = np.roll(poly, -gate[0], axis=0)
-        ring = np.vstack([ring, ring[:1]])
-        if len(gate) == 1:
-            out.append(ring)
-        else:
-            turn = gate[1] - gate[0]
-            out.append(ring[: turn + 1])
-            back.append(ring[abs(turn):])
-    return np.vstack(out + back[::-1])
+    bridges = []
+    for near, far in zip(parts, parts[1:]):
+        distance = np.linalg.norm(near[:, None, :] - far[None, :, :], axis=2)
+        bridges.append(divmod(int(np.argmin(distance)), len(far)))
+
+    def along(polygon: np.ndarray, start: int, stop: int) -> np.ndarray:
+        """Points from ``start`` on to ``stop``, all the way round if they are the same."""
+        steps = (stop - start) % len(polygon) or len(polygon)
+        return polygon[(start + np.arange(steps + 1)) % len(polygon)]
+
+    there = [along(parts[0], bridges[0][0], bridges[0][0])]
+    back: list[np.ndarray] = []
+    for polygon, (_, came), (leaves, _) in zip(parts[1:-1], bridges, bridges[1:]):
+        there.append(along(polygon, came, leaves) if came != leaves else polygon[[came]])
+        back.append(along(polygon, leaves, came))
+    last = bridges[-1][1]
+    return np.concatenate([*there, along(parts[-1], last, last), *reversed(back)])
 
 
 @F.pandas_udf(TY.ArrayType(TY.DoubleType()))
 def merge_segments(polygons: pd.Series) -> pd.Series:
     """Several polygons of one object (each a flat x, y list) chained into one flat outline."""
-    return polygons.map(lambda ps: _join_parts([np.asarray(p, dtype=float).reshape(-1, 2) for p in ps]).ravel().tolist())
+    return polygons.map(lambda ps: _outline([np.asarray(p, dtype=float).reshape(-1, 2) for p in ps]).ravel().tolist())

@@ -6,6 +6,9 @@ confidence buckets, and the curves are read at a fixed number of grid points tha
 
 from __future__ import annotations
 
+import re
+from itertools import chain, count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,18 +173,13 @@ def confusion_summary(matrix: DataFrame, names: list[str], normalize: bool = Fal
 
 
 def clean_names(names: list[str]) -> list[str]:
-    """Column-safe names, told apart without regard to case."""
-    taken: set[str] = set()
-    out = []
-    for name in names:
-        base = "".join(ch if (ch.isascii() and ch.isalnum()) or ch == "_" else "_" for ch in name)
-        pick, k = base, 0
-        while pick.lower() in taken:
-            k += 1
-            pick = f"{base}_{k}"
-        taken.add(pick.lower())
-        out.append(pick)
-    return out
+    """Names of ASCII letters, digits and underscores; one that differs from an earlier one in case only, or not at all, is numbered."""
+    out: dict[str, str] = {}
+    for safe in (re.sub("[^0-9A-Za-z_]", "_", name) for name in names):
+        numbered = chain([safe], (f"{safe}_{k}" for k in count(1)))
+        free = next(name for name in numbered if name.casefold() not in out)
+        out[free.casefold()] = free
+    return list(out.values())
 
 
 def tp_fp(matrix: DataFrame, nc: int, classify: bool = False) -> DataFrame:

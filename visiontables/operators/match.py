@@ -176,15 +176,14 @@ def top_boxes(dets: DataFrame, n: int, by: Sequence[str] = ("image_id",)) -> Dat
     return dets.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def nms_greedy(dets: DataFrame, iou: float = 0.45, conf: float | None = None, max_det: int | None = 300,
-               max_nms: int = 30000, agnostic: bool = False, by: Sequence[str] = ("image_id",)) -> DataFrame:
+def nms_greedy(dets: DataFrame, iou: float = 0.45, conf: float | None = None, max_det: int | None = None,
+               max_nms: int | None = None, agnostic: bool = False, by: Sequence[str] = ("image_id",)) -> DataFrame:
     """Greedy suppression: keep a box while its IoU with every kept box of its class is at most ``iou``.
 
-    ``max_nms`` bounds the boxes of one group before the fold and ``max_det`` the kept ones, as users of the operator
-    expect; the fold stops testing once ``max_det`` boxes are kept.
+    Nothing is cut unless asked for: ``max_nms`` bounds the boxes of one group before the fold, ``max_det`` the kept ones.
     """
     rows = dets.where(F.col("conf") > conf) if conf is not None else dets
-    rows = top_boxes(rows, max_nms, by)
+    rows = top_boxes(rows, max_nms, by) if max_nms is not None else rows
     item = F.struct((-F.col("conf")).alias("neg"), *[c for c in rows.columns if c not in by])
     lists = rows.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("_all"))
 
@@ -206,7 +205,7 @@ def nms_greedy(dets: DataFrame, iou: float = 0.45, conf: float | None = None, ma
     return lists.select(*by, F.explode(kept).alias("b")).select(*by, "b.*").drop("neg")
 
 
-def nms_batched(dets: DataFrame, iou: float = 0.45, max_nms: int = 30000) -> DataFrame:
+def nms_batched(dets: DataFrame, iou: float = 0.45, max_nms: int | None = None) -> DataFrame:
     """Greedy suppression of each class of an image on its own."""
     return nms_greedy(dets, iou, max_det=None, max_nms=max_nms, agnostic=True, by=("image_id", "cls"))
 

@@ -8,6 +8,7 @@ tiny table of totals is scanned to get what precedes each bucket, and only the r
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,13 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
+def _join_keys(rows: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL equals NULL."""
+    other = few.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return rows.join(other, same).drop(*[f"_key_{k}" for k in keys])
+
+
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coarse: Column, out: str = "rn") -> DataFrame:
     """Exact 1-based row number within ``keys``; ``coarse`` must not decrease along ``order``."""
     keys = list(keys)
@@ -32,7 +40,7 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coars
     )
     local = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
     return (
-        rows.withColumn("_local", local).join(offsets, [*keys, "_b"])
+        _join_keys(rows.withColumn("_local", local), offsets, [*keys, "_b"])
         .withColumn(out, (F.col("_local") + F.col("_off")).cast("bigint"))
         .drop("_b", "_local", "_off")
     )
@@ -82,29 +90,24 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coarse:
     local = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("*", *[
         _COMBINE[kind][0](f"_v_{out}").over(local).alias(f"_l_{out}") for out, (kind, _) in aggs.items()])
-    joined = rows.join(offsets, [*keys, "_b"])
+    joined = _join_keys(rows, offsets, [*keys, "_b"])
     return joined.select(*df.columns, *[
         _COMBINE[kind][1](F.col(f"_o_{out}"), F.col(f"_l_{out}")).alias(out) for out, (kind, _) in aggs.items()])
 
 
 def blocks_with_halo(df: DataFrame, rn: str, before: int = 0, after: int = 0, block: int = BLOCK) -> DataFrame:
-    """Cut dense 1-based row numbers into blocks; copy the rows a neighbour block's frame can reach.
+    """Cut dense 1-based row numbers into blocks; copy each row to every block whose frames can reach it.
 
     Windows then partition by (key, _blk); ``drop_halo`` removes the copies. Exact for frames that look at most
-    ``before`` rows back and ``after`` rows ahead, both no larger than ``block``.
+    ``before`` rows back and ``after`` rows ahead, however long; a frame longer than a block copies rows further.
     """
-    pos = F.pmod(F.col(rn) - 1, F.lit(block))
-    home = F.floor((F.col(rn) - 1) / block).cast("bigint")
-    targets = [home]
-    if before:
-        targets.append(F.when(pos >= block - before, home + 1))
-    if after:
-        targets.append(F.when((pos < after) & (home > 0), home - 1))
-    if len(targets) == 1:
-        return df.withColumn("_blk", home).withColumn("_own", F.lit(True))
-    spread = F.filter(F.array(*targets), lambda b: b.isNotNull())
-    return df.withColumn("_home", home).withColumn("_blk", F.explode(spread)).withColumn(
-        "_own", F.col("_blk") == F.col("_home")).drop("_home")
+    block = max(block, before, after)
+    at = lambda n: F.floor(n / block).cast("bigint")
+    place = F.col(rn) - 1
+    if not before and not after:
+        return df.withColumn("_blk", at(place)).withColumn("_own", F.lit(True))
+    reached = F.sequence(F.greatest(at(place - after), F.lit(0).cast("bigint")), at(place + before))
+    return df.withColumn("_home", at(place)).withColumn("_blk", F.explode(reached)).withColumn("_own", F.col("_blk") == F.col("_home")).drop("_home")
 
 
 def drop_halo(df: DataFrame) -> DataFrame:

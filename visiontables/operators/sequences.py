@@ -186,9 +186,12 @@ def top_errors(d: DataFrame, keys: Sequence[str], current: str, reference: str,
             .select(*keys, "rank", "joint", "error"))
 
 
-def catalogue_score(pairs: DataFrame, joints: int = 17, dims: int = 3, dtw_weight: float = 0.7, length_weight: float = 0.3) -> DataFrame:
-    """Match of raw sequences (u_raw, r_raw flat with all coordinates; u_n, r_n): warping distance and length ratio."""
-    dtw = P.dtw_udf(joints, dims, missing=float("inf"), stop=500.0)
+def catalogue_score(pairs: DataFrame, joints: int = 17, dims: int = 3, dtw_weight: float = 0.7, length_weight: float = 0.3, stop: float | None = None) -> DataFrame:
+    """Match of raw sequences (u_raw, r_raw flat with all coordinates; u_n, r_n): warping distance and length ratio.
+
+    ``stop`` gives up on a pair whose running sum passes it.
+    """
+    dtw = P.dtw_udf(joints, dims, missing=float("inf"), stop=stop)
     d = pairs.withColumn("dtw", dtw("u_raw", "r_raw"))
     warped = F.coalesce(F.greatest(F.lit(0.0), 100.0 - F.col("dtw") * 50.0), F.lit(0.0))
     ratio = F.least("u_n", "r_n") / F.greatest("u_n", "r_n") * 100.0

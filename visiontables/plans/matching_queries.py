@@ -91,7 +91,7 @@ k AS (SELECT {cols}, rn, [{st}] AS kept FROM d WHERE rn=1 UNION ALL
 SELECT unnest(list_transform(kept, lambda s: s.det_id)) AS det_id FROM (SELECT arg_max(kept, rn) AS kept FROM k GROUP BY {', '.join(part)})"""
 
 
-@query("joi06_nms_greedy", nms_sql(["image_id"], True, 300))
+@query("joi06_nms_greedy", nms_sql(["image_id"], True, None))
 def joi06(spark, sf):
     return M.nms_greedy(fx.detections(spark, sf), 0.45).select("det_id")
 

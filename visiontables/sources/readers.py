@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import io
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,28 +36,45 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
+def _by_header(spark: SparkSession, root: str, names: list[str], name: str | None = None) -> DataFrame:
+    """(path, csv_line, names...) of comma-separated files: columns by each file's own header, line 1 being the header's.
+
+    A cell may hold quoted line breaks, so a file is read by one task; columns that a file lacks are NULL.
+    """
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)
+    rows = files.select(_file().alias("path"), "value")
+
+    def run(batches):
+        for batch in batches:
+            for path, text in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+                found = [(path, line, *(row.get(n) for n in names)) for line, row in enumerate(csv.DictReader(io.StringIO(text.removeprefix("\ufeff"), newline="")), 2)]
+                for low in range(0, len(found), 10_000):
+                    columns = zip(*found[low:low + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["path", "csv_line", *names])
+
+    types = [pa.string(), pa.int64(), *[pa.string()] * len(names)]
+    return rows.mapInArrow(run, f"path string, csv_line bigint, {_text_schema(names)}")
+
+
 def read_run_metrics(spark: SparkSession, root: str) -> DataFrame:
     """All ``metrics.csv`` below ``root``: typed values, group and user from the folder names."""
-    raw = (spark.read.schema(_text_schema(RUN_COLUMNS)).option("header", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "metrics.csv").csv(root).select("*", _file().alias("path")))
+    raw = _by_header(spark, root, RUN_COLUMNS, "metrics.csv").drop("csv_line")
     d = raw.withColumn("run_folder", F.regexp_extract("path", r"/([^/]+)/metrics\.csv$", 1)).withColumn("group_name", F.regexp_extract("path", r"/([^/]+)/[^/]+/metrics\.csv$", 1))
     d = d.withColumn("user", F.split("run_folder", "_")[0])
     return d.withColumns({**{c: T.to_float(F.col(c)) for c in RUN_NUMBERS}, "frame": F.col("frame").try_cast("bigint"), "is_correct": T.truthy(F.col("is_correct"), ("1", "true", "yes"))})
 
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
-    """Plan rows in file order with their line number (header = line 1); a byte-order mark is ignored."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"), F.monotonically_increasing_id().alias("_id"))
-    lines = rank_rows(lines, [], [F.col("_id")], F.floor(F.col("_id") / 65536), "csv_line")
-    rows = lines.where("csv_line > 1").select("csv_line", F.from_csv("value", F.lit(_text_schema(PLAN_COLUMNS)), {"mode": "PERMISSIVE"}).alias("r"))
-    return rows.select("csv_line", *[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in PLAN_COLUMNS])
+    """Plan rows with their row number in the file (the header is 1); a byte-order mark is ignored."""
+    rows = _by_header(spark, path, PLAN_COLUMNS)
+    return rows.select("csv_line", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in PLAN_COLUMNS])
 
 
 def read_label_text(spark: SparkSession, folder: str) -> DataFrame:
     """One row per label line: image, class and the numbers after it; box, quad, polygon and keypoint lines alike."""
     d = spark.read.option("recursiveFileLookup", True).text(folder).select(file_stem(_file()).alias("image"), F.trim("value").alias("v")).where("v <> ''")
     nums = F.transform(F.split("v", r"\s+"), lambda s: s.try_cast("double"))
-    return d.withColumn("_n", nums).select("image", F.get("_n", F.lit(0)).cast("int").alias("cls"), F.slice("_n", 2, 100000).alias("numbers"), F.size("_n").alias("n_columns"))
+    return d.withColumn("_n", nums).select("image", F.get("_n", F.lit(0)).cast("int").alias("cls"), F.slice("_n", F.lit(2), F.greatest(F.size("_n") - 1, F.lit(0))).alias("numbers"), F.size("_n").alias("n_columns"))
 
 
 def label_boxes(labels: DataFrame) -> DataFrame:
