@@ -126,10 +126,8 @@ METRICS = ["score", "cosine_similarity", "dtw_distance", "angle_error", "mean_po
 
 def best_reference(compared: DataFrame) -> DataFrame:
     """The best angle per sequence; of equal scores the first angle."""
-    low = compared.groupBy("seq_id", "technique").agg(F.max("score").alias("_s"))
-    top = compared.join(low, ["seq_id", "technique"]).where(F.col("score") == F.col("_s"))
-    best = F.min_by(F.struct("angle", *METRICS), "angle").alias("b")
-    return top.groupBy("seq_id", "technique").agg(best).select("seq_id", "technique", F.col("b.angle").alias("reference_angle"), *[F.col(f"b.{m}").alias(m) for m in METRICS])
+    best = F.min_by(F.struct("angle", *METRICS), F.struct(-F.col("score"), "angle")).alias("b")
+    return compared.where("score IS NOT NULL").groupBy("seq_id", "technique").agg(best).select("seq_id", "technique", F.col("b.angle").alias("reference_angle"), *[F.col(f"b.{m}").alias(m) for m in METRICS])
 
 
 def score_rows(users: DataFrame, best: DataFrame, thresholds: DataFrame | None = None, default: float = 60.0) -> DataFrame:

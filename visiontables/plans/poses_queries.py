@@ -358,7 +358,7 @@ def fun36(spark, sf):
     return S.assemble(d).select("seq_id", "n", F.size(F.get("frames", F.lit(0))).alias("joints"))
 
 
-@query("snk06_track_summary", "SELECT seq_id AS track_id, count(*) AS frames, CAST(arg_min(len(kpts),frame) AS INT) AS joints, true AS stacked FROM fx_poses GROUP BY 1")
+@query("snk06_track_summary", "SELECT seq_id AS track_id, count(*) AS frames, CAST(arg_min(len(kpts),frame) AS INT) AS joints, min(len(kpts))=max(len(kpts)) AS stacked FROM fx_poses GROUP BY 1")
 def snk06(spark, sf):
     d = fx.poses(spark, sf)
-    return d.groupBy(F.col("seq_id").alias("track_id")).agg(F.count("*").alias("frames"), F.min_by(F.size("kpts"), "frame").alias("joints"), (F.count("*") > 0).alias("stacked"))
+    return d.groupBy(F.col("seq_id").alias("track_id")).agg(F.count("*").alias("frames"), F.min_by(F.size("kpts"), "frame").alias("joints"), (F.min(F.size("kpts")) == F.max(F.size("kpts"))).alias("stacked"))
