@@ -97,17 +97,14 @@ def tile_objects(objects: DataFrame, sizes=((256, 64),), min_iof: float = 0.7, m
 
 
 def tile_quads(objects: DataFrame, sizes=((256, 64),), min_iof: float = 0.7) -> DataFrame:
-    """As ``tile_objects`` for four-point outlines in ``pts``."""
-    def rated(t):
-        rect = B.Box(*[t[c].cast("double") for c in ("x1", "y1", "x2", "y2")])
-        own = B.Box(*[F.col(f"_o.{c}") for c in ("x1", "y1", "x2", "y2")])
-        inside = (own.x1 >= rect.x1) & (own.y1 >= rect.y1) & (own.x2 <= rect.x2) & (own.y2 <= rect.y2)
-        most = B.intersection(own, rect) / F.greatest(F.col("_area"), F.lit(1e-6))
-        # clip only where the outline's box leaves the answer open
-        share = F.when(inside, F.lit(1.0)).when(most < min_iof, F.lit(0.0)).otherwise(G.quad_iof(F.col("pts"), rect))
-        return F.struct(t.alias("tile"), share.alias("iof"))
-
-    made = objects.withColumn("_o", G.points_box(F.col("pts"))).withColumn("_area", G.polygon_area(F.col("pts")))
-    hits = F.filter(F.transform(G.tile_windows(F.col("w"), F.col("h"), sizes), rated), lambda r: r["iof"] >= min_iof)
-    out = made.withColumn("_hit", F.explode(hits))
-    return out.select(*objects.columns, F.col("_hit.tile").alias("tile"), F.col("_hit.iof").alias("iof"))
+    """As ``tile_objects`` for four-point outlines in ``pts``: of the tiles that the outline's box touches, those that hold enough of it."""
+    bounds = G.points_box(F.col("pts"))
+    bounded = objects.select(F.struct("*").alias("_object"), "w", "h", *[bounds[c].alias(c) for c in ("x1", "y1", "x2", "y2")], G.polygon_area(F.col("pts")).alias("_area"))
+    rect = B.Box(*[F.col(f"tile.{c}").cast("double") for c in ("x1", "y1", "x2", "y2")])
+    own = B.box()
+    inside = (own.x1 >= rect.x1) & (own.y1 >= rect.y1) & (own.x2 <= rect.x2) & (own.y2 <= rect.y2)
+    most = B.intersection(own, rect) / F.greatest(F.col("_area"), F.lit(1e-6))
+    # clip only where the outline's box leaves the answer open
+    share = F.when(inside, F.lit(1.0)).when(most < min_iof, F.lit(0.0)).otherwise(G.quad_iof(F.col("_object.pts"), rect))
+    touched = tile_objects(bounded, sizes, min_iof=0.0).withColumn("iof", share)
+    return touched.where(F.col("iof") >= min_iof).select("_object.*", "tile", "iof")
