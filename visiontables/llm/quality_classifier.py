@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visiontables.llm.logistic import Logistic, fit
-from visiontables.llm.quality_rules import _sums, measure
-from visiontables.llm.words import buffers
+from visiontables.llm.quality_rules import measure
+from visiontables.llm.words import buffers, runs, sums
 from visiontables.operators.stages import materialize
 
 #: Labelled documents that the document model is fitted on, at most; the first ones by hash.
@@ -39,14 +39,18 @@ _SHOUT[33] = True
 
 def text_features(texts: pa.Array) -> np.ndarray:
     """Rows of: log words, word length, shares of marks, bars, exclamations, upper case and digits, repeated words, repeated lines, ratio."""
+    return np.concatenate([_features(part) for part in runs(texts)] or [_features(texts)])
+
+
+def _features(texts: pa.Array) -> np.ndarray:
     data, offsets = buffers(texts)
     seen = measure(texts)
     words = np.maximum(seen.column("n_words").to_numpy().astype(float), 1)
     chars = np.maximum(seen.column("word_chars").to_numpy().astype(float), 1)
-    letters = np.maximum(_sums(_LETTER[data], offsets), 1)
-    per_word = [np.minimum(_sums(flags[data], offsets) / words, 3) for flags in (_MARK, _BAR, _SHOUT)]
+    letters = np.maximum(sums(_LETTER[data], offsets), 1)
+    per_word = [np.minimum(sums(flags[data], offsets) / words, 3) for flags in (_MARK, _BAR, _SHOUT)]
     ratio = np.asarray([1.0 if r is None else r for r in seen.column("ratio").to_pylist()], dtype=float)
-    return np.column_stack((np.log(words), np.minimum(chars / words, 30), *per_word, _sums(_UPPER[data], offsets) / letters, _sums(_DIGIT[data], offsets) / chars,
+    return np.column_stack((np.log(words), np.minimum(chars / words, 30), *per_word, sums(_UPPER[data], offsets) / letters, sums(_DIGIT[data], offsets) / chars,
                             seen.column("n_repeat_words").to_numpy() / words, seen.column("n_dup_lines").to_numpy() / words, np.minimum(ratio, 2)))
 
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-from visiontables.llm.words import SPACE, buffers, scan, windows
+from visiontables.llm.words import SPACE, buffers, runs, scan, sums, windows
 
 #: (documents up to so many bytes, least ratio, largest ratio) of compressed to plain size.
 BANDS = ((512, 0.40, 0.95), (1024, 0.37, 0.90), (2048, 0.33, 0.85), (4096, 0.30, 0.80), (16384, 0.27, 0.75), (1 << 62, 0.22, 0.72))
@@ -33,11 +33,6 @@ _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-    return total[offsets[1:]] - total[offsets[:-1]]
-
-
 def _repeated(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Words that stand in a 3-word window found twice or more in their document."""
     grams, ends = windows(words, bounds, 3)
@@ -52,7 +47,7 @@ def _repeated(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         at = (np.arange(len(grams)) - ends[owner] + bounds[owner])[twice]
         for k in range(3):
             marked[at + k] = True
-    return _sums(marked[:-1], bounds)
+    return sums(marked[:-1], bounds)
 
 
 def _repeated_lines(text: str) -> int:
@@ -76,15 +71,20 @@ def _verdict(size: int, ratio: float, n_chunks: int, low: int, high: int) -> str
 
 
 def measure(texts: pa.Array) -> pa.RecordBatch:
-    """One row of MEASURES for each text; NULL counts as empty."""
+    """One row of MEASURES for each text; NULL counts as empty. A megabyte of text is worked on at a time."""
+    parts = [_measure(part) for part in runs(texts)] or [_measure(texts)]
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0]
+
+
+def _measure(texts: pa.Array) -> pa.RecordBatch:
     texts = pc.fill_null(texts, "")
     data, offsets = buffers(texts)
     n_words, repeats = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     for low, high, words, bounds in scan(texts, lower=False):
         n_words[low:high] = np.diff(bounds)
         repeats[low:high] = _repeated(words, bounds)
-    points = _sums((data & 0xC0) != 0x80, offsets) - _sums(SPACE[data], offsets)
-    symbols = _sums(_SYMBOL[data], offsets)
+    points = sums((data & 0xC0) != 0x80, offsets) - sums(SPACE[data], offsets)
+    symbols = sums(_SYMBOL[data], offsets)
     failed = (n_words < MIN_WORDS) | (100 * repeats > 50 * n_words)
     press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
     view = memoryview(data)

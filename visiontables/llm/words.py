@@ -78,6 +78,24 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
 
 
+def runs(texts: pa.Array, most: int = SEGMENT) -> Iterator[pa.Array]:
+    """The texts in slices of at most ``most`` bytes, or of one longer text."""
+    _, offsets = buffers(texts)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of the flags between each two offsets are set."""
+    if len(offsets) < 2:
+        return np.zeros(0, np.int64)
+    total = np.add.reduceat(np.append(flags, False), offsets[:-1], dtype=np.int64)
+    return np.where(offsets[1:] > offsets[:-1], total, 0)
+
+
 def _segment(data: np.ndarray, starts_doc: np.ndarray, seps: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of some bytes, where the words begin and where they end; ``starts_doc`` are positions where a new document begins."""
     inside = ~seps[data]
