@@ -6,11 +6,14 @@ taken over boxes, and what survives is verified on the sets.
 
 A single tree over all documents would not be a distributed job, so the groups also say which points have to meet at all.
 Two sets that link differ in at most D shingles. With more than D groups, some group has the very same shingles in both; the
-groups' contents are keys, and only documents that share one are put into one tree. Nothing that links is lost. A few more
-groups than D + 1 let empty groups go unused, which documents would share by chance.
-
-Equal sets are one point. A cluster of documents that meet is as long as its shingles fit a task; a larger one is first tried
-against one of its documents, and the documents not settled by that meet the others tile by tile.
+groups' contents are keys, and only documents that a chain of shared keys connects can link. Nothing that links is lost. A
+few more groups than D + 1 let empty groups go unused, which documents would share by chance, and shingles that many
+documents share are left out of the contents.
+
+Such clusters are split twice. First the trees connect the points whose bound allows a link; that needs no sets, only some
+bytes a document. Then the sets of each part that is left are fetched, and the trees' surviving pairs are verified until all
+are connected that links connect. Equal sets are one point throughout. A cluster is as large as fits a task; a larger one is
+first tried against one of its documents, and the documents not settled by that meet the others tile by tile.
 """
 
 from __future__ import annotations
@@ -19,15 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visiontables.llm.components import components
 from visiontables.llm.words import distinct, mix, scan, windows
 from visiontables.operators.stages import discard, materialize
 
-#: Coordinates of a point.
+#: Coordinates by which a tree prunes; a point has more, a power of two of them, one for SHINGLES_PER_GROUP or fewer.
 GROUPS = 32
+SHINGLES_PER_GROUP = 8
+MOST_GROUPS = 4096
 #: Children of a node of the tree.
 FANOUT = 16
 #: Largest set sizes of the size classes, each half as large again as the one before.
@@ -35,42 +41,73 @@ SIZES = [8]
 while SIZES[-1] < 1 << 40:
     SIZES.append(SIZES[-1] * 3 // 2)
 SIZES = np.asarray(SIZES)
-#: Shingles that meet in one task; bounds its memory.
+#: Points, and shingles, that meet in one task; bounds its memory.
+TASK_POINTS = 20_000
 TASK_SHINGLES = 2_000_000
+#: Neighbours by size among which a tree's order goes by the other coordinates.
+SLAB = 512
+#: Documents looked at for common shingles, about, and how many of them share one.
+SAMPLED = 10_000
+COMMON = 5
 #: Documents seen by a task whose keys it does not send twice.
 REMEMBERED = 500_000
 
 
-def keys_of(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, number of the set) such that any two different sets that link share a key."""
+def keys_of(sets: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(key, number of the set) such that any two different sets that link share a key.
+
+    Shingles of ``common`` (sorted) are left out of the contents: that can only lessen the differences between two sets, so
+    the count of groups still suffices, and what many documents share by custom makes no keys. Of two sets that link, more
+    than ``spare`` groups are equal, so unless both have more empty groups than that they share a filled one. Sets with so
+    many empty groups have keys of all their shingles besides.
+    """
     n = np.diff(bounds)
-    out_keys, out_sets = [], []
-    own = np.searchsorted(SIZES, n)
-    reach = np.searchsorted(SIZES, n * 100 // percent)
+    own, reach = np.searchsorted(SIZES, n), np.searchsorted(SIZES, n * 100 // percent)
+    out_keys, out_sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    some = common is not None and len(common)
+    if some:
+        rare = common[np.minimum(np.searchsorted(common, sets), len(common) - 1)] != sets
+        owner = np.repeat(np.arange(len(n)), n)[rare]
+        kept = sets[rare], np.searchsorted(owner, np.arange(len(n) + 1))
     for up in range(int((reach - own).max(initial=0)) + 1):
         chosen = np.flatnonzero((n > 0) & (own + up <= reach))
         differ = 2 * SIZES[own[chosen] + up] * (100 - percent) // (100 + percent)
         chosen, differ = chosen[differ > 0], differ[differ > 0]
-        if not len(chosen):
-            continue
-        spare = 1 + differ // 8
-        groups = differ + 1 + spare
-        base = np.concatenate(([0], np.cumsum(groups)))
-        member = np.repeat(np.arange(len(chosen)), n[chosen])
-        values = sets[np.arange(len(member)) - np.repeat(np.concatenate(([0], np.cumsum(n[chosen])[:-1])), n[chosen]) + np.repeat(bounds[:-1][chosen], n[chosen])]
-        cell = base[member] + (mix(values ^ np.uint64(0x5851F42D4C957F2D)) % groups[member].astype(np.uint64)).astype(np.int64)
-        total = int(base[-1])
-        content = np.zeros(total, np.uint64)
-        np.add.at(content, cell, mix(values + np.uint64(0x14057B7EF767814F)))
-        size = np.bincount(cell, minlength=total)
-        owner = np.repeat(np.arange(len(chosen)), groups)
-        empty = np.bincount(owner[size == 0], minlength=len(chosen))
-        used = (size > 0) | (empty > spare)[owner]
-        number = np.arange(total) - base[owner]
-        key = mix(content + mix(number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + groups[owner].astype(np.uint64)) + size.astype(np.uint64))
-        out_keys.append(key[used])
-        out_sets.append(chosen[owner[used]])
-    return (np.concatenate(out_keys), np.concatenate(out_sets)) if out_keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        if some and len(chosen):
+            keys, of, crowded = _contents(*kept, chosen, differ, all_empty=False)
+            out_keys.append(keys)
+            out_sets.append(of)
+            chosen, differ = chosen[crowded], differ[crowded]
+        if len(chosen):
+            keys, of, _ = _contents(sets, bounds, chosen, differ, all_empty=True)
+            out_keys.append(keys)
+            out_sets.append(of)
+    return np.concatenate(out_keys), np.concatenate(out_sets)
+
+
+def _contents(sets: np.ndarray, bounds: np.ndarray, chosen: np.ndarray, differ: np.ndarray, all_empty: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, set) of the groups of the chosen sets, and which sets have more empty groups than are to spare.
+
+    Those of them have keys for their empty groups too where ``all_empty`` is set.
+    """
+    spare = 1 + differ // 8
+    groups = differ + 1 + spare
+    base = np.concatenate(([0], np.cumsum(groups)))
+    size = np.diff(bounds)[chosen]
+    member = np.repeat(np.arange(len(chosen)), size)
+    values = sets[np.arange(len(member)) + np.repeat(bounds[:-1][chosen] - np.concatenate(([0], np.cumsum(size)[:-1])), size)]
+    cell = base[member] + (mix(values ^ np.uint64(0x5851F42D4C957F2D)) % groups[member].astype(np.uint64)).astype(np.int64)
+    total = int(base[-1])
+    content = np.zeros(total, np.uint64)
+    np.add.at(content, cell, mix(values + np.uint64(0x14057B7EF767814F)))
+    filled = np.bincount(cell, minlength=total)
+    owner = np.repeat(np.arange(len(chosen)), groups)
+    crowded = np.bincount(owner[filled == 0], minlength=len(chosen)) > spare
+    used = (filled > 0) | (crowded[owner] & all_empty)
+    number = np.arange(total) - base[owner]
+    salt = groups[owner].astype(np.uint64) * np.uint64(2) + np.uint64(all_empty)
+    key = mix(content + mix(number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt) + filled.astype(np.uint64))
+    return key[used], chosen[owner[used]], crowded
 
 
 def class_of(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -92,8 +129,17 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+def points_of(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group counts of each set one after the other, and where each set's begin."""
+    n = np.diff(bounds)
+    groups = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / SHINGLES_PER_GROUP)).astype(np.int64).clip(0), GROUPS, MOST_GROUPS)
+    base = np.concatenate(([0], np.cumsum(groups)))
+    cell = np.repeat(base[:-1], n) + (mix(sets) & np.repeat(groups - 1, n).astype(np.uint64)).astype(np.int64)
+    return np.bincount(cell, minlength=int(base[-1])).astype(np.uint32), base
+
+
 def _classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, cls) of every row; cls is NULL for an empty set."""
+    """(doc_id, n_shingles, cls, point) of every row; cls is NULL for an empty set."""
     rows = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,12 +147,24 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
             for low, high, sets, bounds in shingle_sets(batch.column(1), n):
                 size = np.diff(bounds)
                 cls = class_of(sets, bounds).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(size), pa.array(cls, mask=size == 0)], names=["doc_id", "n_shingles", "cls"])
+                counts, base = points_of(sets, bounds)
+                wide = counts.astype("<u2") if counts.max(initial=0) < 1 << 16 else counts.astype("<u4")
+                raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((base * wide.itemsize).astype(np.int32)), pa.py_buffer(wide)])
+                marked = pa.array(np.full(len(size), wide.itemsize, np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(size), pa.array(cls, mask=size == 0), raw, marked], names=["doc_id", "n_shingles", "cls", "point", "width"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, cls bigint, point binary, width int")
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, cls bigint")
 
+def _common(docs: DataFrame, n: int, total: int) -> np.ndarray:
+    """Shingles that COMMON or more of about SAMPLED different documents share, chosen by a hash; the result is exact without them too."""
+    every = max(1, total // SAMPLED)
+    sets = _sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), n).dropDuplicates(["cls"])
+    counted = sets.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON)
+    return np.sort(counted.select("s").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
-def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
+
+def _keys(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
     """(key, cls): the keys of every different set that a task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +178,7 @@ def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 seen.update(cls[new].tolist())
-                keys, of = keys_of(sets, bounds, percent)
+                keys, of = keys_of(sets, bounds, percent, common)
                 keys, of = keys[new[of]], of[new[of]]
                 for k in range(0, max(len(keys), 1), 100_000):
                     yield pa.RecordBatch.from_arrays([_signed(keys[k:k + 100_000]), _signed(cls[of[k:k + 100_000]])], names=["key", "cls"])
@@ -151,10 +209,12 @@ def _meetings(keys: DataFrame) -> DataFrame:
 def tree(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Order of the points, and the tree's levels from the points up: low corners, high corners and smallest sizes of each node.
 
-    The order comes from halving at the median of the widest coordinate, so neighbours are close; node k of a level holds
-    nodes FANOUT * k and so on of the level below. Levels are filled up with nodes that nothing can overlap.
+    The order goes by size, and among SLAB neighbours by halving at the median of the widest coordinate, so neighbours are
+    close; node k of a level holds nodes FANOUT * k and so on of the level below. Levels are filled up with nodes that nothing
+    can overlap.
     """
-    order, stack = [], [np.arange(len(points))]
+    by_size = np.argsort(sizes, kind="stable")
+    order, stack = [], [by_size[k:k + SLAB] for k in range(0, len(points), SLAB)][::-1]
     while stack:
         part = stack.pop()
         if len(part) <= FANOUT:
@@ -180,12 +240,23 @@ def tree(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[tuple[
         low, high, small = low.reshape(-1, FANOUT, low.shape[1]).min(1), high.reshape(-1, FANOUT, high.shape[1]).max(1), small.reshape(-1, FANOUT).min(1)
 
 
-def linked(sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Enough verified links (i, j) to connect all sets that links connect; sets with one label count as connected already."""
-    sizes = np.asarray([len(s) for s in sets], dtype=np.int64)
-    points = np.stack([np.bincount((mix(s) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
-    order, levels = tree(points, sizes)
-    label = np.arange(len(sets)) if labels is None else labels.copy()
+def _folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """A point's counts in fewer groups."""
+    return point.reshape(-1, groups).sum(0, dtype=np.int64)
+
+
+def _joined(points: list[np.ndarray], sizes: np.ndarray, percent: int, label: np.ndarray, test) -> list[tuple[int, int]]:
+    """Pairs (i, j) that ``test`` accepts, enough to connect all that such pairs connect; ``label`` says what is connected.
+
+    The tree is joined with itself. Pairs of nodes whose boxes can't hold the shared shingles that a link needs are left
+    out; of the pairs of points that remain, those in different parts are checked on all their groups and then tested.
+    """
+    coarse = np.stack([_folded(p, GROUPS) for p in points]).astype(np.int32)
+    order, levels = tree(coarse, sizes)
+    leaves = []
+    for k in range(0, len(order), FANOUT):
+        own = [points[i] for i in order[k:k + FANOUT]]
+        leaves.append(np.stack([_folded(p, min(map(len, own))) for p in own]))
     found: list[tuple[int, int]] = []
     stack = [(len(levels) - 1, 0, 0)]
     step = np.arange(FANOUT)
@@ -193,57 +264,147 @@ def linked(sets: list[np.ndarray], percent: int, labels: np.ndarray | None = Non
         level, a, b = stack.pop()
         _, high, small = levels[level]
         left, right = slice(a * FANOUT, (a + 1) * FANOUT), slice(b * FANOUT, (b + 1) * FANOUT)
+        if not level:
+            i, j = order[left], order[right]
+            differ = label[i][:, None] != label[j][None, :]
+            if not differ.any():
+                continue
         shared = np.minimum(high[left][:, None, :], high[right][None, :, :]).sum(2, dtype=np.int64)
-        ok = (100 + percent) * shared >= percent * (small[left][:, None] + small[right][None, :])
+        needed = percent * (small[left][:, None] + small[right][None, :])
+        ok = (100 + percent) * shared >= needed
         if a == b:
             ok &= step[:, None] <= step[None, :] if level else step[:, None] < step[None, :]
-        rows, cols = np.nonzero(ok)
         if level:
-            stack += [(level - 1, a * FANOUT + int(i), b * FANOUT + int(j)) for i, j in zip(rows, cols, strict=True)]
+            rows, cols = np.nonzero(ok)
+            stack += [(level - 1, a * FANOUT + int(r), b * FANOUT + int(c)) for r, c in zip(rows, cols, strict=True)]
             continue
-        i, j = order[a * FANOUT + rows], order[b * FANOUT + cols]
-        open_ = label[i] != label[j]
-        for x, y in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
-            if label[x] == label[y]:
-                continue
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+        ok = ok[:len(i), :len(j)] & differ
+        if not ok.any():
+            continue
+        one, other = leaves[a], leaves[b]
+        groups = min(one.shape[1], other.shape[1])
+        one, other = one.reshape(len(one), -1, groups).sum(1), other.reshape(len(other), -1, groups).sum(1)
+        rows, cols = np.nonzero(ok & ((100 + percent) * np.minimum(one[:, None, :], other[None, :, :]).sum(2) >= needed[:len(i), :len(j)]))
+        for x, y in zip(i[rows].tolist(), j[cols].tolist(), strict=True):
+            if label[x] != label[y] and test(x, y):
                 found.append((x, y))
                 label[label == label[y]] = label[x]
     return found
 
 
-def _verified(tasks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): verified links inside each task; rows are (task columns..., cls, settled, shingles)."""
-    names = [c for c in tasks.columns if c not in ("cls", "settled", "shingles")]
+def linked(sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Enough verified links (i, j) to connect all sets that links connect; sets with one label count as connected already."""
+    sizes = np.asarray([len(s) for s in sets], dtype=np.int64)
+    counts, base = points_of(np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes))))
+
+    def verify(x: int, y: int) -> bool:
+        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        return 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both)
+
+    return _joined(np.split(counts, base[1:-1]), sizes, percent, np.arange(len(sets)) if labels is None else labels.copy(), verify)
+
+
+def may_link(points: list[np.ndarray], sizes: np.ndarray, percent: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Enough pairs (i, j) to connect all points that pairs whose bound allows a link connect."""
+    return _joined(points, sizes, percent, np.arange(len(points)) if labels is None else labels.copy(), lambda x, y: True)
+
+
+def _pairs(tasks: DataFrame, payload: list[str], find) -> DataFrame:
+    """(a, b): what ``find(rows of payload, labels)`` connects inside each task; rows are (task columns..., cls, settled, payload...)."""
+    names = [c for c in tasks.columns if c not in ("cls", "settled", *payload)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(cls: list[int], settled: list[bool], sets: list[np.ndarray]) -> pa.RecordBatch:
+        def links(cls: list[int], settled: list[bool], rows: list[tuple]) -> pa.RecordBatch:
             labels = np.arange(len(cls))
             labels[np.asarray(settled, dtype=bool)] = len(cls)
-            pairs = linked(sets, percent, labels) if len(cls) > 1 else []
+            pairs = find(rows, labels) if len(cls) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([cls[i] for i, _ in pairs], pa.int64()), pa.array([cls[j] for _, j in pairs], pa.int64())], names=["a", "b"])
 
-        key, cls, settled, sets = None, [], [], []
+        key, cls, settled, rows = None, [], [], []
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True))
-            own, flags, lists = batch.column("cls").to_pylist(), batch.column("settled").to_pylist(), batch.column("shingles")
-            flat, offsets = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+            keys = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+            own, flags = batch.column("cls").to_pylist(), batch.column("settled").to_pylist()
+            columns = [batch.column(c) for c in payload]
             for r, task in enumerate(keys):
                 if task != key:
                     if len(cls) > 1:
-                        yield links(cls, settled, sets)
-                    key, cls, settled, sets = task, [], [], []
+                        yield links(cls, settled, rows)
+                    key, cls, settled, rows = task, [], [], []
                 if cls and own[r] == cls[-1]:
                     continue
                 cls.append(own[r])
                 settled.append(flags[r])
-                sets.append(flat[offsets[r]:offsets[r + 1]].copy())
-        yield links(cls, settled, sets)
+                rows.append(tuple(c[r] for c in columns))
+        yield links(cls, settled, rows)
 
     return tasks.repartition(*names).sortWithinPartitions(*names, "cls").mapInArrow(run, "a bigint, b bigint")
 
 
+def _connected(members: DataFrame, payload: list[str], weight: Column, limit: int, find, hub_test) -> DataFrame:
+    """(a, b) from ``find`` over ``members`` (root, cls, payload...), only members of one root being tried with each other.
+
+    Roots whose members weigh up to ``limit`` are one task. Members of larger ones are settled if ``hub_test`` accepts them
+    with the member that is the root; tiles of the others meet each other and the tiles of the settled ones.
+    """
+    own = members.select("root", "cls", *payload)
+    weights = materialize(own.groupBy("root").agg(F.sum(weight).alias("weight")).where(F.col("weight") > limit), "large")
+    pairs = _pairs(own.join(weights, "root", "left_anti").select("root", "cls", F.lit(False).alias("settled"), *payload), payload, find)
+    if weights.isEmpty():
+        return pairs
+    large = own.join(weights.select("root"), "root", "left_semi")
+    hub = large.where(F.col("cls") == F.col("root")).select("root", *[F.col(c).alias(f"hub_{c}") for c in payload])
+    tried = materialize(large.join(hub, "root").select("root", "cls", *payload, hub_test.alias("settled")), "tried")
+    half = F.lit(2 / limit)
+    tiles = materialize(tried.groupBy("root").agg(
+        F.ceil(F.sum(F.when(~F.col("settled"), weight).otherwise(0)) * half).cast("int").alias("n_open"),
+        F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("settled"), weight).otherwise(0)) * half)).cast("int").alias("n_settled")), "tiles")
+    at = lambda m: F.pmod(F.xxhash64("cls"), F.greatest(F.lit(1), F.col(m))).cast("int")
+    upto = lambda m: F.sequence(F.lit(0), F.col(m) - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    among = F.transform(upto("n_open"), lambda k: cell("open", F.least(k, at("n_open")), F.greatest(k, at("n_open"))))
+    with_settled = F.transform(upto("n_settled"), lambda k: cell("settled", at("n_open"), k))
+    with_open = F.transform(upto("n_open"), lambda k: cell("settled", k, at("n_settled")))
+    spread = (tried.join(tiles, "root").where(F.col("n_open") > 0)
+              .withColumn("task", F.explode(F.when(F.col("settled"), with_open).otherwise(F.concat(among, with_settled))))
+              .select("root", F.col("task.kind").alias("kind"), F.col("task.i").alias("i"), F.col("task.j").alias("j"), "cls", "settled", *payload))
+    stars = tried.where(F.col("settled") & (F.col("cls") != F.col("root"))).select(F.col("cls").alias("a"), F.col("root").alias("b"))
+    return pairs.unionAll(stars).unionAll(_pairs(spread, payload, find))
+
+
+def _point(raw: pa.Scalar, width: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(raw.as_py(), dtype=f"<u{width.as_py()}")
+
+
+def _bounded(members: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Pairs of members (root, cls, n_shingles, point, width) of one root whose bound allows a link."""
+
+    def find(rows: list[tuple], labels: np.ndarray) -> list[tuple[int, int]]:
+        return may_link([_point(r[1], r[2]) for r in rows], np.asarray([r[0].as_py() for r in rows], dtype=np.int64), percent, labels)
+
+    @F.arrow_udf(T.BooleanType())
+    def allowed(n: pa.Array, point: pa.Array, width: pa.Array, hub_n: pa.Array, hub_point: pa.Array, hub_width: pa.Array) -> pa.Array:
+        out = []
+        for m, p, w, k, q, v in zip(n, point, width, hub_n, hub_point, hub_width, strict=True):
+            one, other = _point(p, w), _point(q, v)
+            groups = min(len(one), len(other))
+            out.append((100 + percent) * int(np.minimum(_folded(one, groups), _folded(other, groups)).sum()) >= percent * (m.as_py() + k.as_py()))
+        return pa.array(out, pa.bool_())
+
+    payload = ["n_shingles", "point", "width"]
+    return _connected(members, payload, F.lit(1), limit, find, allowed(*payload, *[f"hub_{c}" for c in payload]))
+
+
+def _links(members: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Verified links (a, b) among ``members`` (root, cls, shingles); only members of one root can link."""
+
+    def find(rows: list[tuple], labels: np.ndarray) -> list[tuple[int, int]]:
+        return linked([r[0].values.to_numpy(zero_copy_only=False).view(np.uint64) for r in rows], percent, labels)
+
+    n = F.size("shingles").cast("bigint")
+    both = F.size(F.array_intersect("shingles", "hub_shingles")).cast("bigint")
+    return _connected(members, ["shingles"], n, limit, find, 100 * both >= percent * (n + F.size("hub_shingles") - both))
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     """(cls, shingles) of every row with a set."""
 
@@ -257,38 +418,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls bigint, shingles array<bigint>")
 
 
-def _links(members: DataFrame, percent: int, task_shingles: int) -> DataFrame:
-    """Verified links (a, b) among ``members`` (root, cls, shingles); only members of one root can link."""
-    n = F.size("shingles").cast("bigint")
-    weights = materialize(members.groupBy("root").agg(F.sum(n).alias("weight")).where(F.col("weight") > task_shingles), "large")
-    usual = members.join(weights, "root", "left_anti").select("root", "cls", F.lit(False).alias("settled"), "shingles")
-    links = _verified(usual, percent)
-    if weights.isEmpty():
-        return links
-    large = members.join(weights.select("root"), "root", "left_semi").dropDuplicates(["root", "cls"])
-    hub = large.where(F.col("cls") == F.col("root")).select("root", F.col("shingles").alias("hub"))
-    both = F.size(F.array_intersect("shingles", "hub")).cast("bigint")
-    union = n + F.size("hub") - both
-    tried = materialize(large.join(hub, "root").select("root", "cls", "shingles", (100 * both >= percent * union).alias("settled")), "tried")
-    tiles = materialize(tried.groupBy("root").agg(
-        F.ceil(F.sum(F.when(~F.col("settled"), n).otherwise(0)) * 2 / task_shingles).cast("int").alias("n_open"),
-        F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("settled"), n).otherwise(0)) * 2 / task_shingles)).cast("int").alias("n_settled")), "tiles")
-    placed = tried.join(tiles, "root")
-    at = lambda m: F.pmod(F.xxhash64("cls"), F.greatest(F.lit(1), F.col(m))).cast("int")
-    upto = lambda m: F.sequence(F.lit(0), F.col(m) - 1)
-    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-    own = at("n_open")
-    among = F.transform(upto("n_open"), lambda k: cell("open", F.least(k, own), F.greatest(k, own)))
-    with_settled = F.transform(upto("n_settled"), lambda k: cell("settled", own, k))
-    with_open = F.transform(upto("n_open"), lambda k: cell("settled", k, at("n_settled")))
-    spread = (placed.where(F.col("n_open") > 0)
-              .withColumn("task", F.explode(F.when(F.col("settled"), with_open).otherwise(F.concat(among, with_settled))))
-              .select("root", F.col("task.kind").alias("kind"), F.col("task.i").alias("i"), F.col("task.j").alias("j"), "cls", "settled", "shingles"))
-    stars = tried.where(F.col("settled") & (F.col("cls") != F.col("root"))).select(F.col("cls").alias("a"), F.col("root").alias("b"))
-    return links.unionAll(stars).unionAll(_verified(spread, percent))
-
-
-def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, task_shingles: int = TASK_SHINGLES, task_points: int = TASK_POINTS) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of ``docs``; documents of one component are connected by links.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets. component_id is the smallest doc_id of
@@ -299,17 +429,18 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, task_s
     if not 70 <= percent <= 100:
         raise ValueError("percent is from 70 to 100")
     rows = materialize(_classes(docs, n), "classes")
-    met = components(_meetings(_keys(docs, n, percent)))
-    clusters = materialize(met, "clusters")
+    met = materialize(components(_meetings(_keys(docs, n, percent, _common(docs, n, rows.count())))), "met")
+    points = rows.join(met.withColumnRenamed("node", "cls"), "cls").select("root", "cls", "n_shingles", "point", "width").dropDuplicates(["cls"])
+    clusters = materialize(components(_bounded(points, percent, task_points)), "clusters")
     reps = rows.join(clusters.select(F.col("node").alias("cls")), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("_rep"))
     wanted = materialize(reps.select("_rep").distinct(), "wanted")
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
     members = materialize(_sets(texts, n).join(clusters.select(F.col("node").alias("cls"), "root"), "cls").select("root", "cls", "shingles"), "members")
     joined = components(_links(members, percent, task_shingles))
-    named = rows.join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("_c", F.coalesce("root", "cls"))
+    named = rows.select("doc_id", "n_shingles", "cls").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("_c", F.coalesce("root", "cls"))
     least = named.where(F.col("_c").isNotNull()).groupBy("_c").agg(F.min("doc_id").alias("component_id"))
     out = materialize(named.join(least, "_c", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "components")
-    for stage in (rows, clusters, wanted, members):
+    for stage in (rows, met, clusters, wanted, members):
         discard(stage)
     return out
 
