@@ -2,7 +2,8 @@
 
 The table is reduced to cells of source, language and topic with their tokens. Each cell has a probability of keeping its
 documents; the probabilities are raked: scaled source by source, language by language, topic by topic to the tokens that each
-should have, cut at 1, until nothing moves. A document stays if its hash, read as a number from 0 to 1, is below its cell's
+should have, cut at 1, until nothing moves. A value that lacks the tokens for its target is kept whole and the others make up
+for it. A document stays if its hash, read as a number from 0 to 1, is below its cell's
 probability, so each value's expected tokens are its target wherever the table has enough of it.
 """
 
@@ -18,13 +19,16 @@ from visiontables.operators.stages import discard, materialize
 #: Share of all tokens to keep, and the powers of a value's share of tokens that make its target share.
 RATE = 0.6
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
-ROUNDS = 40
+ROUNDS = 25
 #: Raking ends when no probability moved by more than this in a round.
-STILL = 1e-3
+STILL = 5e-3
+#: Levels tried at once for the goals of a marginal, and how often the grid is narrowed.
+GRID = 32
+STEPS = 3
 SEED = 20240801
 
 # What makes a text of a topic, the first that fits; all others are prose.
-TOPICS = (("legal", r"(?i)\b(licen[cs]e[ds]?|copyright|rights reserved)\b"), ("contact", r"[\w.]+@[\w-]+\.|\+\d[\d ()-]{7,}"), ("table", r" \| .* \| "), ("numbers", r"\d{6,}"))
+TOPICS = (("legal", r"(?i)licen[cs]e|copyright|rights reserved"), ("contact", r"@[\w-]+\.|\+\d[\d ()-]{7}"), ("table", r" \| "), ("numbers", r"\d{6}"))
 
 
 def topic_of(text: Column) -> Column:
@@ -41,31 +45,41 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def _targets(cells: DataFrame, name: str, power: float, shares: Mapping[str, float] | None) -> DataFrame:
-    """(value, share): what a value should have of all tokens; from ``shares``, or its own share raised to ``power``."""
-    total = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
+def _goals(cells: DataFrame, name: str, wanted: float, power: float, shares: Mapping[str, float] | None) -> DataFrame:
+    """(_value, goal): the tokens a value should keep, in proportion to its weight but at most what it has, ``wanted`` in all.
+
+    What values with too few tokens leave is spread over the others: goals are min(tokens, level * weight), and the level is
+    found by narrowing a grid of levels, one aggregation a step.
+    """
     if shares is None:
         weight = F.pow("t", F.lit(power))
     else:
         weight = F.coalesce(*[F.when(F.col(name) == value, F.lit(float(share))) for value, share in shares.items()], F.lit(0.0))
-    weighed = total.select(name, weight.alias("w"))
-    everything = weighed.agg(F.sum("w").alias("all"))
-    return weighed.withColumn("all", F.lit(everything.first()["all"])).select(F.col(name).alias("_value"), F.coalesce(F.col("w") / F.nullif("all", F.lit(0.0)), F.lit(0.0)).alias("share"))
+    values = materialize(cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0").select(F.col(name).alias("_value"), "t", weight.alias("w")), "values")
+    ends = values.where("w > 0").agg(F.min(F.col("t") / F.col("w")), F.max(F.col("t") / F.col("w")), F.sum("t"), F.sum("w")).first()
+    if not ends[3]:
+        return values.select("_value", F.lit(0.0).alias("goal"))
+    low, high = min(ends[0], wanted / ends[3]), ends[1]
+    for _ in range(STEPS if ends[2] > wanted else 0):
+        levels = [low + (high - low) * (k / GRID) ** 2 for k in range(GRID + 1)]
+        sums = values.agg(*[F.sum(F.least("t", F.lit(x) * F.col("w"))) for x in levels]).first()
+        k = next((k for k in range(1, GRID + 1) if sums[k] >= wanted), GRID)
+        low, high = levels[k - 1], levels[k]
+    return values.select("_value", F.least("t", F.lit(high) * F.col("w")).alias("goal"))
 
 
 def rake(cells: DataFrame, names: Sequence[str] = tuple(POWERS), rate: float = RATE, shares: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (names..., tokens) with ``p``, the probability of a cell's documents."""
-    whole = cells.agg(F.sum("tokens")).first()[0] or 0
-    wanted = rate * whole
-    targets = {name: materialize(_targets(cells, name, POWERS.get(name, 1.0), (shares or {}).get(name)), "target") for name in names}
+    wanted = rate * (cells.agg(F.sum("tokens")).first()[0] or 0)
+    goals = {name: materialize(_goals(cells, name, wanted, POWERS.get(name, 1.0), (shares or {}).get(name)), "goals") for name in names}
     now = materialize(cells.withColumn("p", F.lit(float(rate))), "raked")
     for _ in range(rounds):
-        moved = now.withColumn("_was", F.col("p"))
+        moved = now.select(*names, "tokens", "p", F.col("p").alias("_was"))
         for name in names:
-            margin = moved.groupBy(F.col(name).alias("_value")).agg(F.sum(F.col("tokens") * F.col("p")).alias("_has"))
-            factors = margin.join(targets[name], margin["_value"].eqNullSafe(targets[name]["_value"])).select(margin["_value"], (F.col("share") * wanted / F.nullif("_has", F.lit(0.0))).alias("_f"))
-            moved = (moved.join(factors, F.col(name).eqNullSafe(F.col("_value")), "left")
-                     .withColumn("p", F.least(F.lit(1.0), F.col("p") * F.coalesce("_f", F.lit(1.0)))).drop("_value", "_f"))
+            margin = moved.groupBy(F.col(name).alias("_at")).agg(F.sum(F.col("tokens") * F.col("p")).alias("_has"))
+            factors = margin.join(goals[name], F.col("_at").eqNullSafe(F.col("_value"))).select("_at", (F.col("goal") / F.nullif("_has", F.lit(0.0))).alias("_f"))
+            moved = (moved.join(factors, F.col(name).eqNullSafe(F.col("_at")), "left")
+                     .withColumn("p", F.least(F.lit(1.0), F.col("p") * F.coalesce("_f", F.lit(1.0)))).drop("_at", "_f"))
         last, now = now, materialize(moved, "raked")
         discard(last)
         if (now.agg(F.max(F.abs(F.col("p") - F.col("_was")))).first()[0] or 0) <= STILL:
