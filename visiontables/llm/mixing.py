@@ -71,15 +71,17 @@ def _goals(cells: DataFrame, name: str, wanted: float, power: float, shares: Map
 def rake(cells: DataFrame, names: Sequence[str] = tuple(POWERS), rate: float = RATE, shares: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (names..., tokens) with ``p``, the probability of a cell's documents."""
     wanted = rate * (cells.agg(F.sum("tokens")).first()[0] or 0)
-    goals = {name: materialize(_goals(cells, name, wanted, POWERS.get(name, 1.0), (shares or {}).get(name)), "goals") for name in names}
-    now = materialize(cells.withColumn("p", F.lit(float(rate))), "raked")
+    start = cells.select(*names, "tokens", F.lit(float(rate)).alias("p"))
+    for name in names:
+        goals = materialize(_goals(cells, name, wanted, POWERS.get(name, 1.0), (shares or {}).get(name)), "goals").withColumnRenamed("goal", f"_goal_{name}")
+        start = start.join(goals, F.col(name).eqNullSafe(F.col("_value")), "left").drop("_value")
+    now = materialize(start, "raked")
     for _ in range(rounds):
-        moved = now.select(*names, "tokens", "p", F.col("p").alias("_was"))
+        moved = now.withColumn("_was", F.col("p"))
         for name in names:
             margin = moved.groupBy(F.col(name).alias("_at")).agg(F.sum(F.col("tokens") * F.col("p")).alias("_has"))
-            factors = margin.join(goals[name], F.col("_at").eqNullSafe(F.col("_value"))).select("_at", (F.col("goal") / F.nullif("_has", F.lit(0.0))).alias("_f"))
-            moved = (moved.join(factors, F.col(name).eqNullSafe(F.col("_at")), "left")
-                     .withColumn("p", F.least(F.lit(1.0), F.col("p") * F.coalesce("_f", F.lit(1.0)))).drop("_at", "_f"))
+            factor = F.coalesce(F.col(f"_goal_{name}") / F.nullif("_has", F.lit(0.0)), F.lit(1.0))
+            moved = moved.join(margin, F.col(name).eqNullSafe(F.col("_at")), "left").withColumn("p", F.least(F.lit(1.0), F.col("p") * factor)).drop("_at", "_has")
         last, now = now, materialize(moved, "raked")
         discard(last)
         if (now.agg(F.max(F.abs(F.col("p") - F.col("_was")))).first()[0] or 0) <= STILL:
