@@ -271,6 +271,35 @@ def test_toxicity_features_in_segments(monkeypatch):
     assert np.allclose(whole, toxicity.features(data, model))
 
 
+def test_toxicity_models_count_all_labels(spark):
+    """The joined ratios are those of the model in memory, and each labelled document of folds 1 to 3 is counted."""
+    rng = random.Random(3)
+    rows = [(k, " ".join("".join(rng.choices("abcd", k=4)) for _ in range(12)), int(k % 3 == 0)) for k in range(90)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, x) for k, _, x in rows], "doc_id long, toxic int")
+    taught = [(np.frombuffer(t.encode(), np.uint8), x) for k, t, x in rows if zlib.crc32(str(k).encode()) % 5 in (1, 2, 3)]
+    keys = np.unique(np.concatenate([toxicity.grams(t) for t, _ in taught]))
+    pair = [np.bincount(np.searchsorted(keys, np.concatenate([toxicity.grams(t) for t, x in taught if x == c])), minlength=len(keys)) for c in (1, 0)]
+    classes = toxicity.class_counts(docs, marks)
+    got = sorted((r["gram"], r["toxic"], r["ordinary"]) for r in classes.collect())
+    assert got == list(zip(keys.tolist(), pair[0].tolist(), pair[1].tolist(), strict=True))
+    all_grams = np.unique(np.concatenate([toxicity.grams(np.frombuffer(t.encode(), np.uint8)) for _, t, _ in rows]))
+    shared, below = [], np.unique(all_grams & toxicity._mask(4))
+    start = below
+    for k in (3, 2, 1):
+        below, counts = np.unique(below & toxicity._mask(k), return_counts=True)
+        shared.insert(0, (below, counts.astype(float)))
+    model = toxicity.ratios(keys, *pair, shared)
+    frame = lambda x: spark.createDataFrame([(int(k),) for k in x], "gram long")
+    joined = {r["gram"]: r["ratio"] for r in toxicity.gram_ratios(frame(all_grams), classes, frame(start)).collect()}
+    assert np.allclose([joined.get(int(k), 0.0) for k in all_grams], model.of(all_grams, 5))
+    # fewer rows for the weights leave the class models, and with them the ratios, as they are
+    few, many = ({r["doc_id"]: r["mean_ratio"] for r in toxicity.score_toxicity(docs, marks, most).collect()} for most in (5, 1000))
+    assert few == pytest.approx(many) and any(many.values())
+    want = {k: toxicity.features(np.frombuffer(t.encode(), np.uint8), model)[0] for k, t, _ in rows}
+    assert many == pytest.approx(want)
+
+
 def test_toxicity_finds_held_out(spark, none, odd, labels):
     rng = random.Random(7)
     plain_words, bad = ["lamp", "river", "stone", "walk", "green", "paper", "music", "table", "under", "seven"], ["zorkig", "vlumpa", "zorkeln"]
