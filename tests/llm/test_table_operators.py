@@ -219,6 +219,29 @@ def test_mixing_meets_targets(spark, documents, odd, none):
     assert mixing.mix_documents(none).count() == 0 and mixing.sample_documents(odd).columns == odd.columns
 
 
+def test_raking_ends_at_the_goals(spark, monkeypatch):
+    """Small shares of values that go together: every marginal within a thousandth of its own goal, or a warning; as a table alike."""
+    cells = [("a", "en", 90_000), ("a", "de", 3000), ("b", "en", 2000), ("b", "de", 50_000), (None, "en", 700), (None, "de", 9000)]
+    df = spark.createDataFrame(cells, "source string, lang string, tokens long")
+    shares = {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.85, "de": 0.15}}
+    got = mixing.rake(df, ("source", "lang"), 0.05, shares).collect()
+    for name, of in shares.items():
+        for value, share in of.items():
+            assert abs(sum(r["tokens"] * r["p"] for r in got if r[name] == value) / (share * 0.05 * 154_700) - 1) <= 1e-3
+    ps = []
+    for most in (mixing.SMALL, 0):
+        monkeypatch.setattr(mixing, "SMALL", most)
+        with pytest.warns(UserWarning, match="misses"):
+            ps.append({(r["source"], r["lang"]): r["p"] for r in mixing.rake(df, ("source", "lang"), 0.05, shares, rounds=1).collect()})
+    assert ps[0] == pytest.approx(ps[1], rel=1e-4)
+
+
+def test_topic_cues(spark):
+    cues = {"a | b": "prose", "a | b | c": "table", "see @x.": "prose", "ann@x.org": "contact", "silicense": "prose", "Licensed": "legal"}
+    got = spark.createDataFrame([(t,) for t in cues], "text string").select("text", mixing.topic_of(F.col("text")).alias("topic")).collect()
+    assert {r["text"]: r["topic"] for r in got} == cues
+
+
 # ---- pipeline
 
 

@@ -2,15 +2,19 @@
 
 The table is reduced to cells of source, language and topic with their tokens. Each cell has a probability of keeping its
 documents; the probabilities are raked: scaled source by source, language by language, topic by topic to the tokens that each
-should have, cut at 1, until nothing moves. A value that lacks the tokens for its target is kept whole and the others make up
-for it. A document stays if its hash, read as a number from 0 to 1, is below its cell's
+should have, cut at 1, until every value's tokens are within a thousandth of its goal. A value that lacks the tokens for its
+target is kept whole and the others make up for it; goals that can't be met together give a warning with the largest miss. A document stays if its hash, read as a number from 0 to 1, is below its cell's
 probability, so each value's expected tokens are its target wherever the table has enough of it.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +23,20 @@ from visiontables.operators.stages import discard, materialize
 #: Share of all tokens to keep, and the powers of a value's share of tokens that make its target share.
 RATE = 0.6
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
-ROUNDS = 25
-#: Raking ends when no probability moved by more than this in a round.
-STILL = 5e-3
-#: Levels tried at once for the goals of a marginal, and how often the grid is narrowed.
+ROUNDS = 200
+#: Raking ends when each value's tokens miss its goal by at most this share of the goal, or when no probability moves by more than STILL in a round.
+MISS = 1e-3
+STILL = 1e-9
+#: Levels tried at once for the goals of a marginal, how often the grid is narrowed at most, and how near the goals' sum must come.
 GRID = 32
-STEPS = 3
+STEPS = 12
+NEAR = 1e-6
+#: Cells that are raked in the driver's memory, at most; more are raked as a table.
+SMALL = 200_000
 SEED = 20240801
 
 # What makes a text of a topic, the first that fits; all others are prose.
-TOPICS = (("legal", r"(?i)licen[cs]e|copyright|rights reserved"), ("contact", r"@[\w-]+\.|\+\d[\d ()-]{7}"), ("table", r" \| "), ("numbers", r"\d{6}"))
+TOPICS = (("legal", r"(?i)\b(licen[cs]e[ds]?|copyright|rights reserved)\b"), ("contact", r"[\w.]@[\w-]+\.|\+\d[\d ()-]{7}"), ("table", r" \| .* \| "), ("numbers", r"\d{6}"))
 
 
 def topic_of(text: Column) -> Column:
@@ -65,17 +73,56 @@ def _goals(cells: DataFrame, name: str, wanted: float, power: float, shares: Map
         sums = values.agg(*[F.sum(F.least("t", F.lit(x) * F.col("w"))) for x in levels]).first()
         k = next((k for k in range(1, GRID + 1) if sums[k] >= wanted), GRID)
         low, high = levels[k - 1], levels[k]
+        if sums[k] - wanted <= NEAR * wanted:
+            break
     return values.select("_value", F.least("t", F.lit(high) * F.col("w")).alias("goal"))
 
 
-def rake(cells: DataFrame, names: Sequence[str] = tuple(POWERS), rate: float = RATE, shares: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (names..., tokens) with ``p``, the probability of a cell's documents."""
+def _level(t: np.ndarray, w: np.ndarray, wanted: float) -> np.ndarray:
+    """What ``_goals`` finds, exactly."""
+    goal = np.zeros(len(t))
+    able = np.flatnonzero((t > 0) & (w > 0))
+    order = able[np.argsort(t[able] / w[able])]
+    left, weight = wanted, w[order].sum()
+    for k, at in enumerate(order):
+        if left * w[at] < t[at] * weight:
+            goal[order[k:]] = left * w[order[k:]] / weight
+            break
+        goal[at] = t[at]
+        left, weight = left - t[at], w[order[k + 1:]].sum() if k % 64 == 63 else weight - w[at]
+    return np.where(t > 0, goal, np.nan)
+
+
+def _rake_small(table: pa.Table, names: Sequence[str], rate: float, shares: Mapping[str, Mapping[str, float]], rounds: int) -> tuple[np.ndarray, float]:
+    """The probabilities of the cells, and the largest miss of a goal as a share of it."""
+    tokens = table.column("tokens").to_numpy().astype(float)
+    p, margins, miss = np.full(len(tokens), float(rate)), [], 0.0
+    for name in names:
+        coded = pc.dictionary_encode(table.column(name).combine_chunks(), null_encoding="encode")
+        coded = coded if isinstance(coded, pa.DictionaryArray) else coded.combine_chunks()
+        values, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        t = np.bincount(codes, tokens, len(values))
+        weight = np.asarray([float(shares[name].get(v, 0.0)) for v in values]) if name in shares else t ** POWERS.get(name, 1.0)
+        margins.append((codes, _level(t, weight, rate * tokens.sum())))
+    for _ in range(rounds):
+        was = p
+        for codes, goal in margins:
+            has = np.bincount(codes, tokens * p, len(goal))
+            p = np.minimum(1.0, p * np.divide(goal, has, out=np.ones(len(goal)), where=(has > 0) & ~np.isnan(goal))[codes])
+        miss = max((float((np.abs(np.bincount(codes, tokens * p, len(goal)) - goal)[goal > 0] / goal[goal > 0]).max(initial=0.0)) for codes, goal in margins), default=0.0)
+        if miss <= MISS or np.abs(p - was).max(initial=0.0) <= STILL:
+            break
+    return p, miss
+
+
+def _rake_table(cells: DataFrame, names: Sequence[str], rate: float, shares: Mapping[str, Mapping[str, float]], rounds: int) -> tuple[DataFrame, float]:
+    """As ``_rake_small``, for more cells than the driver should hold."""
     wanted = rate * (cells.agg(F.sum("tokens")).first()[0] or 0)
     start = cells.select(*names, "tokens", F.lit(float(rate)).alias("p"))
     for name in names:
-        goals = materialize(_goals(cells, name, wanted, POWERS.get(name, 1.0), (shares or {}).get(name)), "goals").withColumnRenamed("goal", f"_goal_{name}")
+        goals = materialize(_goals(cells, name, wanted, POWERS.get(name, 1.0), shares.get(name)), "goals").withColumnRenamed("goal", f"_goal_{name}")
         start = start.join(goals, F.col(name).eqNullSafe(F.col("_value")), "left").drop("_value")
-    now = materialize(start, "raked")
+    now, miss = materialize(start, "raked"), 0.0
     for _ in range(rounds):
         moved = now.withColumn("_was", F.col("p"))
         for name in names:
@@ -84,9 +131,31 @@ def rake(cells: DataFrame, names: Sequence[str] = tuple(POWERS), rate: float = R
             moved = moved.join(margin, F.col(name).eqNullSafe(F.col("_at")), "left").withColumn("p", F.least(F.lit(1.0), F.col("p") * factor)).drop("_at", "_has")
         last, now = now, materialize(moved, "raked")
         discard(last)
-        if (now.agg(F.max(F.abs(F.col("p") - F.col("_was")))).first()[0] or 0) <= STILL:
+        miss = 0.0
+        for name in names:
+            goal = F.max(f"_goal_{name}")
+            miss = max(miss, now.groupBy(name).agg(F.when(goal > 0, F.abs(F.sum(F.col("tokens") * F.col("p")) - goal) / goal).alias("_miss")).agg(F.max("_miss")).first()[0] or 0.0)
+        if miss <= MISS or (now.agg(F.max(F.abs(F.col("p") - F.col("_was")))).first()[0] or 0) <= STILL:
             break
-    return now.select(*names, "tokens", F.round("p", 9).alias("p"))
+    return now.select(*names, "tokens", "p"), miss
+
+
+def rake(cells: DataFrame, names: Sequence[str] = tuple(POWERS), rate: float = RATE, shares: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """``cells`` (names..., tokens) with ``p``, the probability of a cell's documents.
+
+    Warns with the largest miss where some goal is not met: the goals contradict each other, or the rounds ended first.
+    """
+    own = cells.select(*names, "tokens")
+    if own.count() <= SMALL:
+        table = own.toArrow()
+        p, miss = _rake_small(table, names, rate, shares or {}, rounds)
+        rows = list(zip(*[table.column(c).to_pylist() for c in (*names, "tokens")], p.tolist(), strict=True))
+        raked = cells.sparkSession.createDataFrame(rows, own.withColumn("p", F.lit(0.0)).schema)
+    else:
+        raked, miss = _rake_table(own, names, rate, shares or {}, rounds)
+    if miss > MISS:
+        warnings.warn(f"raking misses a goal by {100 * miss:.2g} %", stacklevel=2)
+    return raked.select(*names, "tokens", F.round("p", 9).alias("p"))
 
 
 def _mixed(docs: DataFrame, topic: Column | None, rate: float, shares: Mapping[str, Mapping[str, float]] | None) -> DataFrame:
