@@ -200,6 +200,18 @@ def test_suffix_automaton(sequences, stream):
         assert length == want and (not length or made.ends[state] == known[tuple(stream[at + 1 - length:at + 1])])
 
 
+def test_quality_chunks_cover_the_text():
+    """Noise in a last piece of less than half a chunk counts: every byte of a longer text is in a chunk."""
+    rng = random.Random(5)
+    prose = " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 7))) for _ in range(900)).encode()[:2048].decode()
+    noise = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n // 3))
+    got = quality_rules.measure(pa.array([prose[:1000] + " " + prose[:1000] + " " + noise(950), prose[:2048], prose + "a", prose * 2])).to_pylist()
+    assert [r["n_chunks"] for r in got] == [2, 1, 2, 2]
+    mixed = quality_rules.measure(pa.array(["ab " * 1000 + noise(950), prose + " " + "x" * 1020])).to_pylist()
+    assert [r["n_chunks"] for r in mixed] == [2, 2]
+    assert mixed[0]["n_low_chunks"] == 1 and mixed[1]["n_chunks"] == 2
+
+
 # ---- toxicity
 
 

@@ -2,7 +2,7 @@
 
 zstandard shrinks prose by a factor that hardly depends on the subject, but on the length. Text far below its band repeats
 itself; text above it is noise. Each document is held against the band of its length as a whole, and chunk by chunk, so a
-long document can't hide a repetitive half behind varied text.
+long document can't hide a repetitive half behind varied text. The last chunk ends with the text and may overlap the one before.
 """
 
 from __future__ import annotations
@@ -94,8 +94,7 @@ def _measure(texts: pa.Array) -> pa.RecordBatch:
         size = end - begin
         lines.append(_repeated_lines(text.as_py()))
         ratio = len(press.compress(view[begin:end])) / size if size else None
-        each = [ratio] if size <= CHUNK else [len(press.compress(view[k:min(k + CHUNK, end)])) / (min(k + CHUNK, end) - k)
-                                              for k in range(begin, end, CHUNK) if k == begin or 2 * (end - k) >= CHUNK]
+        each = [ratio] if size <= CHUNK else [len(press.compress(view[k:k + CHUNK])) / CHUNK for k in (*range(begin, end - CHUNK, CHUNK), end - CHUNK)]
         each = each if size else []
         low, high = sum(r < CHUNK_BAND[0] for r in each), sum(r > CHUNK_BAND[1] for r in each)
         ratios.append(ratio)
