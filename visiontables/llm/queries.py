@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visiontables.llm import exact_copies, fingerprints, hard_negatives, jaccard, language, licenses, mixing, packing, quality_classifier, quality_rules, toxicity, urls
+from visiontables.llm import exact_copies, fingerprints, hard_negatives, jaccard, language, lexical, licenses, mixing, packing, quality_classifier, quality_rules, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,6 +135,27 @@ WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * po
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 3"""
 
 
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_terms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _sql_terms(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+ORACLES["op13_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, {_sql_terms("text")} AS terms FROM documents),
+whole AS (SELECT count(*) FILTER (len(terms) > 0) AS docs, CAST(sum(len(terms)) AS BIGINT) AS all_terms FROM d),
+postings AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY doc_id, n, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, whole GROUP BY term, docs),
+asked AS (SELECT DISTINCT item_id, unnest({_sql_terms("text")}) AS term FROM benchmark),
+scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // all_terms)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term), whole GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
