@@ -45,8 +45,8 @@ _ITEMS = f"item bigint, size int, pieces array<{_PIECE}>"
 class Encoder:
     """Token ids of texts.
 
-    The tokenizer lower-cases and splits at white space before anything else and no rule of it looks across, so a text's
-    ids are its words' ids in turn. Each different word of a batch is looked up among those encoded before; only new ones
+    The tokenizer finds its added tokens as they are written, lower-cases the rest and splits at white space, and no rule of
+    it looks across white space, so a text's ids are its words' ids in turn. Each different word of a batch is looked up among those encoded before; only new ones
     go through the tokenizer.
     """
 
@@ -55,7 +55,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -67,7 +66,7 @@ class Encoder:
     def texts(self, texts: pa.Array) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
         raw = buffers(texts)[0].tobytes()
-        for low, high, words, bounds, begins, ends in scan_placed(texts):
+        for low, high, words, bounds, begins, ends in scan_placed(texts, lower=False):
             found, first, which = np.unique(words, return_index=True, return_inverse=True)
             slots = np.searchsorted(self.known, found)
             new = np.flatnonzero(np.append(self.known, np.uint64(0))[slots] != found) if len(self.known) else np.arange(len(found))
