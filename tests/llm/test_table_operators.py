@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from visiontables.llm import components, jaccard, mixing, packing, quality_classifier, quality_rules, urls
 from visiontables.llm.logistic import fit
+from visiontables.llm.queries import ORACLES
 
 # ---- components
 
@@ -128,6 +129,44 @@ def test_url_edges(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+HREFS = ["/en/y", "y.html", "../y", "./y/./z", "../../../up", "a/../b/..", "..", "?id=1", "?id=1#t", "#t", "", "//example.com/en/9", "//Example.com", "mailto:a@b", "javascript:go(1)", "http:x", "https://h.org/a/../b", "/go?u=http://x.org/",
+         "x/y?u=//q", "/", "//", "a b", "/a/b/../c?x=../d", "é/../ü", ".hidden", "...", "/.."]
+BASES = ["http://a.org/d/e/f?q=1#z", "https://A.org", "http://a.org/", "http://a.org/d/", "http://a.org?x=/y/", "ftp://b.net/es/p;v"]
+
+
+def test_links_lead_where_browsers_go(spark):
+    from urllib.parse import urljoin, urlsplit
+
+    pairs = [(t, b) for b in BASES for t in HREFS]
+    df = spark.createDataFrame(pairs, "target string, page string")
+    got = {(r["target"], r["page"]): r["u"] for r in df.select("*", urls.address_of(urls.resolved(F.col("target"), F.col("page"))).alias("u")).collect()}
+    for t, b in pairs:
+        if t in ("", "#t", "mailto:a@b", "javascript:go(1)", "http:x"):
+            assert got[t, b] is None
+        elif "h.org" not in t and t != "//":
+            want = urlsplit(urljoin(b, t))
+            path = want.path or ("/" if t in ("..", "../y") else "")
+            assert got[t, b] == want.netloc.lower() + path + (f"?{want.query}" if want.query else ""), (t, b)
+
+
+def test_aliases_by_relative_links_match_sql(spark):
+    import duckdb
+
+    link = lambda h: f'<link rel="canonical" href="{h}">'
+    rows = [(k, f"{b.split('#')[0].rstrip('/')}/{k}/p", link(h)) for k, (b, h) in enumerate((b, h) for b in BASES for h in HREFS)]
+    rows += [(1000, "http://a.org/en/y", link("//example.com/en/9")), (1001, "http://b.net/x", link("es/n")), (1002, "http://c.org/1", '<meta http-equiv="refresh" content="0;url=../2">'), (1003, "http://c.org/2", link("//d.net/fr/"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["alias_of"]) for r in urls.judge_urls(pages).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    res = con.execute(ORACLES["op5_url_filters"])
+    names = [c[0] for c in res.description]
+    want = {r[names.index("page_id")]: (r[names.index("verdict")], r[names.index("alias_of")]) for r in res.fetchall()}
+    assert got == want
+    assert [got[k][0] for k in (1000, 1001, 1002, 1003)] == ["block"] * 4
+
+
 # ---- quality classifier
 
 

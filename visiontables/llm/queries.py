@@ -68,13 +68,20 @@ def _sql_attribute(name: str) -> str:
 
 
 ORACLES["op5_url_filters"] = rf"""
-WITH RECURSIVE page AS (SELECT page_id, html, {_sql_parts("url", "address")} FROM pages),
-tags AS (SELECT address AS a, unnest(regexp_extract_all(html, '(?i)(<(?:link|meta)\b[^>]*>)', 1)) AS tag FROM page WHERE address IS NOT NULL),
-named AS (SELECT a, trim(replace(CASE
+WITH RECURSIVE page AS (SELECT page_id, url, html, {_sql_parts("url", "address")} FROM pages),
+tags AS (SELECT url, address AS a, unnest(regexp_extract_all(html, '(?i)(<(?:link|meta)\b[^>]*>)', 1)) AS tag FROM page WHERE address IS NOT NULL),
+named AS (SELECT url, a, trim(replace(CASE
     WHEN regexp_matches(lower({_sql_attribute("rel")}), '(^|\s)canonical(\s|$)') THEN {_sql_attribute("href")}
     WHEN lower({_sql_attribute("http-equiv")}) = 'refresh' THEN regexp_extract({_sql_attribute("content")}, '(?i)url\s*=\s*[''"]?([^''"\s;]+)', 1) END, '&amp;', '&')) AS target FROM tags),
-links AS (SELECT a, {_sql_parts("target", "b")} FROM named),
-both_ways AS (SELECT a, b FROM links WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM links WHERE b IS NOT NULL AND a <> b),
+places AS (SELECT *, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS origin, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS own_path FROM named),
+whole AS (SELECT *, CASE WHEN starts_with(target, '/') THEN regexp_extract(target, '^([^?#]*)', 1)
+    ELSE coalesce(nullif(regexp_extract(own_path, '(?s)^(.*/)', 1), ''), '/') || regexp_extract(target, '^([^?#]*)', 1) END AS whole FROM places),
+led AS (SELECT a, CASE WHEN target = '' OR starts_with(target, '#') THEN NULL WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    WHEN starts_with(target, '//') THEN 'x:' || target WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(target, '?') THEN origin || own_path || target
+    ELSE origin || list_reduce(string_split(whole, '/'), lambda done, part: CASE WHEN part = '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN part = '.' THEN done ELSE done || '/' || part END)
+        || CASE WHEN regexp_matches(whole, '(^|/)[.][.]?$') THEN '/' ELSE '' END || regexp_extract(target, '(?s)^[^?#]*(.*)', 1) END AS target FROM whole),
+links AS (SELECT a, {_sql_parts("target", "b")} FROM led),
+both_ways AS (SELECT a, b FROM links WHERE a <> '' AND b <> '' AND a <> b UNION SELECT b, a FROM links WHERE a <> '' AND b <> '' AND a <> b),
 reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
 judged AS (SELECT DISTINCT node, other, {_sql_parts("'x://' || other", "o")} FROM reach),
 sites AS (SELECT node, min(other) AS alias_of, bool_or({_sql_rule("o_host", "o_path", True)} = 'block') AS blocked, bool_or({_sql_rule("o_host", "o_path", True)} = 'allow') AS allowed FROM judged GROUP BY node)

@@ -53,14 +53,34 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.trim(F.regexp_extract(tag, rf"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1), F.lit("\"'"))
 
 
+def resolved(target: Column, page: Column) -> Column:
+    """The URL that a link of ``page`` leads to; NULL for the page itself and for what is no place (mailto: and the like).
+
+    Links may leave out the scheme, the host or the folder, and may climb by dots; an absolute one is taken as it is.
+    """
+    origin = F.regexp_extract(page, r"(?s)\A(.*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(path_of(page), r"(?s)\A(.*/)", 1)
+    path, rest = F.regexp_extract(target, r"\A([^?#]*)", 1), F.regexp_extract(target, r"(?s)\A[^?#]*(.*)", 1)
+    whole = F.when(F.startswith(target, F.lit("/")), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    parts = F.split(whole, "/", -1)
+    climbed = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), lambda at, part: F.when(part == "..", F.regexp_replace(at, r"/[^/]*\z", "")).when(part == ".", at).otherwise(F.concat(at, F.lit("/"), part)))
+    full = F.concat(climbed, F.when(whole.rlike(r"(\A|/)\.\.?\z"), "/").otherwise(""))
+    return (F.when((target == "") | F.startswith(target, F.lit("#")), None)
+            .when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(F.startswith(target, F.lit("//")), F.concat(F.lit("x:"), target))
+            .when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), None)
+            .when(F.startswith(target, F.lit("?")), F.concat(origin, path_of(page), target))
+            .otherwise(F.concat(origin, full, rest)))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): the address of each page and each absolute address that its canonical links or refreshes name."""
+    """(a, b): the address of each page and each address that its canonical links or refreshes lead to."""
     tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
-    named = pages.where(F.col("html").rlike(r"(?i)canonical|refresh")).select(address_of(F.col("url")).alias("a"), F.explode(tags).alias("tag"))
+    named = pages.where(F.col("html").rlike(r"(?i)canonical|refresh")).select("url", address_of(F.col("url")).alias("a"), F.explode(tags).alias("tag"))
     link = F.when(F.lower(_attribute(F.col("tag"), "rel")).rlike(r"(^|\s)canonical(\s|$)"), _attribute(F.col("tag"), "href"))
     refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?i)url\s*=\s*['\"]?([^'\"\s;]+)", 1))
     target = F.trim(F.regexp_replace(F.coalesce(link, refresh), "&amp;", "&"))
-    return named.select("a", address_of(target).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    return named.select("a", address_of(resolved(target, F.col("url"))).alias("b")).where("a <> '' and b <> '' and a <> b").distinct()
 
 
 def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -73,7 +93,7 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: Sequ
     """
     edges = alias_edges(pages)
     if redirects is not None:
-        more = redirects.select(address_of(F.col("from_url")).alias("a"), address_of(F.col("to_url")).alias("b")).where("a is not null and b is not null and a <> b")
+        more = redirects.select(address_of(F.col("from_url")).alias("a"), address_of(F.col("to_url")).alias("b")).where("a <> '' and b <> '' and a <> b")
         edges = edges.unionAll(more)
     members = materialize(components(edges), "aliases")
     own = F.concat(F.lit("x://"), F.col("node"))
