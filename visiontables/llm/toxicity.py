@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from visiontables.llm.logistic import Logistic, fit
 from visiontables.llm.words import SEGMENT, buffers
-from visiontables.operators.stages import materialize
+from visiontables.operators.stages import discard, materialize, shared_folder
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -222,7 +222,18 @@ def _packs(rows: DataFrame) -> DataFrame:
         if held:
             yield packed(held)
 
-    return materialize(rows.mapInArrow(run, "pack bigint, payload binary"), "packs")
+    return bucketed(rows.mapInArrow(run, "pack bigint, payload binary"), "pack")
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Written to the shared folder once, dealt into files by ``key``: what joins it by that key moves to its rows, which stay."""
+    spark = df.sparkSession
+    name = f"b{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(name)
+    written = spark.table(name)
+    written._stage_path, written._stage_table = path, name
+    return written
 
 
 def _texts(payload: bytes) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -299,10 +310,6 @@ def gram_ratios(asked: DataFrame, classes: DataFrame, below: DataFrame, n: int =
     return got.select("gram", (F.log("_p_toxic") - F.log("_p_ordinary")).alias("ratio")).where("ratio <> 0")
 
 
-def fold_of(doc_id: Column, folds: int = FOLDS) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
-
-
 def class_counts(docs: DataFrame, labels: DataFrame, n: int = ORDER) -> DataFrame:
     """(gram, toxic, ordinary): how often each n-gram stands in all labelled documents of folds 1 to 3."""
     taught = labels.where(fold_of(F.col("doc_id")).isin(1, 2, 3))
@@ -331,7 +338,11 @@ def _features(rows: DataFrame, classes: DataFrame, n: int = ORDER) -> DataFrame:
         return pa.table([pa.chunked_array(ids), *(pa.array(table[:, k]) for k in range(3))], names=["doc_id", "a", "b", "c"])
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, a double, b double, c double"
-    return materialize(packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(run, schema), "features")
+    made = materialize(packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(run, schema), "features")
+    rows.sparkSession.sql(f"DROP TABLE {packs._stage_table}")
+    for stage in (packs, asked, found):
+        discard(stage)
+    return made
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
