@@ -1,7 +1,8 @@
 """Detection metrics: confusion, precision-recall curves, average precision and their summaries.
 
-A class may hold most of the rows, so no curve is computed by one window per class: running totals go through
-confidence buckets, and the curves are read at a fixed number of grid points that partial aggregates fill.
+A class may hold most of the rows and most of its rows one confidence, so no curve is computed by one window per class:
+running totals go over parts of equal depth, and the curves are read at a fixed number of grid points. Of each part only the
+first and the last row of a grid cell go on to the aggregate that fills the grid.
 """
 
 from __future__ import annotations
@@ -13,46 +14,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visiontables.operators.match import confusion_conf
-from visiontables.operators.ordered import interpolate_on_grid, running
+from visiontables.operators.ordered import grid_cell, interpolate_on_grid, running_over_parts, sorted_parts
 from visiontables.operators.stages import materialize
 
-BUCKETS = 4096
 EPS = 1e-16
+PART = ("_part", "_id")
 
 
-def _conf_bucket(conf: Column) -> Column:
-    return F.floor(conf * BUCKETS)
+def _neighbour(value: str, step: int) -> Column:
+    """``value`` of the row before (-1) or behind (1) along the part, NULL at its ends."""
+    return F.lag(value, -step).over(Window.partitionBy("cls", "_part").orderBy("_id"))
 
 
 def precision_recall(tp_table: DataFrame, totals: DataFrame, n: int = 10) -> DataFrame:
     """Per detection the running hits and their precision and recall at each threshold.
 
     ``tp_table``: det_id, cls, conf, tp array<int>; ``totals``: cls, n_l (ground truths). Classes without ground truth
-    are left out, as they have no recall.
+    are left out, as they have no recall. Columns _part and _id keep the place along the order.
     """
-    order = [F.col("conf").desc(), F.col("det_id")]
+    rows = sorted_parts(tp_table.select("det_id", "cls", "conf", "tp"), ["cls"], [F.col("conf").desc(), F.col("det_id").asc()])
     aggs = {f"_tp{i}": ("sum", F.col("tp")[i]) for i in range(n)}
-    run = running(tp_table, ["cls"], order, _conf_bucket(F.col("conf")), {**aggs, "rank": ("sum", F.lit(1))}, ascending=False)
-    joined = run.join(totals, "cls")
+    joined = running_over_parts(rows, ["cls"], {**aggs, "rank": ("sum", F.lit(1))}).join(totals, "cls")
     hits = F.array(*[F.col(f"_tp{i}") for i in range(n)])
     return joined.select(
         "cls", "det_id", "conf", "tp", F.col("rank").cast("bigint").alias("rank"), "n_l", hits.alias("tpc"),
         F.transform(hits, lambda h: h / F.col("rank")).alias("precision"),
-        F.transform(hits, lambda h: h / (F.col("n_l") + EPS)).alias("recall"))
+        F.transform(hits, lambda h: h / (F.col("n_l") + EPS)).alias("recall"), *PART)
 
 
 def precision_envelope(pr: DataFrame, n: int = 10) -> DataFrame:
-    """Add ``env``: the largest precision at this or any lower confidence, per threshold."""
-    order = [F.col("conf").asc(), F.col("det_id").desc()]
+    """Add ``env``: the largest precision at this or any lower confidence, per threshold; merged from the parts' own maxima."""
     aggs = {f"_e{i}": ("max", F.col("precision")[i]) for i in range(n)}
-    run = running(pr, ["cls"], order, _conf_bucket(F.col("conf")), aggs, ascending=True)
+    run = running_over_parts(pr, ["cls"], aggs, backwards=True)
     return run.withColumn("env", F.array(*[F.col(f"_e{i}") for i in range(n)])).drop(*[f"_e{i}" for i in range(n)])
 
 
 def pr_points(env: DataFrame, steps: int = 101) -> DataFrame:
     """Envelope precision at even recalls: (cls, thr, g, x, y)."""
-    knots = env.select("cls", "rank", F.posexplode(F.arrays_zip("recall", "env")).alias("thr", "k")).select(
-        "cls", "thr", F.col("k.recall").alias("r"), F.col("k.env").alias("p"), "rank")
+    cells = F.transform("recall", lambda x: grid_cell(x, steps))
+    near = env.select("cls", "rank", "recall", "env", cells.alias("_c"), *PART).select("*", _neighbour("_c", -1).alias("_was"), _neighbour("_c", 1).alias("_next"))
+    same = lambda c, i: F.coalesce(F.get(c, i) == F.get("_c", i), F.lit(False))
+    all_ = F.transform("recall", lambda x, i: F.struct(i.alias("thr"), x.alias("r"), F.get("env", i).alias("p"), (same("_was", i) & same("_next", i)).alias("inner")))
+    knots = near.select("cls", "rank", F.explode(F.filter(all_, lambda k: ~k["inner"])).alias("k")).select("cls", "k.thr", "k.r", "k.p", "rank")
     ends = F.array(F.struct(F.lit(0.0).alias("r"), F.lit(1.0).alias("p"), F.lit(0).cast("bigint").alias("rank")),
                    F.struct(F.lit(1.0).alias("r"), F.lit(0.0).alias("p"), F.lit(2 ** 62).alias("rank")))
     guards = knots.where("rank = 1").select("cls", "thr", F.explode(ends).alias("e")).select("cls", "thr", "e.*")
@@ -65,10 +68,10 @@ def average_precision(env: DataFrame) -> DataFrame:
     return pr_points(env).groupBy("cls", "thr").agg(F.sum(F.col("y") * weight).alias("ap"))
 
 
-def continuous_ap(env: DataFrame) -> DataFrame:
+def continuous_ap(env: DataFrame, n: int = 10) -> DataFrame:
     """Area under the envelope by recall steps: each hit adds its recall step times the envelope there."""
-    k = env.select("cls", "n_l", "tp", F.posexplode("env").alias("thr", "p"))
-    return k.groupBy("cls", "thr").agg(F.sum(F.col("tp")[F.col("thr")] * F.col("p") / (F.col("n_l") + EPS)).alias("ap"))
+    sums = env.groupBy("cls").agg(*[F.sum(F.get("tp", F.lit(i)) * F.get("env", F.lit(i)) / (F.col("n_l") + EPS)).alias(f"_{i}") for i in range(n)])
+    return sums.select("cls", F.posexplode(F.array(*[F.col(f"_{i}") for i in range(n)])).alias("thr", "ap")).where("ap is not null")
 
 
 def confidence_curves(pr: DataFrame, steps: int = 1000, thr: int = 0) -> DataFrame:
@@ -77,7 +80,9 @@ def confidence_curves(pr: DataFrame, steps: int = 1000, thr: int = 0) -> DataFra
     x = 1 - F.col("conf")
 
     both = F.struct(F.col("precision")[thr].alias("p"), F.col("recall")[thr].alias("r"))
-    knots = pr.select("cls", "rank", x.alias("x"), F.explode(F.array(
+    near = pr.withColumn("_c", grid_cell(x, steps)).select("*", _neighbour("_c", -1).alias("_was"), _neighbour("_c", 1).alias("_next"))
+    inner = F.coalesce((F.col("_was") == F.col("_c")) & (F.col("_next") == F.col("_c")), F.lit(False))
+    knots = near.where(~inner).select("cls", "rank", x.alias("x"), F.explode(F.array(
         F.struct(F.lit("p").alias("kind"), both["p"].alias("y")), F.struct(F.lit("r").alias("kind"), both["r"].alias("y")))).alias("v"))
     grid = interpolate_on_grid(knots.select("cls", "rank", "x", "v.kind", "v.y"), ["cls", "kind"], F.col("x"), F.col("y"), F.col("rank"),
                                steps, left=float("nan"))
@@ -227,7 +232,8 @@ def calibrate_threshold(df: DataFrame, label: str, score: str, truth: str, defau
     ends = totals.select(label, F.explode(F.array(F.lit(0.0), F.lit(100.0))).alias("thr"), F.lit(0).cast("bigint").alias("pos"),
                          F.lit(0).cast("bigint").alias("neg"))
     points = counts.unionByName(ends).groupBy(label, "thr").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    cum = running(points, [label], [F.col("thr").desc()], F.floor("thr"), {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}, ascending=False)
+    ranked = sorted_parts(points, [label], [F.col("thr").desc()])
+    cum = running_over_parts(ranked, [label], {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))})
     table = cum.join(totals, label).withColumn("fn", F.col("n_correct") - F.col("tp")).withColumn("tn", F.col("n_incorrect") - F.col("fp"))
     rated = table.select("*", *rate_columns())
     key = F.struct("f1", "balanced_accuracy", "precision", "accuracy", (-F.col("thr")).alias("low"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 
 from visiontables.functions import boxes as B
 from visiontables.functions.assignment import assign
+from visiontables.operators.stages import discard, materialize
 
 CELL = 128
+#: Boxes of one image that are folded in one array, at most.
+FOLD = 1000
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 
@@ -179,23 +183,32 @@ def top_boxes(dets: DataFrame, n: int, by: Sequence[str] = ("image_id",)) -> Dat
 
 
 def nms_greedy(dets: DataFrame, iou: float = 0.45, conf: float | None = None, max_det: int | None = None,
-               max_nms: int | None = None, agnostic: bool = False, by: Sequence[str] = ("image_id",)) -> DataFrame:
+               max_nms: int | None = None, agnostic: bool = False, by: Sequence[str] = ("image_id",), fold: int = FOLD) -> DataFrame:
     """Greedy suppression: keep a box while its IoU with every kept box of its class is at most ``iou``.
 
-    Nothing is cut unless asked for: ``max_nms`` bounds the boxes of one group before the fold, ``max_det`` the kept ones.
+    Boxes go by falling confidence, ties by det_id. Nothing is cut unless asked for: ``max_nms`` bounds the boxes of one group
+    before, ``max_det`` the kept ones. A group of up to ``fold`` boxes is folded in one array; the boxes of a larger one, be they
+    all of the table, are decided in rounds over the pairs that overlap.
     """
     rows = dets.where(F.col("conf") > conf) if conf is not None else dets
     rows = top_boxes(rows, max_nms, by) if max_nms is not None else rows
-    item = F.struct((-F.col("conf")).alias("neg"), *[c for c in rows.columns if c not in by])
+    crowded = materialize(rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > fold).select(*by), "crowded")
+    if crowded.isEmpty():
+        return _folded(rows, iou, max_det, agnostic, by).select(*dets.columns)
+    kept = _by_rounds(rows.join(crowded, list(by), "left_semi"), iou, agnostic, by)
+    kept = top_boxes(kept, max_det, by) if max_det is not None else kept
+    return _folded(rows.join(crowded, list(by), "left_anti"), iou, max_det, agnostic, by).unionByName(kept).select(*dets.columns)
+
+
+def _folded(rows: DataFrame, iou: float, max_det: int | None, agnostic: bool, by: Sequence[str]) -> DataFrame:
+    item = F.struct((-F.col("conf")).alias("neg"), "det_id", *[c for c in rows.columns if c not in by and c != "det_id"])
     lists = rows.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("_all"))
 
     def sbox(s):
         return B.Box(s["x1"], s["y1"], s["x2"], s["y2"])
 
     def clash(k, b):
-        inter = B.intersection(sbox(k), sbox(b))
-        hit = inter / (B.area(sbox(k)) + B.area(sbox(b)) - inter) > iou
-        return hit if agnostic else (k["cls"] == b["cls"]) & hit
+        return (_share(sbox(k), sbox(b)) > iou) if agnostic else (k["cls"] == b["cls"]) & (_share(sbox(k), sbox(b)) > iou)
 
     def step(acc, b):
         full = F.exists(acc, lambda k: clash(k, b))
@@ -207,9 +220,41 @@ def nms_greedy(dets: DataFrame, iou: float = 0.45, conf: float | None = None, ma
     return lists.select(*by, F.explode(kept).alias("b")).select(*by, "b.*").drop("neg")
 
 
+def _share(a: B.Box, b: B.Box) -> Column:
+    inter = B.intersection(a, b)
+    return inter / (B.area(a) + B.area(b) - inter)
+
+
+def _by_rounds(rows: DataFrame, iou: float, agnostic: bool, by: Sequence[str]) -> DataFrame:
+    """The boxes that greedy suppression keeps, as a fixpoint over edges from a box to each better one that it clashes with.
+
+    A better box without edges of its own is kept, so those that lead to it are lost, with all edges from and to them; whoever
+    has no edge left is kept. Rounds grow with the longest chain of boxes that decide over each other.
+    """
+    on = list(by) if agnostic or "cls" in by else [*by, "cls"]
+    slim = rows.select(*on, "det_id", "conf", "x1", "y1", "x2", "y2")
+    better = (F.col("b_conf") > F.col("a_conf")) | ((F.col("b_conf") == F.col("a_conf")) & (F.col("b_det_id") < F.col("a_det_id")))
+    clash = overlap_pairs(slim, slim, on, better).where(_share(B.box("a_"), B.box("b_")) > iou)
+    edges = materialize(clash.select(F.col("a_det_id").alias("worse"), F.col("b_det_id").alias("better")), "clashes")
+    lost, stages = [], [edges]
+    while not edges.isEmpty():
+        open_ = edges.select(F.col("worse").alias("better")).distinct()
+        gone = materialize(edges.join(open_, "better", "left_anti").select("worse").distinct(), "lost")
+        lost.append(gone)
+        left = edges.join(gone, "worse", "left_anti").join(gone.withColumnRenamed("worse", "better"), "better", "left_anti")
+        edges = materialize(left.select("worse", "better"), "clashes")
+        stages.append(edges)
+    for stage in stages:
+        discard(stage)
+    if not lost:
+        return rows
+    every = reduce(DataFrame.unionAll, lost).withColumnRenamed("worse", "det_id")
+    return rows.join(every, "det_id", "left_anti").select(*rows.columns)
+
+
 def nms_batched(dets: DataFrame, iou: float = 0.45, max_nms: int | None = None) -> DataFrame:
     """Greedy suppression of each class of an image on its own."""
-    return nms_greedy(dets, iou, max_det=None, max_nms=max_nms, agnostic=True, by=("image_id", "cls"))
+    return nms_greedy(dets, iou, max_nms=max_nms, agnostic=True, by=("image_id", "cls"))
 
 
 def merge_tiles(dets: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -60,6 +60,50 @@ def sorted_rank(df: DataFrame, order: Sequence[Column], out: str = "rn") -> Data
     return placed.withColumn(out, F.col("_off") + F.col("_id") - F.shiftleft("_p", 33) + 1).drop("_p", "_id", "_off")
 
 
+def sorted_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows sorted by ``keys`` and ``order``, written once as parts of about equal depth, with columns _part and _id.
+
+    The ranges are cut by the whole order, so rows of one key, and rows that tie on its first columns, spread over as many
+    parts as they fill. ``_id`` grows along the order.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*_cols(keys), *order]
+    rows = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    return materialize(rows, "sorted").withColumn("_part", F.shiftright("_id", 33))
+
+
+def running_over_parts(rows: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, Column]], backwards: bool = False) -> DataFrame:
+    """Inclusive running aggregates as ``running``, along (or against) the order of ``sorted_parts``; a task sees one part of one key.
+
+    What lies before a part comes from totals per key and part, so the rows move once, to their part.
+    """
+    keys = list(keys)
+    along = (lambda c: F.col(c).desc()) if backwards else (lambda c: F.col(c).asc())
+    for out, (_, value) in aggs.items():
+        rows = rows.withColumn(f"_v_{out}", value)
+    totals = rows.groupBy(*keys, "_part").agg(*[_COMBINE[kind][0](f"_v_{out}").alias(f"_t_{out}") for out, (kind, _) in aggs.items()])
+    before = Window.partitionBy(*keys).orderBy(along("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_part", *[_COMBINE[kind][0](f"_t_{out}").over(before).alias(f"_o_{out}") for out, (kind, _) in aggs.items()])
+    local = Window.partitionBy(*keys, "_part").orderBy(along("_id")).rowsBetween(Window.unboundedPreceding, 0)
+    met = _join_keys(rows, offsets, [*keys, "_part"])
+    named = [c for c in rows.columns if not c.startswith("_v_")]
+    return met.select(*named, *[_COMBINE[kind][1](F.col(f"_o_{out}"), _COMBINE[kind][0](f"_v_{out}").over(local)).alias(out) for out, (kind, _) in aggs.items()])
+
+
+def rank_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rn") -> DataFrame:
+    """Exact 1-based row number within ``keys``, however many rows a key or a tie has."""
+    ranked = running_over_parts(sorted_parts(df, keys, order), keys, {out: ("sum", F.lit(1))})
+    return ranked.withColumn(out, F.col(out).cast("bigint")).drop("_part", "_id")
+
+
+def grid_cell(x: Column, steps: int) -> Column:
+    """The first of ``steps`` even points of [0, 1] whose value is >= x, found with the grid values themselves; past the last one ``steps``."""
+    n = steps - 1
+    guess = F.floor(x * n).cast("int")
+    cell = F.when(guess.cast("double") / n >= x, guess).otherwise(guess + 1)
+    return F.least(F.greatest(cell, F.lit(0)), F.lit(steps))
+
+
 def _before(keys: Sequence[str], ascending: bool = True):
     order = F.col("_b").asc() if ascending else F.col("_b").desc()
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -142,10 +186,7 @@ def interpolate_on_grid(knots: DataFrame, keys: Sequence[str], x: Column, y: Col
     keys = list(keys)
     n = steps - 1
     k = knots.select(*keys, x.cast("double").alias("_x"), y.cast("double").alias("_y"), tie.alias("_tie"))
-    # the cell number is the first grid index whose value is >= x, found with the grid values themselves
-    guess = F.floor(F.col("_x") * n).cast("int")
-    cell = F.when(guess.cast("double") / n >= F.col("_x"), guess).otherwise(guess + 1)
-    k = k.withColumn("_g", F.least(F.greatest(cell, F.lit(0)), F.lit(steps)))
+    k = k.withColumn("_g", grid_cell(F.col("_x"), steps))
     per_cell = k.groupBy(*keys, "_g").agg(
         F.max_by(F.struct("_x", "_y"), F.struct("_x", "_tie")).alias("_last"),
         F.min_by(F.struct("_x", "_y"), F.struct("_x", "_tie")).alias("_first"))

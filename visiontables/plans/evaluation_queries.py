@@ -202,9 +202,8 @@ def win08(spark, sf):
 
 @query("win15_rank_by_confidence", "SELECT det_id, row_number() OVER (PARTITION BY cls ORDER BY conf DESC, det_id) AS rank FROM fx_detections")
 def win15(spark, sf):
-    from visiontables.operators.ordered import rank_rows
-    coarse = -F.floor(F.col("conf") * 4096)
-    return rank_rows(fx.detections(spark, sf), ["cls"], [F.col("conf").desc(), F.col("det_id")], coarse, "rank").select("det_id", "rank")
+    from visiontables.operators.ordered import rank_parts
+    return rank_parts(fx.detections(spark, sf), ["cls"], [F.col("conf").desc(), F.col("det_id").asc()], "rank").select("det_id", "rank")
 
 
 # --- run metrics -------------------------------------------------------------------------------------------------
