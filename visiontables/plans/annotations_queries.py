@@ -37,14 +37,11 @@ CENTER = "round(((x1+x2)/2)/640,9) AS xc, round(((y1+y2)/2)/480,9) AS yc, round(
 
 @query("cnv01_coco_labels", f"""
 WITH u AS (SELECT range AS src, row_number() OVER (ORDER BY range)-1 AS dst FROM range(1,91) WHERE range NOT IN (12,26,29,30,45,66,68,69,71,83,91)),
-a AS (SELECT gt_id-gt_id%2 AS k, min(gt_id) AS ann_id, any_value(image_id) AS image_id FROM fx_ground_truth WHERE gt_id%9<>0 GROUP BY 1, gt_id//20),
-g AS (SELECT g.*, g.gt_id%80+1 AS cat FROM fx_ground_truth g JOIN a ON a.ann_id=g.gt_id)
+g AS (SELECT *, gt_id%80+1 AS cat FROM fx_ground_truth)
 SELECT image_id, gt_id AS ann_id, CAST(dst AS INT) AS cls, {CENTER} FROM g LEFT JOIN u ON u.src=cat""")
 def cnv01(spark, sf):
-    # every object is annotated twice by its even neighbour's box; crowds are marked
-    d = ltwh(spark, sf).withColumn("k", F.expr("gt_id-gt_id%2"))
-    first = d.where("gt_id%9<>0").groupBy("k").agg(F.min("gt_id").alias("gt_id"))
-    ann = d.drop("k").join(first.select("gt_id"), "gt_id").selectExpr(
+    # every object is annotated twice, once more as a crowd and once without width
+    ann = ltwh(spark, sf).selectExpr(
         "image_id", "gt_id AS ann_id", "gt_id%80+1 AS category_id", "false AS iscrowd", "left", "top", "width", "height", "img_w", "img_h")
     twice = ann.unionByName(ann.withColumn("ann_id", F.col("ann_id") + 1000000000)).unionByName(
         ann.withColumn("iscrowd", F.lit(True)).withColumn("ann_id", F.col("ann_id") - 1000000000)).unionByName(ann.withColumn("width", F.lit(0.0)))
@@ -128,11 +125,12 @@ def flt11(spark, sf):
     return checked(spark, sf).select("gt_id", "reason")
 
 
-@query("joi16_label_status", f"""WITH b AS ({BROKEN}), p AS (SELECT image_id, count(*) AS n, count({REASON}) AS bad FROM b WHERE cls>0 GROUP BY 1)
+@query("joi16_label_status", f"""WITH b AS ({BROKEN}), p AS (SELECT image_id, count(*) AS n, count({REASON}) AS bad FROM (SELECT * REPLACE (CASE WHEN image_id%13=5 THEN image_id-1 ELSE image_id END AS image_id) FROM b) GROUP BY 1)
 SELECT i.image_id, CASE WHEN i.image_id%11=0 THEN 'missing' WHEN coalesce(n,0)=0 THEN 'empty' WHEN bad>0 THEN 'corrupt' ELSE 'found' END AS status, coalesce(n,0) AS n FROM fx_images i LEFT JOIN p USING (image_id)""")
 def joi16(spark, sf):
     im = fx.images(spark, sf).select("image_id", (F.col("image_id") % 11 != 0).alias("has_file"))
-    return A.label_status(im, checked(spark, sf).where("cls > 0"))
+    # the labels of some images were put down under the image before
+    return A.label_status(im, checked(spark, sf).withColumn("image_id", F.expr("CASE WHEN image_id%13=5 THEN image_id-1 ELSE image_id END")))
 
 
 @query("set03_distinct_labels", """
@@ -213,10 +211,12 @@ def src21(spark, sf):
 
 
 @query("agg18_label_stats", """
-SELECT cls, count(*) AS instances, count(DISTINCT image_id) AS images, CAST(NULL AS BIGINT) AS unlabelled FROM fx_labels WHERE image_id%9<>0 GROUP BY 1
-UNION ALL SELECT NULL, (SELECT count(*) FROM fx_labels WHERE image_id%9<>0), count(*), count(*) FILTER (image_id NOT IN (SELECT image_id FROM fx_labels WHERE image_id%9<>0)) FROM fx_images""")
+WITH l AS (SELECT cls, CASE WHEN image_id%9=5 THEN image_id-1 ELSE image_id END AS image_id FROM fx_labels)
+SELECT cls, count(*) AS instances, count(DISTINCT image_id) AS images, CAST(NULL AS BIGINT) AS unlabelled FROM l GROUP BY 1
+UNION ALL SELECT NULL, (SELECT count(*) FROM l), count(*), count(*) FILTER (image_id NOT IN (SELECT image_id FROM l)) FROM fx_images""")
 def agg18(spark, sf):
-    return A.label_stats(fx.images(spark, sf), fx.labels(spark, sf).where("image_id%9<>0")).select("cls", "instances", "images", "unlabelled")
+    moved = fx.labels(spark, sf).withColumn("image_id", F.expr("CASE WHEN image_id%9=5 THEN image_id-1 ELSE image_id END"))
+    return A.label_stats(fx.images(spark, sf), moved).select("cls", "instances", "images", "unlabelled")
 
 
 @query("agg19_class_frequency", """
@@ -229,10 +229,11 @@ def agg19(spark, sf):
     return f.join(often, "text", "left").withColumn("is_frequent", F.coalesce("is_frequent", F.lit(False)))
 
 
-@query("agg20_dataset_inventory", f"""WITH p AS (SELECT *, image_id%7 AS f FROM ({PATHS}) WHERE path LIKE '%.jpg' AND image_id%3<>1), s AS (SELECT CASE image_id%3 WHEN 0 THEN 'train' ELSE 'test' END AS split, count(*) AS images, count(DISTINCT f) AS folders FROM p GROUP BY 1)
+@query("agg20_dataset_inventory", f"""WITH p AS (SELECT *, image_id%7 AS f FROM ({PATHS}) WHERE path LIKE '%.jpg'), s AS (SELECT CASE image_id%3 WHEN 2 THEN 'test' ELSE 'train' END AS split, count(*) AS images, count(DISTINCT f) AS folders FROM p GROUP BY 1)
 SELECT 'train' AS split, split AS source, images, folders, folders<>(SELECT folders FROM s WHERE split='train') AS mismatch FROM s WHERE split='train' UNION ALL SELECT unnest(['val','test']), split, images, folders, folders<>(SELECT folders FROM s WHERE split='train') FROM s WHERE split='test'""")
 def agg20(spark, sf):
-    p = paths(spark, sf).where("image_id%3<>1").select(F.regexp_extract("path", "^/d/([^/]+)/", 1).alias("split"), F.regexp_extract("path", "/([^/]+)/[^/]+$", 1).alias("folder"), "path")
+    # a set without a validation split: its files lie with the training files
+    p = paths(spark, sf).withColumn("path", F.regexp_replace("path", "^/d/val/", "/d/train/")).select(F.regexp_extract("path", "^/d/([^/]+)/", 1).alias("split"), F.regexp_extract("path", "/([^/]+)/[^/]+$", 1).alias("folder"), "path")
     return A.dataset_inventory(p)
 
 
@@ -263,12 +264,13 @@ def agg28(spark, sf):
 
 
 @query("agg29_category_texts", """
-WITH a AS (SELECT doc_id AS image_id, unnest([0,1,2]) AS pos, text FROM documents), p AS (SELECT image_id, pos, trim(lower(substring(text,CAST(1+pos*(image_id%3) AS INT),6)||' '||substring(text,CAST(11+pos AS INT),4))) AS text FROM a),
+WITH a AS (SELECT doc_id AS image_id, unnest([0,1,2]) AS pos, text FROM documents), p AS (SELECT image_id, pos, trim(lower(substring(text,CAST(1+pos*(length(text)//4) AS INT),6)||' '||substring(text,CAST(length(text)-length(text)//(3+pos) AS INT),4))) AS text FROM a),
 f AS (SELECT image_id, text, min(pos) AS fp FROM p WHERE text<>'' GROUP BY 1,2), n AS (SELECT image_id, text, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY fp)-1 AS INT) AS cls FROM f)
 SELECT p.image_id, CAST(p.pos AS INT) AS pos, p.text, n.cls FROM p JOIN n USING (image_id, text)""")
 def agg29(spark, sf):
-    d = fx.table(spark, sf, "documents").selectExpr("doc_id AS image_id", "text AS caption", "explode(array(0,1,2)) AS pos").selectExpr(
-        "image_id", "pos", "caption", "array(named_struct('a', CAST(pos*(image_id%3) AS INT), 'b', CAST(pos*(image_id%3)+6 AS INT)), named_struct('a', 10+pos, 'b', 14+pos)) AS tokens")
+    d = fx.table(spark, sf, "documents").selectExpr("doc_id AS image_id", "text", "explode(array(0,1,2)) AS pos").selectExpr(
+        "image_id", "pos", "text AS caption", "array(named_struct('a', CAST(pos*(length(text) div 4) AS INT), 'b', CAST(pos*(length(text) div 4)+6 AS INT)),"
+        " named_struct('a', CAST(length(text)-length(text) div (3+pos)-1 AS INT), 'b', CAST(length(text)-length(text) div (3+pos)+3 AS INT))) AS tokens")
     return A.category_texts(d)
 
 
@@ -293,10 +295,10 @@ def snk07(spark, sf):
     return s.select("image_id", F.posexplode("results").alias("i", "s")).select("image_id", "i", "s.name", "s.class", "s.confidence", "s.box.x1", "s.box.y2")
 
 
-@query("snk08_verbose", f"""WITH p AS (SELECT image_id, cls, CAST(count(*) AS VARCHAR)||' '||{NAME_SQL}||CASE WHEN count(*)>1 THEN 's' ELSE '' END||', ' AS w FROM fx_detections WHERE conf>0.95 GROUP BY 1,2)
+@query("snk08_verbose", f"""WITH p AS (SELECT image_id, cls, CAST(count(*) AS VARCHAR)||' '||{NAME_SQL}||CASE WHEN count(*)>1 THEN 's' ELSE '' END||', ' AS w FROM fx_detections GROUP BY 1,2)
 SELECT i.image_id, coalesce(t, '(no detections), ') AS verbose FROM fx_images i LEFT JOIN (SELECT image_id, array_to_string(list(w ORDER BY cls),'') AS t FROM p GROUP BY 1) USING (image_id)""")
 def snk08(spark, sf):
-    return A.verbose(fx.images(spark, sf), fx.detections(spark, sf).where("conf > 0.95"), name_of(F.col("cls")))
+    return A.verbose(fx.images(spark, sf), fx.detections(spark, sf), name_of(F.col("cls")))
 
 
 @query("top05_top_k_classes", """

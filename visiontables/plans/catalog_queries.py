@@ -183,21 +183,21 @@ def flt09(spark, sf):
 
 
 @query("joi14_plan_coverage", """
-WITH s AS (SELECT event_type AS technique, a.angle, count(*) AS samples FROM events JOIN fx_angles a ON a.n=event_id%9 WHERE value>150 GROUP BY 1,2)
+WITH s AS (SELECT event_type||CASE WHEN value>150 THEN '' ELSE '_drill' END AS technique, a.angle, count(*) AS samples FROM events LEFT JOIN fx_angles a ON a.n=event_id%9 GROUP BY 1,2)
 SELECT p.technique, p.angle, status, coalesce(samples,0) AS samples FROM fx_plan p LEFT JOIN s USING (technique, angle)""")
 def joi14(spark, sf):
     return coverage(spark, sf).select("technique", "angle", "status", "samples")
 
 
 def coverage(spark, sf):
-    # a sample is a capture that scored high; some carry an index after the angle
+    # captures that scored low are drills, which no plan asks for; some samples carry an index after the angle
     arr = F.array(*[F.lit(a) for a in fx.ANGLES], F.lit("none"), F.lit("none"))
-    e = fx.table(spark, sf, "events").where("value > 150")
-    s = e.select(F.col("event_type").alias("technique"), F.concat(F.get(arr, (F.col("event_id") % 9).cast("int")), F.expr("CASE WHEN event_id%2=0 THEN '_07' ELSE '' END")).alias("angle"))
+    e = fx.table(spark, sf, "events")
+    s = e.select(F.expr("concat(event_type, CASE WHEN value>150 THEN '' ELSE '_drill' END)").alias("technique"), F.concat(F.get(arr, (F.col("event_id") % 9).cast("int")), F.expr("CASE WHEN event_id%2=0 THEN '_07' ELSE '' END")).alias("angle"))
     return C.plan_coverage(fx.plan(spark, sf), s)
 
 
-COV_SQL = """WITH s AS (SELECT event_type AS technique, a.angle, count(*) AS samples FROM events JOIN fx_angles a ON a.n=event_id%9 WHERE value>150 GROUP BY 1,2),
+COV_SQL = """WITH s AS (SELECT event_type||CASE WHEN value>150 THEN '' ELSE '_drill' END AS technique, a.angle, count(*) AS samples FROM events LEFT JOIN fx_angles a ON a.n=event_id%9 GROUP BY 1,2),
 c AS (SELECT p.*, coalesce(samples,0) AS samples FROM fx_plan p LEFT JOIN s USING (technique, angle))"""
 
 

@@ -183,11 +183,11 @@ def agg15(spark, sf):
 
 
 @query("agg17_topk_accuracy", """
-WITH r AS (SELECT label, list_transform(list_grade_up(list_transform(embedding[1:10], lambda v: -v)), lambda i: i-1) AS ranked FROM embeddings),
+WITH r AS (SELECT label, list_transform(list_grade_up(list_transform(embedding, lambda v: -v)), lambda i: i-1) AS ranked FROM embeddings),
 a AS (SELECT avg(CASE WHEN ranked[1]=label THEN 1 ELSE 0 END) AS t1, avg(CASE WHEN list_contains(ranked[1:5], label) THEN 1 ELSE 0 END) AS t5 FROM r)
 SELECT round(t1,6) AS top1, round(t5,6) AS top5, round((t1+t5)/2,6) AS fitness FROM a""")
 def agg17(spark, sf):
-    ranked = F.transform(F.array_sort(F.transform(F.slice("embedding", 1, 10), lambda v, i: F.struct((-v).alias("v"), i.alias("i")))), lambda s: s["i"])
+    ranked = F.transform(F.array_sort(F.transform("embedding", lambda v, i: F.struct((-v).alias("v"), i.alias("i")))), lambda s: s["i"])
     d = fx.table(spark, sf, "embeddings").select("label", ranked.alias("ranked"))
     return E.topk_accuracy(d, "ranked", "label").select(*[r(F.col(c), c) for c in ("top1", "top5", "fitness")])
 

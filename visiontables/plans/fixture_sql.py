@@ -5,19 +5,19 @@ VIEWS: dict[str, str] = {}
 VIEWS["fx_detections"] = """
 SELECT o_orderkey*2+k AS det_id, CAST(floor(o_orderkey/20.0) AS BIGINT) AS image_id,
  CAST(CASE WHEN o_orderkey%11=0 THEN (o_custkey+1)%5 ELSE o_custkey%5 END AS INT) AS cls,
- CAST((o_orderkey*37)%500+(o_orderkey*(7+k))%23-11 AS DOUBLE) AS x1,
+ CAST((o_orderkey*37+CASE WHEN o_orderkey%13=0 THEN 250 ELSE 0 END)%500+(o_orderkey*(7+k))%23-11 AS DOUBLE) AS x1,
  CAST((o_orderkey*61)%350+(o_orderkey*(5+k))%19-9 AS DOUBLE) AS y1,
- CAST((o_orderkey*37)%500+40+(o_orderkey*13)%100+(o_orderkey*(3+k))%17-8 AS DOUBLE) AS x2,
+ CAST((o_orderkey*37+CASE WHEN o_orderkey%13=0 THEN 250 ELSE 0 END)%500+40+(o_orderkey*13)%100+(o_orderkey*(3+k))%17-8 AS DOUBLE) AS x2,
  CAST((o_orderkey*61)%350+40+(o_orderkey*29)%80+(o_orderkey*(11+k))%21-10 AS DOUBLE) AS y2,
  CAST(((o_orderkey*2+k)*7919)%1000003 AS DOUBLE)/1000003 AS conf
-FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) v WHERE o_orderkey%13<>0"""
+FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) v"""
 
 VIEWS["fx_ground_truth"] = """
 SELECT o_orderkey AS gt_id, CAST(floor(o_orderkey/20.0) AS BIGINT) AS image_id, CAST(o_custkey%5 AS INT) AS cls,
- CAST((o_orderkey*37)%500 AS DOUBLE) AS x1, CAST((o_orderkey*61)%350 AS DOUBLE) AS y1,
+ CAST((o_orderkey*37)%500 AS DOUBLE) AS x1, CAST((o_orderkey*61+CASE WHEN o_orderkey%7=0 THEN 175 ELSE 0 END)%350 AS DOUBLE) AS y1,
  CAST((o_orderkey*37)%500+40+(o_orderkey*13)%100 AS DOUBLE) AS x2,
- CAST((o_orderkey*61)%350+40+(o_orderkey*29)%80 AS DOUBLE) AS y2
-FROM orders WHERE o_orderkey%7<>0"""
+ CAST((o_orderkey*61+CASE WHEN o_orderkey%7=0 THEN 175 ELSE 0 END)%350+40+(o_orderkey*29)%80 AS DOUBLE) AS y2
+FROM orders"""
 
 VIEWS["fx_labels"] = """
 SELECT gt_id, image_id, CAST(640 AS BIGINT) AS w, CAST(480 AS BIGINT) AS h, cls, ((x1+x2)/2)/640 AS xc, ((y1+y2)/2)/480 AS yc,

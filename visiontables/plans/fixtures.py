@@ -11,6 +11,9 @@ from visiontables.operators.ordered import rank_rows
 LINE = [(320.0, 0.0), (320.0, 480.0)]
 RECT = [(160.0, 120.0), (480.0, 120.0), (480.0, 360.0), (160.0, 360.0)]
 CONCAVE = [(100.0, 100.0), (540.0, 100.0), (540.0, 400.0), (320.0, 220.0), (100.0, 400.0)]
+# Some detections lie away from their object, some objects away from their detection: false alarms and misses.
+AWAY = "((o_orderkey*37+CASE WHEN o_orderkey%13=0 THEN 250 ELSE 0 END)%500)"
+ASIDE = "((o_orderkey*61+CASE WHEN o_orderkey%7=0 THEN 175 ELSE 0 END)%350)"
 ANGLES = ["front", "left45", "right45", "side_left", "side_right", "side", "behind"]
 
 
@@ -23,24 +26,24 @@ def _image(key):
 
 
 def detections(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey").where("o_orderkey % 13 <> 0")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     o = o.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     return o.selectExpr(
         "o_orderkey*2+k AS det_id", "CAST(floor(o_orderkey/20.0) AS BIGINT) AS image_id",
         "CAST(CASE WHEN o_orderkey%11=0 THEN (o_custkey+1)%5 ELSE o_custkey%5 END AS INT) AS cls",
-        "CAST((o_orderkey*37)%500+(o_orderkey*(7+k))%23-11 AS DOUBLE) AS x1",
+        f"CAST({AWAY}+(o_orderkey*(7+k))%23-11 AS DOUBLE) AS x1",
         "CAST((o_orderkey*61)%350+(o_orderkey*(5+k))%19-9 AS DOUBLE) AS y1",
-        "CAST((o_orderkey*37)%500+40+(o_orderkey*13)%100+(o_orderkey*(3+k))%17-8 AS DOUBLE) AS x2",
+        f"CAST({AWAY}+40+(o_orderkey*13)%100+(o_orderkey*(3+k))%17-8 AS DOUBLE) AS x2",
         "CAST((o_orderkey*61)%350+40+(o_orderkey*29)%80+(o_orderkey*(11+k))%21-10 AS DOUBLE) AS y2",
         "CAST(((o_orderkey*2+k)*7919)%1000003 AS DOUBLE)/1000003 AS conf")
 
 
 def ground_truth(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").where("o_orderkey % 7 <> 0").selectExpr(
+    return table(spark, sf, "orders").selectExpr(
         "o_orderkey AS gt_id", "CAST(floor(o_orderkey/20.0) AS BIGINT) AS image_id", "CAST(o_custkey%5 AS INT) AS cls",
-        "CAST((o_orderkey*37)%500 AS DOUBLE) AS x1", "CAST((o_orderkey*61)%350 AS DOUBLE) AS y1",
+        "CAST((o_orderkey*37)%500 AS DOUBLE) AS x1", f"CAST({ASIDE} AS DOUBLE) AS y1",
         "CAST((o_orderkey*37)%500+40+(o_orderkey*13)%100 AS DOUBLE) AS x2",
-        "CAST((o_orderkey*61)%350+40+(o_orderkey*29)%80 AS DOUBLE) AS y2")
+        f"CAST({ASIDE}+40+(o_orderkey*29)%80 AS DOUBLE) AS y2")
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:

@@ -75,11 +75,11 @@ def win06(spark, sf):
 
 
 @query("win07_cooldown", """
-WITH RECURSIVE c AS (SELECT track_id, min(frame) AS frame FROM fx_tracks WHERE value>5 GROUP BY track_id
- UNION ALL SELECT c.track_id, (SELECT min(t.frame) FROM fx_tracks t WHERE t.track_id=c.track_id AND t.value>5 AND t.frame>=c.frame+10) FROM c WHERE c.frame IS NOT NULL)
+WITH RECURSIVE v AS (SELECT track_id, CAST(floor(epoch(ts)/3600) AS BIGINT) AS frame FROM fx_tracks), c AS (SELECT track_id, min(frame) AS frame FROM v GROUP BY track_id
+ UNION ALL SELECT c.track_id, (SELECT min(t.frame) FROM v t WHERE t.track_id=c.track_id AND t.frame>=c.frame+24) FROM c WHERE c.frame IS NOT NULL)
 SELECT track_id, frame FROM c WHERE frame IS NOT NULL""")
 def win07(spark, sf):
-    return T.cooldown(fx.tracks(spark, sf).where("value > 5"), 10)
+    return T.cooldown(fx.tracks(spark, sf).withColumn("frame", F.expr("unix_seconds(CAST(ts AS TIMESTAMP)) div 3600")), 24)
 
 
 @query("win09_moving_average_zero", """
@@ -220,21 +220,23 @@ def agg30(spark, sf):
 
 
 @query("set05_join_sub_tracks", """
-SELECT track_id, n, 'joined' AS kind FROM (SELECT track_id, count(*) AS n FROM fx_tracks WHERE source_id<2 GROUP BY 1) UNION ALL
-SELECT track_id, -count(*), 'joined' FROM fx_tracks WHERE cls_name='click' AND track_id NOT IN (SELECT track_id FROM fx_tracks WHERE source_id<2) GROUP BY 1
-UNION ALL SELECT track_id, count(*), 'rest' FROM fx_tracks WHERE source_id<2 AND track_id NOT IN (SELECT track_id FROM fx_tracks WHERE cls_name='click' AND value>100) GROUP BY 1""")
+WITH a AS (SELECT CASE WHEN source_id<2 THEN track_id ELSE -1-track_id END AS track_id, count(*) AS n FROM fx_tracks GROUP BY 1),
+b AS (SELECT CASE WHEN cls_name='click' THEN track_id ELSE 1000000+track_id END AS track_id, -count(*) AS n FROM fx_tracks GROUP BY 1),
+c AS (SELECT DISTINCT CASE WHEN cls_name='click' AND value>100 THEN track_id ELSE 2000000+track_id END AS track_id FROM fx_tracks)
+SELECT track_id, n, 'joined' AS kind FROM a UNION ALL SELECT track_id, n, 'joined' FROM b WHERE track_id NOT IN (SELECT track_id FROM a)
+UNION ALL SELECT track_id, n, 'rest' FROM a WHERE track_id NOT IN (SELECT track_id FROM c)""")
 def set05(spark, sf):
     t = fx.tracks(spark, sf)
-    a = t.where("source_id < 2").groupBy("track_id").agg(F.count("*").alias("n"))
-    b = t.where("cls_name = 'click'").groupBy("track_id").agg((-F.count("*")).alias("n"))
-    c = t.where("cls_name = 'click' AND value > 100").select("track_id").distinct()
+    a = t.groupBy(F.expr("CASE WHEN source_id<2 THEN track_id ELSE -1-track_id END").alias("track_id")).agg(F.count("*").alias("n"))
+    b = t.groupBy(F.expr("CASE WHEN cls_name='click' THEN track_id ELSE 1000000+track_id END").alias("track_id")).agg((-F.count("*")).alias("n"))
+    c = t.select(F.expr("CASE WHEN cls_name='click' AND value>100 THEN track_id ELSE 2000000+track_id END").alias("track_id")).distinct()
     return T.join_tracks(a, b).withColumn("kind", F.lit("joined")).unionByName(T.sub_tracks(a, c).withColumn("kind", F.lit("rest")))
 
 
 @query("str08_alarm_once", """
-SELECT source_id, frame, count(*) AS n FROM fx_tracks WHERE value>30 GROUP BY 1,2 HAVING count(*)>=10 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY frame)=1""")
+SELECT source_id, frame, count(*) AS n FROM fx_tracks GROUP BY 1,2 HAVING count(*)>=10 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY frame)=1""")
 def str08(spark, sf):
-    return T.alarm_once(fx.tracks(spark, sf).where("value > 30"), 10)
+    return T.alarm_once(fx.tracks(spark, sf), 10)
 
 
 @query("str14_latest_per_source", "SELECT source_id, frame, event_id FROM fx_tracks WHERE (source_id, frame) IN (SELECT (source_id, max(frame)) FROM fx_tracks GROUP BY source_id)")
