@@ -6,6 +6,7 @@ import pickle
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +52,35 @@ def dedupe_events(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(list(keys))
 
 
+def with_pauses(step: Callable[[dict, pd.DataFrame, bool], pd.DataFrame], pause_ms: int, time: str = "ts"):
+    """``step`` that starts afresh where a key is unseen for more than ``pause_ms``, inside a batch as well as between batches."""
+
+    def run(state: dict, pdf: pd.DataFrame, last: bool = False) -> pd.DataFrame:
+        at = pdf[time].to_numpy().astype("datetime64[ms]").astype("int64")
+        new = np.flatnonzero(np.diff(at, prepend=state.get("_seen", at[0])) > pause_ms)
+        edges = sorted({0, len(pdf), *new.tolist()})
+        out = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a in new:
+                state.clear()
+            out.append(step(state, pdf.iloc[a:b], last and b == len(pdf)))
+        state["_seen"] = int(at[-1])
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
 class Fold(StatefulProcessor):
-    """Runs a state step over the rows of a key, batch after batch; rows of one batch are put in order first."""
+    """Runs a state step over the rows of a key, batch after batch; rows of one batch are put in order first.
 
-    def __init__(self, step: Callable[[dict, pd.DataFrame, bool], pd.DataFrame], order: Sequence[str], ttl_ms: int | None = None):
-        self.step, self.order, self.ttl_ms = step, list(order), ttl_ms
+    With ``pause_ms`` a timer clears a key's state once the watermark says that it can only be followed by a pause.
+    """
+
+    def __init__(self, step: Callable[[dict, pd.DataFrame, bool], pd.DataFrame], order: Sequence[str], ttl_ms: int | None = None, pause_ms: int | None = None):
+        self.step, self.order, self.ttl_ms, self.pause_ms = step, list(order), ttl_ms, pause_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         schema = T.StructType([T.StructField("blob", T.BinaryType())])
         self.value = handle.getValueState("fold", schema, self.ttl_ms) if self.ttl_ms else handle.getValueState("fold", schema)
 
@@ -66,17 +89,31 @@ class Fold(StatefulProcessor):
         batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
         out = self.step(state, batch, False)
         self.value.update((pickle.dumps(state),))
+        if self.pause_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(state["_seen"] + self.pause_ms)
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def fold_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], step, schema: str, ttl_ms: int | None = None) -> DataFrame:
-    """Keyed state over a stream; the key may include a video id, so that a new video starts afresh."""
+def fold_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], step, schema: str, ttl_ms: int | None = None,
+                pause_ms: int | None = None, time: str = "ts") -> DataFrame:
+    """Keyed state over a stream; the key may include a video id, so that a new video starts afresh.
+
+    State ends ``ttl_ms`` of processing time after its last change, or ``pause_ms`` of event time (column ``time``, which has a
+    watermark) after its key was last seen; without either it stays.
+    """
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    mode = "ProcessingTime" if ttl_ms else "None"
-    return df.groupBy(*keys).transformWithStateInPandas(Fold(step, order, ttl_ms), outputStructType=schema, outputMode="Append", timeMode=mode)
+    mode = "EventTime" if pause_ms else "ProcessingTime" if ttl_ms else "None"
+    fold = Fold(with_pauses(step, pause_ms, time) if pause_ms else step, order, ttl_ms, pause_ms)
+    return df.groupBy(*keys).transformWithStateInPandas(fold, outputStructType=schema, outputMode="Append", timeMode=mode)
 
 
 def fold_batch(df: DataFrame, key: str, order: Sequence[str], step, schema: str) -> DataFrame:
@@ -137,6 +174,21 @@ def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def run_arrivals(arrivals: Sequence[DataFrame], stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Feed rows as they arrive: each table is added to a folder and ``stream`` of it resumes where it stopped, to what is there.
+
+    A restart reads its place and its watermark from the checkpoint, so rows that are late by then are left out as they would be
+    in a query that never stops.
+    """
+    spark, schema = arrivals[0].sparkSession, arrivals[0].schema
+    root = f"{shared_folder(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
+    for rows in arrivals:
+        rows.write.mode("append").parquet(f"{root}/in")
+        df = stream(source_stream(spark, f"{root}/in", schema))
+        df.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{root}/out")
+
+
 def latest_only(batch: DataFrame, key: str = "source_id", order: str = "frame") -> DataFrame:
     """For foreachBatch: of each micro-batch keep every source's newest frame."""
     newest = batch.groupBy(key).agg(F.max(order).alias(order))
