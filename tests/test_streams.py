@@ -133,3 +133,72 @@ def test_live_scores(spark):
     out = ST.score_windows(w, refs(spark, sf), F.lit(1), 60.0, S)
     rows = out.collect()
     assert len(rows) == 9 and all(0 <= r.score <= 100 and r.is_correct == (r.score >= 60) for r in rows)
+
+
+def test_scores_of_a_stream_equal_the_batch(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    from visiontables.operators import sequences as S
+    from visiontables.plans.poses_queries import refs
+    poses = fx.poses(spark, sf).select(F.col("seq_id").alias("track_id"), "frame", "kpts").where("track_id < 4").orderBy("frame", "track_id")
+    folder = files(spark, poses.collect(), poses.schema, str(tmp_path), 12)
+    stream = ST.fold_stream(ST.source_stream(spark, folder, poses.schema, files_per_trigger=1), ["track_id"], ["frame"], *folds.rolling_sequences(8))
+    cols = ["track_id", "at_frame", "is_correct", F.round("score", 6)]
+    got = ST.run_scores(stream, refs(spark, sf), F.lit(1)).select(*cols).collect()
+    w = ST.fold_batch(poses, "track_id", ["frame"], *folds.rolling_sequences(8))
+    want = ST.score_windows(w, refs(spark, sf), F.lit(1), 60.0, S).select(*cols).collect()
+    assert len(want) == 12 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def walks(n_tracks, hours):
+    """Tracks that live for four sightings, one after the other, some of them seen again after a long pause."""
+    rows, k = [], 0
+    for t in range(n_tracks):
+        for s in (0, 1, 2, 3, *((40, 41, 42) if t % 3 == 0 else ())):
+            at = t * hours / n_tracks + s * 0.25
+            rows.append((t, int(at * 60), 640.0 * (s % 2), 10.0 * s, float(25 - 20 * (s % 2)), T0 + dt.timedelta(minutes=int(at * 60))))
+            k += 1
+    return sorted(rows, key=lambda r: (r[5], r[0]))
+
+
+WALK = "track_id bigint, frame bigint, cx double, cy double, angle double, ts timestamp"
+PAUSE = 2 * 3_600_000
+
+
+def test_pauses_end_state_wherever_batches_end(spark, tmp_path):
+    rows = walks(40, 60)
+    folder = files(spark, rows, WALK, str(tmp_path), 37)
+    schema = spark.createDataFrame(rows, WALK).schema
+    pdf = pd.DataFrame(rows, columns=["track_id", "frame", "cx", "cy", "angle", "ts"])
+    for step, out in (folds.crossing([(320.0, -50.0), (320.0, 480.0)]), folds.repetitions(8, 20), folds.speed_lock(3)):
+        want = []
+        for _, own in pdf.groupby("track_id"):
+            for _, part in own.groupby((own["ts"].diff() > pd.Timedelta(milliseconds=PAUSE)).cumsum()):
+                want += map(tuple, step({}, part).itertuples(index=False))
+        for per in (1, 100):
+            s = ST.event_time(ST.source_stream(spark, folder, schema, files_per_trigger=per), "ts", "10 minutes")
+            got = ST.run_available(ST.fold_stream(s, ["track_id"], ["frame"], step, out, pause_ms=PAUSE)).collect()
+            assert want and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_state_stays_small_over_many_files(spark, tmp_path):
+    rows = walks(200, 300)
+    folder = files(spark, rows, WALK, str(tmp_path / "in"), 25)
+    schema = spark.createDataFrame(rows, WALK).schema
+    step, out = folds.repetitions(8, 20)
+    for windows, per in ((False, 1), (True, 3)):
+        s = ST.event_time(ST.source_stream(spark, folder, schema, files_per_trigger=per), "ts", "10 minutes")
+        df = ST.tumbling_counts(s, "ts", "1 hour", ["track_id"]) if windows else ST.fold_stream(s, ["track_id"], ["frame"], step, out, pause_ms=PAUSE)
+        name = f"{tmp_path}/{len(df.columns)}-{df.columns[-1]}"
+        q = df.writeStream.format("parquet").option("path", f"{name}/out").option("checkpointLocation", f"{name}/check").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        assert len(held) >= 12 and max(held) < 90 and held[-1] < 90
+
+
+def test_rows_late_after_a_restart(spark):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    day = lambda *ms: spark.createDataFrame([(at(m),) for m in ms], "ts timestamp")
+    batches = [day(1, 2, 100), day(3, 95, 130), day().limit(0), day(70, 50, 300)]
+    got = ST.run_arrivals(batches, lambda d: ST.tumbling_counts(ST.event_time(d, "ts", "30 minutes"), "ts", "1 hour", []))
+    # after 130 the watermark is 100, so what belongs to the first hour is late, and the second hour, which ends at 120, is not
+    assert {(r.start, r.n) for r in got.collect()} == {(T0, 2), (at(60), 3), (at(120), 1)}

@@ -131,13 +131,25 @@ def str11(spark, sf):
 WITH s AS (SELECT seq_id AS track_id, frame AS at_frame, list({'f': frame, 'x': kpts[1].x}) OVER (PARTITION BY seq_id ORDER BY frame ROWS 3 PRECEDING) AS l FROM fx_poses),
 u AS (SELECT track_id, at_frame, unnest(range(4)) AS frame, unnest(l) AS p FROM s WHERE len(l)=4) SELECT track_id, at_frame, frame, round(p.x,6) AS nose_x FROM u""")
 def str09(spark, sf):
-    """Rolling pose windows of a stream of embeddings read as poses; scoring them is ``score_stream``."""
+    """Rolling pose windows of a stream of embeddings read as poses."""
+    w = ST.run_available(live_windows(spark, sf, 4))
+    return w.select("track_id", "at_frame", "frame", r(w.kpts[0]["x"], "nose_x"))
+
+
+def live_windows(spark, sf, n):
     d = ST.source_stream(spark, sf, fx.table(spark, sf, "embeddings").schema, "embeddings*.parquet")
     poses = d.selectExpr(
         "CAST(floor(vec_id/10.0) AS BIGINT) AS track_id", "vec_id%10 AS frame",
         "transform(sequence(0,16), j -> named_struct('x', CAST(embedding[3*j] AS DOUBLE), 'y', CAST(embedding[3*j+1] AS DOUBLE), 'c', CAST(abs(embedding[3*j+2])*8 AS DOUBLE))) AS kpts")
-    w = ST.run_available(ST.fold_stream(poses, ["track_id"], ["frame"], *folds.rolling_sequences(4)))
-    return w.select("track_id", "at_frame", "frame", r(w.kpts[0]["x"], "nose_x"))
+    return ST.fold_stream(poses, ["track_id"], ["frame"], *folds.rolling_sequences(n))
+
+
+@query("str09_live_scores")
+def str09_scores(spark, sf):
+    """Every full window of the stream against the references of its technique, which stand still."""
+    from visiontables.plans.poses_queries import refs
+    s = ST.run_scores(live_windows(spark, sf, 8), refs(spark, sf), F.col("track_id").cast("int") % 3)
+    return s.select("track_id", "at_frame", "is_correct", r(F.col("score"), "score", 4))
 
 
 @query("str13_restart_per_video", f"""

@@ -205,6 +205,21 @@ def score_stream(windows: DataFrame, refs: DataFrame, write: Callable[[DataFrame
     return windows.writeStream.foreachBatch(batch)
 
 
+def run_scores(windows: DataFrame, refs: DataFrame, technique: Column, default: float = 60.0) -> DataFrame:
+    """Score the full windows of a stream over what is there now and read the scores back.
+
+    A batch is written under its number, so one that is repeated after a failure replaces itself.
+    """
+    spark = windows.sparkSession
+    root = f"{shared_folder(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
+
+    def write(scored: DataFrame, batch_id: int) -> None:
+        scored.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    score_stream(windows, refs, write, technique, default).option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("batch")
+
+
 def score_windows(rows: DataFrame, refs: DataFrame, technique: Column, default: float, S) -> DataFrame:
     keyed = rows.withColumn("seq_id", F.xxhash64("track_id", "at_frame"))
     users = S.assemble(keyed, ("seq_id",)).join(keyed.select("seq_id", "track_id", "at_frame", technique.alias("technique")).distinct(), "seq_id")
