@@ -152,6 +152,22 @@ def test_fingerprint_likeness(spark, documents, none):
     assert fingerprints.fingerprint_edits(none).count() == 0
 
 
+def test_likeness_of_short_texts():
+    draw = np.random.default_rng(5)
+    word = lambda: "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    for words in (1, 2, 5, 10, 20, 100, 500):
+        unrelated, edited = [], []
+        for _ in range(40):
+            a, b = [word() for _ in range(words)], [word() for _ in range(words)]
+            own = fingerprints.digest(" ".join(a).encode())
+            unrelated.append(fingerprints.likeness(own, fingerprints.digest(" ".join(b).encode())))
+            edited.append(fingerprints.likeness(own, fingerprints.digest(" ".join([*a[:-1], b[0]] if words > 1 else a).encode())))
+            assert fingerprints.likeness(own, own) == 1
+        assert np.mean(unrelated) < 0.25 and np.mean(edited) > np.mean(unrelated) + (0.3 if words > 2 else 0), words
+    few = [fingerprints.digest(t) for t in (b"", b"a", b"abcde")]
+    assert [[fingerprints.likeness(a, b) for b in few] for a in few] == [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
+
+
 # ---- licences
 
 

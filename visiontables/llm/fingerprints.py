@@ -2,7 +2,8 @@
 
 Every byte triplet (a byte, the second and the fifth after it) is hashed into one of BUCKETS counters. The digest states for
 each counter in which quarter of all counters it lies, after one byte for the length and one check byte. Two digests differ
-by the quarters between their counters and by their lengths; the difference is bounded by what unrelated counters have.
+by the quarters between their counters and by their lengths; the difference is bounded by what digests with as many counters
+in each quarter, but unrelated, have on average: short texts fill few counters, so few differences are many for them.
 """
 
 from __future__ import annotations
@@ -24,17 +25,17 @@ from visiontables.llm.words import mix
 BUCKETS = 1024
 #: Distances in bytes of a triplet's bytes.
 TRIPLET = (0, 2, 5)
-#: Mean difference of a counter's quarter in two unrelated digests (all 16 pairs alike).
-UNRELATED = 1.25
-#: A length step is a factor of LENGTH_STEP; steps beyond the first count so much of the largest difference each.
+#: A length step is a factor of LENGTH_STEP; each step beyond the first counts so much of the whole, up to LENGTH_MOST.
 LENGTH_STEP = 1.1
 LENGTH_WEIGHT = 0.01
+LENGTH_MOST = 0.1
 #: Rows of one range of ids, and the most ranges.
 ROWS_PER_RANGE = 5_000
 MOST_RANGES = 5_000
 
 _TABLES = [(mix(np.arange(1 + 256 * k, 257 + 256 * k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BUCKETS)).astype(np.uint16) for k in range(3)]
 _FOUR = np.asarray([64, 16, 4, 1], dtype=np.uint8)
+_APART = np.abs(np.subtract.outer(np.arange(4), np.arange(4)))
 
 
 def digest(text: bytes) -> bytes:
@@ -54,15 +55,23 @@ def digest(text: bytes) -> bytes:
 
 def _quarters(of: bytes) -> np.ndarray:
     packed = np.frombuffer(of, dtype=np.uint8)[2:]
-    return ((packed[:, None] >> np.asarray([6, 4, 2, 0], dtype=np.uint8)) & 3).astype(np.int8)
+    return ((packed[:, None] >> np.asarray([6, 4, 2, 0], dtype=np.uint8)) & 3).astype(np.int8).ravel()
 
 
 def likeness(a: bytes, b: bytes) -> float:
-    """1 for equal digests, down to 0 for those as different as unrelated ones or more."""
-    most = UNRELATED * BUCKETS
-    body = int(np.abs(_quarters(a) - _quarters(b)).sum()) + (a[1] != b[1])
-    length = max(0, abs(a[0] - b[0]) - 1) * LENGTH_WEIGHT * most
-    return 1 - min(body + length, most) / most
+    """1 for equal digests, down to 0 for those as different as unrelated ones or more.
+
+    Texts too short for a triplet are alike only if their digests are equal.
+    """
+    if a == b:
+        return 1.0
+    x, y = _quarters(a), _quarters(b)
+    most = float(np.bincount(x, minlength=4) @ _APART @ np.bincount(y, minlength=4)) / BUCKETS
+    if most == 0:
+        return 0.0
+    body = int(np.abs(x - y).sum()) + (a[1] != b[1])
+    length = min(LENGTH_MOST, max(0, abs(a[0] - b[0]) - 1) * LENGTH_WEIGHT)
+    return max(0.0, 1 - (1 - LENGTH_MOST) * min(body / most, 1) - length)
 
 
 def shown(of: bytes) -> str:
