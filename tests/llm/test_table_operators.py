@@ -324,3 +324,13 @@ def test_pipeline_edges(spark, odd):
     empty = odd.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
+def test_rows_keep_columns_of_any_name(spark, documents, labels):
+    names = ["_kept", "_twice", "_row", "_mix_", "_mix_topic_", "_mix_p_", "_evidence_", "_quality_verdict_", "_site_", "_host_", "_n"]
+    mine = documents.limit(60).select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    mine = mine.unionAll(mine.limit(3).withColumn("text", F.lit("other words")))
+    for kept in (jaccard.keep_first(mine), mixing.sample_documents(mine, rate=0.5), quality_classifier.keep_good(mine, labels)):
+        assert kept.columns == mine.columns
+        rows = kept.collect()
+        assert rows and {tuple(r[n] for n in names) for r in rows} == {tuple(range(len(names)))}

@@ -448,13 +448,16 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, task_s
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the first by doc_id, with all columns of ``docs``; rows without a set all stay.
 
-    Rows that share a doc_id are one document, of which equal texts stay once. A row with a NULL doc_id can't be named as
+    Columns may have any names besides doc_id and text. Rows that share a doc_id are one document, of which equal texts stay once. A row with a NULL doc_id can't be named as
     another's copy, so it stays.
     """
     marked = materialize(similarity_components(docs, n, percent).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))), "kept")
-    stay = docs.join(marked.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    whole = docs.select(F.struct("*").alias("_row"))
+    own = F.col("_row.doc_id")
+    stay = whole.join(marked.select(F.col("doc_id").alias("_kept")).distinct(), own.eqNullSafe(F.col("_kept")), "left_semi")
     repeated = materialize(marked.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice"), "repeated")
     if repeated.isEmpty():
-        return stay
-    again = F.col("doc_id") == F.col("_twice")
-    return stay.join(repeated, again, "left_anti").unionAll(stay.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return stay.select("_row.*")
+    again = own == F.col("_twice")
+    once = stay.join(repeated, again, "left_semi").select("_row.*").dropDuplicates(["doc_id", "text"])
+    return stay.join(repeated, again, "left_anti").select("_row.*").unionAll(once)

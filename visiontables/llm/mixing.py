@@ -158,15 +158,15 @@ def rake(cells: DataFrame, names: Sequence[str] = tuple(POWERS), rate: float = R
     return raked.select(*names, "tokens", F.round("p", 9).alias("p"))
 
 
-def _mixed(docs: DataFrame, topic: Column | None, rate: float, shares: Mapping[str, Mapping[str, float]] | None) -> DataFrame:
-    """``docs`` with the struct _mix_ (topic, tokens, probability, sampled) behind its columns."""
-    own = docs.withColumn("_mix_topic_", topic_of(F.col("text")) if topic is None else topic).withColumn("_mix_tokens_", tokens_of(F.col("text")))
-    cells = materialize(own.groupBy(F.col("source").alias("source"), F.col("lang").alias("lang"), F.col("_mix_topic_").alias("topic")).agg(F.sum("_mix_tokens_").alias("tokens")), "cells")
+def _mixed(docs: DataFrame, carry: Column, topic: Column | None, rate: float, shares: Mapping[str, Mapping[str, float]] | None) -> DataFrame:
+    """``carry`` of each row of ``docs`` as _row, with the struct _mix_ (topic, tokens, probability, sampled)."""
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) / float(1 << 53)
+    own = docs.select(carry.alias("_row"), "source", "lang", draw.alias("_draw_"), (topic_of(F.col("text")) if topic is None else topic).alias("_mix_topic_"), tokens_of(F.col("text")).alias("_mix_tokens_"))
+    cells = materialize(own.groupBy("source", "lang", F.col("_mix_topic_").alias("topic")).agg(F.sum("_mix_tokens_").alias("tokens")), "cells")
     raked = materialize(rake(cells, rate=rate, shares=shares).select(F.col("source").alias("_mix_a_"), F.col("lang").alias("_mix_b_"), F.col("topic").alias("_mix_c_"), F.col("p").alias("_mix_p_")), "probabilities")
     met = own.join(raked, F.col("source").eqNullSafe(F.col("_mix_a_")) & F.col("lang").eqNullSafe(F.col("_mix_b_")) & F.col("_mix_topic_").eqNullSafe(F.col("_mix_c_")), "left")
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) / float(1 << 53)
     p = F.coalesce("_mix_p_", F.lit(0.0))
-    return met.withColumn("_mix_", F.struct(F.col("_mix_topic_").alias("topic"), F.col("_mix_tokens_").alias("tokens"), p.alias("probability"), (draw < p).alias("sampled")))
+    return met.select("_row", F.struct(F.col("_mix_topic_").alias("topic"), F.col("_mix_tokens_").alias("tokens"), p.alias("probability"), (F.col("_draw_") < p).alias("sampled")).alias("_mix_"))
 
 
 def mix_documents(docs: DataFrame, topic: Column | None = None, rate: float = RATE, shares: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
@@ -177,10 +177,10 @@ def mix_documents(docs: DataFrame, topic: Column | None = None, rate: float = RA
     texts have no tokens and keep the probability of their cell; equal rows are kept or left out together. No rows give no
     rows. Other columns are not read.
     """
-    got = _mixed(docs.select("doc_id", "text", "source", "lang"), topic, rate, shares)
-    return got.select("doc_id", "source", "lang", "_mix_.*")
+    got = _mixed(docs, F.struct("doc_id", "source", "lang"), topic, rate, shares)
+    return got.select("_row.doc_id", "_row.source", "_row.lang", "_mix_.*")
 
 
 def sample_documents(docs: DataFrame, topic: Column | None = None, rate: float = RATE, shares: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
-    """The rows of ``docs`` that ``mix_documents`` samples, with all their columns."""
-    return _mixed(docs, topic, rate, shares).where("_mix_.sampled").select(*docs.columns)
+    """The rows of ``docs`` that ``mix_documents`` samples, with all their columns, whatever their names."""
+    return _mixed(docs, F.struct("*"), topic, rate, shares).where("_mix_.sampled").select("_row.*")

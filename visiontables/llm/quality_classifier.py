@@ -117,12 +117,12 @@ def fit_sites(docs: DataFrame, labels: DataFrame, host: str = "source", path: st
     return SiteModel(document, mean, host_strength, path_strength), sites
 
 
-def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, most_labelled: int) -> DataFrame:
-    """``docs`` with the struct _quality_verdict_ behind its columns."""
+def _scored(docs: DataFrame, carry: Column, labels: DataFrame, host: str, path: str, most_labelled: int) -> DataFrame:
+    """``carry`` of each row of ``docs`` as _row, with the struct _quality_verdict_."""
     model, sites = fit_sites(docs, labels, host, path, most_labelled)
     table = sites.select(F.col("host").alias("_site_host_"), F.col("path").alias("_site_path_"), F.struct("n", "s", "host_n", "host_s").alias("_site_"))
-    own = docs.withColumn("_evidence_", _evidence(features_of("text"), model.document))
-    met = own.join(table, F.col(host).eqNullSafe(F.col("_site_host_")) & F.col(path).eqNullSafe(F.col("_site_path_")), "left")
+    own = docs.select(carry.alias("_row"), F.col(host).alias("_host_"), F.col(path).alias("_path_"), _evidence(features_of("text"), model.document).alias("_evidence_"))
+    met = own.join(table, F.col("_host_").eqNullSafe(F.col("_site_host_")) & F.col("_path_").eqNullSafe(F.col("_site_path_")), "left")
     p = _logistic(F.col("_evidence_"))
     clip = lambda x: F.greatest(F.lit(0.001), F.least(F.lit(0.999), x))
     at = F.col("_site_")
@@ -130,7 +130,7 @@ def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, most_label
     path_prior = clip((at["s"] - p + model.path_strength * host_prior) / (at["n"] - 1 + model.path_strength))
     weight = F.col("_evidence_") - math.log(model.mean / (1 - model.mean))
     verdict = F.struct(F.col("_evidence_").alias("evidence"), p.alias("document_score"), host_prior.alias("host_prior"), path_prior.alias("path_prior"), _logistic(weight + _logit(path_prior)).alias("score"))
-    return met.withColumn("_quality_verdict_", verdict)
+    return met.select("_row", verdict.alias("_quality_verdict_"))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, most_labelled: int = MOST_LABELLED) -> DataFrame:
@@ -141,10 +141,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: str = "source", p
     label says so; repeated rows score alike. Without labels of both kinds the evidence is the same for all. No rows give
     no rows. Other columns are not read.
     """
-    got = _scored(docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path")), labels, "host", "path", most_labelled)
-    return got.select("doc_id", "_quality_verdict_.*").withColumn("kept", F.col("score") >= threshold)
+    got = _scored(docs, F.struct("doc_id"), labels, host, path, most_labelled)
+    return got.select("_row.doc_id", "_quality_verdict_.*").withColumn("kept", F.col("score") >= threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """The rows of ``docs`` that ``classify_quality`` keeps, with all their columns."""
-    return _scored(docs, labels, host, path, most_labelled).where(F.col("_quality_verdict_.score") >= threshold).select(*docs.columns)
+    """The rows of ``docs`` that ``classify_quality`` keeps, with all their columns, whatever their names."""
+    return _scored(docs, F.struct("*"), labels, host, path, most_labelled).where(F.col("_quality_verdict_.score") >= threshold).select("_row.*")
