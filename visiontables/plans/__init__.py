@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["boxes", "matching", "evaluation", "tracks", "poses", "catalog", "annotations", "search", "streams"]
+MODULES = ["boxes", "matching", "evaluation", "tracks", "poses", "catalog", "annotations", "search", "streams", "sources"]
 
 
 def load_all() -> None:

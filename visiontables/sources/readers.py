@@ -36,13 +36,23 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def _by_header(spark: SparkSession, root: str, names: list[str], name: str | None = None) -> DataFrame:
+def image_of(path: Column) -> Column:
+    """Image of a file: the value of its folder ``image_id=<id>`` as the writers name it, otherwise the file's stem."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"/image_id=([^/]+)/", 1), F.lit("")), file_stem(path))
+
+
+def _documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """JSON documents: one a file, or one a line, which Spark splits over tasks."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+
+
+def _by_header(spark: SparkSession, root: str, names: list[str], like: str | None = None) -> DataFrame:
     """(path, csv_line, names...) of comma-separated files: columns by each file's own header, line 1 being the header's.
 
     A cell may hold quoted line breaks, so a file is read by one task; columns that a file lacks are NULL.
     """
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)
-    rows = files.select(_file().alias("path"), "value")
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv" if like else None)
+    rows = files.where(F.rlike(_file(), F.lit(like)) if like else F.lit(True)).select(_file().alias("path"), "value")
 
     def run(batches):
         for batch in batches:
@@ -57,9 +67,10 @@ def _by_header(spark: SparkSession, root: str, names: list[str], name: str | Non
 
 
 def read_run_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """All ``metrics.csv`` below ``root``: typed values, group and user from the folder names."""
-    raw = _by_header(spark, root, RUN_COLUMNS, "metrics.csv").drop("csv_line")
-    d = raw.withColumn("run_folder", F.regexp_extract("path", r"/([^/]+)/metrics\.csv$", 1)).withColumn("group_name", F.regexp_extract("path", r"/([^/]+)/[^/]+/metrics\.csv$", 1))
+    """All ``metrics.csv`` below ``root``, files or folders of part files: typed values, group and user from the folder names."""
+    own = r"/metrics\.csv(/[^/]*)?$"
+    raw = _by_header(spark, root, RUN_COLUMNS, own).drop("csv_line")
+    d = raw.withColumn("run_folder", F.regexp_extract("path", "/([^/]+)" + own, 1)).withColumn("group_name", F.regexp_extract("path", "/([^/]+)/[^/]+" + own, 1))
     d = d.withColumn("user", F.split("run_folder", "_")[0])
     return d.withColumns({**{c: T.to_float(F.col(c)) for c in RUN_NUMBERS}, "frame": F.col("frame").try_cast("bigint"), "is_correct": T.truthy(F.col("is_correct"), ("1", "true", "yes"))})
 
@@ -72,7 +83,7 @@ def read_plan(spark: SparkSession, path: str) -> DataFrame:
 
 def read_label_text(spark: SparkSession, folder: str) -> DataFrame:
     """One row per label line: image, class and the numbers after it; box, quad, polygon and keypoint lines alike."""
-    d = spark.read.option("recursiveFileLookup", True).text(folder).select(file_stem(_file()).alias("image"), F.trim("value").alias("v")).where("v <> ''")
+    d = spark.read.option("recursiveFileLookup", True).text(folder).select(image_of(_file()).alias("image"), F.trim("value").alias("v")).where("v <> ''")
     nums = F.transform(F.split("v", r"\s+"), lambda s: s.try_cast("double"))
     return d.withColumn("_n", nums).select("image", F.get("_n", F.lit(0)).cast("int").alias("cls"), F.slice("_n", F.lit(2), F.greatest(F.size("_n") - 1, F.lit(0))).alias("numbers"), F.size("_n").alias("n_columns"))
 
@@ -94,9 +105,9 @@ annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<do
 keypoints:array<double>,tokens_positive:array<array<int>>>>"""
 
 
-def read_coco(spark: SparkSession, path: str) -> DataFrame:
-    """Annotations joined with their image, left-top boxes."""
-    doc = spark.read.schema(COCO_SCHEMA).option("multiLine", True).json(path)
+def read_coco(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Annotations joined with their image, left-top boxes; ``lines`` where each line is a document."""
+    doc = _documents(spark, path, COCO_SCHEMA, lines)
     img = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), F.col("i.width").alias("img_w"), F.col("i.height").alias("img_h"), "i.file_name", "i.caption")
     ann = doc.select(F.explode("annotations").alias("a")).select(
         F.col("a.id").alias("ann_id"), "a.image_id", "a.category_id", (F.coalesce("a.iscrowd", F.lit(0)) != 0).alias("iscrowd"), "a.segmentation", "a.keypoints", "a.tokens_positive",
@@ -109,7 +120,9 @@ object array<struct<name:string,difficult:int,bndbox:struct<xmin:double,ymin:dou
 
 
 def read_voc(spark: SparkSession, folder: str) -> DataFrame:
-    d = spark.read.format("xml").option("rowTag", "annotation").schema(VOC_SCHEMA).load(folder).select("*", file_stem(_file()).alias("image_id"))
+    """Objects of annotation documents, one or more a file; the image is the one a document names, otherwise its file's stem."""
+    d = spark.read.format("xml").option("rowTag", "annotation").schema(VOC_SCHEMA).load(folder)
+    d = d.select("*", F.coalesce(F.nullif(file_stem(F.col("filename")), F.lit("")), file_stem(_file())).alias("image_id"))
     o = d.select("image_id", F.col("size.width").alias("img_w"), F.col("size.height").alias("img_h"), F.posexplode("object").alias("pos", "o"))
     return o.select("image_id", "pos", "img_w", "img_h", "o.name", "o.difficult", "o.bndbox.*")
 
@@ -120,38 +133,41 @@ def read_sku(spark: SparkSession, path: str) -> DataFrame:
 
 def read_visdrone(spark: SparkSession, folder: str) -> DataFrame:
     schema = "left double, top double, width double, height double, score int, category int, truncation int, occlusion int"
-    return spark.read.schema(schema).csv(folder).select(file_stem(_file()).alias("image_id"), "*")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).csv(folder).select(image_of(_file()).alias("image_id"), "*")
 
 
-def read_xview(spark: SparkSession, path: str) -> DataFrame:
+def read_xview(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     schema = "features array<struct<properties:struct<bounds_imcoords:string,image_id:string,type_id:int>>>"
-    d = spark.read.schema(schema).option("multiLine", True).json(path)
+    d = _documents(spark, path, schema, lines)
     return d.select(F.explode("features").alias("f")).select("f.properties.*").where("bounds_imcoords <> ''")
 
 
-def read_signs(spark: SparkSession, path: str) -> DataFrame:
+def read_signs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Traffic-sign file whose images are a map keyed by id."""
     schema = "imgs map<string,struct<path:string,objects:array<struct<category:string,bbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>>>>"
-    d = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("imgs").alias("image_id", "v"))
+    d = _documents(spark, path, schema, lines).select(F.explode("imgs").alias("image_id", "v"))
     split = F.when(F.contains(F.col("v.path"), F.lit("train")), "train").when(F.contains(F.col("v.path"), F.lit("test")), "test").otherwise("val")
     return d.select("image_id", "v.path", split.alias("split"), F.explode("v.objects").alias("o")).select("image_id", "path", "split", "o.category", "o.bbox.*")
 
 
-def read_argoverse(spark: SparkSession, path: str) -> DataFrame:
-    """Annotations whose image and sequence folder are given by position."""
+def read_argoverse(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Annotations whose image and sequence folder are given by position in their document."""
     schema = "images array<struct<name:string,sid:int>>, seq_dirs array<string>, annotations array<struct<image_id:int,category_id:int,bbox:array<double>>>"
-    d = spark.read.schema(schema).option("multiLine", True).json(path)
-    img = d.select(F.posexplode("images").alias("pos", "i"), "seq_dirs").select(F.col("pos").alias("image_pos"), "i.name", F.get("seq_dirs", F.col("i.sid")).alias("folder"))
-    ann = d.select(F.posexplode("annotations").alias("ann_id", "a")).select(
-        "ann_id", F.col("a.image_id").alias("image_pos"), "a.category_id", *[F.get("a.bbox", F.lit(i)).alias(n) for i, n in enumerate(("left", "top", "width", "height"))])
-    return ann.join(img, "image_pos").withColumn("image_id", F.concat_ws("/", "folder", file_stem(F.col("name"))))
-
-
-def read_objects365(spark: SparkSession, path: str) -> DataFrame:
-    """As ``read_coco`` with the class number given by the position of its category."""
-    doc = spark.read.schema("categories array<struct<id:int,name:string>>").option("multiLine", True).json(path)
-    cats = doc.select(F.posexplode("categories").alias("cls", "c")).select("cls", F.col("c.id").alias("category_id"))
-    return read_coco(spark, path).join(cats, "category_id").withColumn("category_id", F.col("cls")).drop("cls")
+    def placed(a: Column, i: Column) -> Column:
+        image = F.get("images", a["image_id"])
+        stem = file_stem(image["name"])
+        return F.struct(i.alias("ann_id"), a["image_id"].alias("image_pos"), a["category_id"].alias("category_id"), a["bbox"].alias("bbox"), image["name"].alias("name"),
+                        F.concat_ws("/", F.get("seq_dirs", image["sid"]), stem).alias("image_id"))
+
+    d = _documents(spark, path, schema, lines).select(F.explode(F.transform("annotations", placed)).alias("a")).select("a.*").where("name IS NOT NULL")
+    return d.select("*", *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("left", "top", "width", "height"))]).drop("bbox")
+
+
+def read_objects365(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """As ``read_coco`` with the class number given by the position of its category, alike in all documents."""
+    doc = _documents(spark, path, "categories array<struct<id:int,name:string>>", lines)
+    cats = doc.select(F.posexplode("categories").alias("cls", "c")).select("cls", F.col("c.id").alias("category_id")).distinct()
+    return read_coco(spark, path, lines).join(cats, "category_id").withColumn("category_id", F.col("cls")).drop("cls")
 
 
 def read_thresholds(spark: SparkSession, path: str) -> DataFrame:

@@ -34,8 +34,8 @@ def label_lines(labels: DataFrame, numbers: Column | None = None, conf: str | No
 
 
 def write_label_text(labels: DataFrame, path: str, numbers: Column | None = None, conf: str | None = None) -> None:
-    """One folder of text per image, ``image_id=<id>``; a crowded image may be several part files."""
-    label_lines(labels, numbers, conf).write.mode("overwrite").partitionBy("image_id").text(path)
+    """One folder of text per image, ``image_id=<id>``; rows of an image meet first, a crowded image may be several part files."""
+    label_lines(labels, numbers, conf).hint("rebalance", "image_id").write.mode("overwrite").partitionBy("image_id").text(path)
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:
