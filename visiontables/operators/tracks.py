@@ -116,7 +116,8 @@ def queue_count(tracks: DataFrame, polygon, rn: str = "frame") -> DataFrame:
 def heat(boxes: DataFrame, key: str = "image_id", cell: int = 1) -> DataFrame:
     """Heat per cell: 2 for every whole pixel of a box within half its short side of its centre, scaled to 0..255.
 
-    Each pixel row of a disc is one run of columns, cut at cell borders, so the rows produced are runs and not pixels.
+    A difference table: of each pixel row of a disc only the two ends are rows, which are summed by cell before anything is
+    shuffled, and a running sum along a row of cells gives the heat. A row of cells has at most as many entries as cells.
     """
     b = B.Box(*[F.col(c).cast("int") for c in ("x1", "y1", "x2", "y2")])
     half = lambda v: F.floor(v / 2).cast("int")
@@ -126,10 +127,19 @@ def heat(boxes: DataFrame, key: str = "image_id", cell: int = 1) -> DataFrame:
     rows = d.withColumn("y", F.explode(F.sequence(F.greatest("y0", F.col("my") - F.col("rad")), F.least(F.col("ye") - 1, F.col("my") + F.col("rad")))))
     dy = F.col("y") - F.col("my")
     reach = F.floor(F.sqrt((F.col("rad") * F.col("rad") - dy * dy).cast("double"))).cast("int")
-    runs = rows.select(key, "y", F.greatest("x0", F.col("mx") - reach).alias("xa"), F.least(F.col("xe") - 1, F.col("mx") + reach).alias("xb")).where("xb >= xa")
-    cells = runs.withColumn("gx", F.explode(F.sequence(F.floor(F.col("xa") / cell), F.floor(F.col("xb") / cell))))
-    width = F.least(F.col("xb"), (F.col("gx") + 1) * cell - 1) - F.greatest(F.col("xa"), F.col("gx") * cell) + 1
-    return cells.groupBy(key, "gx", F.floor(F.col("y") / cell).alias("gy")).agg((F.sum(width) * 2).cast("bigint").alias("heat"))
+    runs = rows.select(key, F.floor(F.col("y") / cell).alias("gy"), F.greatest("x0", F.col("mx") - reach).alias("xa"), F.least(F.col("xe"), F.col("mx") + reach + 1).alias("xb")).where("xb > xa")
+    end = lambda x, sign: F.struct(F.col(x).alias("x"), F.lit(sign).alias("sign"))
+    ends = runs.select(key, "gy", F.explode(F.array(end("xa", 2), end("xb", -2))).alias("e")).select(key, "gy", F.floor(F.col("e.x") / cell).alias("gx"), "e.*")
+    # a start fills the rest of its own cell and all of each later one, an end takes that back
+    own = F.sum(F.col("sign") * ((F.col("gx") + 1) * cell - F.col("x"))).alias("own")
+    marks = ends.groupBy(key, "gy", "gx").agg(own, F.sum(F.col("sign") * cell).alias("later"))
+    along = Window.partitionBy(key, "gy").orderBy("gx")
+    run = marks.withColumn("_sum", F.sum("later").over(along)).withColumn("_next", F.lead("gx").over(along))
+    here = F.col("_sum") - F.col("later") + F.col("own")
+    last = F.when(F.col("_sum") > 0, F.col("_next") - 1).otherwise(F.col("gx"))
+    cells = run.select(key, "gy", F.col("gx").alias("_at"), F.explode(F.sequence("gx", last)).alias("gx"), here.alias("_here"), "_sum")
+    filled = cells.select(key, "gx", "gy", F.when(F.col("gx") == F.col("_at"), F.col("_here")).otherwise(F.col("_sum")).cast("bigint").alias("heat"))
+    return filled.where("heat > 0")
 
 
 def normalize_heat(cells: DataFrame, key: str = "image_id", has_empty: bool = True) -> DataFrame:
