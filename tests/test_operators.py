@@ -18,7 +18,6 @@ from visiontables.operators import evaluate as E
 from visiontables.operators import match as M
 from visiontables.operators import ordered as O
 from visiontables.operators import regions as R
-from visiontables.operators import search as S
 from visiontables.operators import tracks as TR
 
 BOX = "image_id bigint, {id} bigint, cls int, conf double, x1 double, y1 double, x2 double, y2 double"
@@ -287,21 +286,6 @@ def test_region_join_with_small_cells(spark):
     assert {(x.id, x.name) for x in R.region_join(pts, r, edge_inside=True, size=4).collect()} == got | {(1, "a"), (1, "b")}
 
 
-def test_knn_blocks(spark):
-    rnd = np.random.default_rng(2)
-    v = rnd.normal(size=(60, 8))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id bigint, embedding array<double>")
-    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:20])], "query_id bigint, embedding array<double>")
-    got = {}
-    for r in S.knn(q, items, k=4, block=7, chunk=11).collect():
-        got.setdefault(r.query_id, {})[r["rank"]] = r.item_id
-    for i in range(20):
-        sims = v @ v[i]
-        want = [int(j) for j in np.argsort(-sims)[:4] if sims[j] >= 0.1]
-        assert [got[i][k + 1] for k in range(len(want))] == want
-
-
 def test_joined_outline_covers_both(spark):
     a, b = [0, 0, 2, 0, 2, 2, 0, 2], [4, 0, 6, 0, 6, 2, 4, 2]
     d = spark.createDataFrame([([[float(v) for v in a], [float(v) for v in b]],)], "p array<array<double>>")

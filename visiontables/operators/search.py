@@ -1,49 +1,15 @@
-"""Vector search, interpolation joins, trial and timing statistics."""
+"""Interpolation joins, trial and timing statistics."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visiontables.operators.ordered import running
 
 
-def knn(queries: DataFrame, items: DataFrame, k: int = 30, min_sim: float = 0.1, block: int = 512, chunk: int = 20000) -> DataFrame:
-    """Exact top-k items by inner product: (query_id, item_id, sim, rank).
-
-    Both sides are hashed into parts of bounded size, query blocks and item chunks, whose number follows from the row
-    counts. Each block meets each chunk in one cogroup that multiplies two matrices and keeps only its k best per
-    query, so the final ranking sees k rows per query and chunk. Nothing is collected or broadcast by hand.
-    """
-    def parts(df, size):
-        return df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int")).scalar()
-
-    vec = F.transform("embedding", lambda v: v.cast("double")).alias("embedding")
-    home = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    counted = lambda df, *cols: df.select(*cols, parts(queries, block).alias("_nb"), parts(items, chunk).alias("_ns"))
-    q = counted(queries, "query_id", vec).select("query_id", "embedding", home("query_id", "_nb").alias("_b"), spread("_ns").alias("_s"))
-    it = counted(items, "item_id", vec).select("item_id", "embedding", home("item_id", "_ns").alias("_s"), spread("_nb").alias("_b"))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "sim": []})
-        sims = np.stack(left["embedding"]) @ np.stack(right["embedding"]).T
-        ids, take = right["item_id"].to_numpy(), min(k, sims.shape[1])
-        best = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :take]
-        out = pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), take), "item_id": ids[best].ravel(),
-                            "sim": np.take_along_axis(sims, best, 1).ravel()})
-        return out[out["sim"] >= min_sim]
-
-    part = q.groupBy("_b", "_s").cogroup(it.groupBy("_b", "_s")).applyInPandas(score, "query_id bigint, item_id bigint, sim double")
-    w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "item_id")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def interp_join(knots: DataFrame, grid: DataFrame, keys: Sequence[str], scale: float = 1.0) -> DataFrame:
     """Piecewise-linear lookup of grid positions x among knots (x, tie, y); outside the knots the end values hold.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from visiontables.operators import search as S
+from visiontables.operators.nearest import knn
 from visiontables.plans import fixtures as fx
 from visiontables.plans.boxes_queries import r
 from visiontables.registry import query
@@ -22,7 +23,7 @@ def joi17(spark, sf):
     vec = mean.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("l")).select("label", F.transform("l", lambda s: s["v"]).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     q = vec.select(F.col("label").cast("bigint").alias("query_id"), F.transform("v", lambda x: x / norm).alias("embedding"))
-    return S.knn(q, e.select(F.col("vec_id").alias("item_id"), "embedding")).withColumn("sim", F.round("sim", 6))
+    return knn(q, e.select(F.col("vec_id").alias("item_id"), "embedding")).withColumn("sim", F.round("sim", 6))
 
 
 @query("joi18_interp_join", """
