@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import csv
 import io
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visiontables.functions import text as T
 from visiontables.operators.annotations import is_image
 from visiontables.operators.ordered import rank_rows, sorted_rank
+from visiontables.sources.quoted import read_by_header
 
 # Columns of the metrics and plan tables, and of a retail label file (fixed values).
 RUN_COLUMNS = ["run_id", "timestamp_utc", "frame", "track_id", "technique", "reference_angle", "score", "score_threshold", "is_correct",
@@ -24,10 +23,6 @@ PLAN_COLUMNS = ["technique", "angle", "reference_key", "status", "source_url", "
 SKU_SCHEMA = "image string, x1 double, y1 double, x2 double, y2 double, class string, img_w double, img_h double"
 
 
-def _text_schema(names: list[str]) -> str:
-    return ", ".join(f"`{n}` string" for n in names)
-
-
 def _file() -> Column:
     return F.col("_metadata.file_path")
 
@@ -46,39 +41,19 @@ def _documents(spark: SparkSession, path: str, schema: str, lines: bool) -> Data
     return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
-def _by_header(spark: SparkSession, root: str, names: list[str], like: str | None = None) -> DataFrame:
-    """(path, csv_line, names...) of comma-separated files: columns by each file's own header, line 1 being the header's.
-
-    A cell may hold quoted line breaks, so a file is read by one task; columns that a file lacks are NULL.
-    """
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv" if like else None)
-    rows = files.where(F.rlike(_file(), F.lit(like)) if like else F.lit(True)).select(_file().alias("path"), "value")
-
-    def run(batches):
-        for batch in batches:
-            for path, text in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
-                found = [(path, line, *(row.get(n) for n in names)) for line, row in enumerate(csv.DictReader(io.StringIO(text.removeprefix("\ufeff"), newline="")), 2)]
-                for low in range(0, len(found), 10_000):
-                    columns = zip(*found[low:low + 10_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["path", "csv_line", *names])
-
-    types = [pa.string(), pa.int64(), *[pa.string()] * len(names)]
-    return rows.mapInArrow(run, f"path string, csv_line bigint, {_text_schema(names)}")
-
-
 def read_run_metrics(spark: SparkSession, root: str) -> DataFrame:
     """All ``metrics.csv`` below ``root``, files or folders of part files: typed values, group and user from the folder names."""
     own = r"/metrics\.csv(/[^/]*)?$"
-    raw = _by_header(spark, root, RUN_COLUMNS, own).drop("csv_line")
+    raw = read_by_header(spark, root, RUN_COLUMNS, "*.csv", own).drop("csv_line", "file_line")
     d = raw.withColumn("run_folder", F.regexp_extract("path", "/([^/]+)" + own, 1)).withColumn("group_name", F.regexp_extract("path", "/([^/]+)/[^/]+" + own, 1))
     d = d.withColumn("user", F.split("run_folder", "_")[0])
     return d.withColumns({**{c: T.to_float(F.col(c)) for c in RUN_NUMBERS}, "frame": F.col("frame").try_cast("bigint"), "is_correct": T.truthy(F.col("is_correct"), ("1", "true", "yes"))})
 
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
-    """Plan rows with their row number in the file (the header is 1); a byte-order mark is ignored."""
-    rows = _by_header(spark, path, PLAN_COLUMNS)
-    return rows.select("csv_line", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in PLAN_COLUMNS])
+    """Plan rows with their row number in the file (the header is 1) and the line they begin on; a byte-order mark is ignored."""
+    rows = read_by_header(spark, path, PLAN_COLUMNS)
+    return rows.select("csv_line", "file_line", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in PLAN_COLUMNS])
 
 
 def read_label_text(spark: SparkSession, folder: str) -> DataFrame:
