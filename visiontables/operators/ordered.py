@@ -22,7 +22,7 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
-def _join_keys(rows: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_keys(rows: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on ``keys`` in which NULL equals NULL."""
     other = few.withColumnsRenamed({k: f"_key_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
@@ -40,7 +40,7 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coars
     )
     local = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
     return (
-        _join_keys(rows.withColumn("_local", local), offsets, [*keys, "_b"])
+        join_keys(rows.withColumn("_local", local), offsets, [*keys, "_b"])
         .withColumn(out, (F.col("_local") + F.col("_off")).cast("bigint"))
         .drop("_b", "_local", "_off")
     )
@@ -85,7 +85,7 @@ def running_over_parts(rows: DataFrame, keys: Sequence[str], aggs: dict[str, tup
     before = Window.partitionBy(*keys).orderBy(along("_part")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_part", *[_COMBINE[kind][0](f"_t_{out}").over(before).alias(f"_o_{out}") for out, (kind, _) in aggs.items()])
     local = Window.partitionBy(*keys, "_part").orderBy(along("_id")).rowsBetween(Window.unboundedPreceding, 0)
-    met = _join_keys(rows, offsets, [*keys, "_part"])
+    met = join_keys(rows, offsets, [*keys, "_part"])
     named = [c for c in rows.columns if not c.startswith("_v_")]
     return met.select(*named, *[_COMBINE[kind][1](F.col(f"_o_{out}"), _COMBINE[kind][0](f"_v_{out}").over(local)).alias(out) for out, (kind, _) in aggs.items()])
 
@@ -134,7 +134,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coarse:
     local = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("*", *[
         _COMBINE[kind][0](f"_v_{out}").over(local).alias(f"_l_{out}") for out, (kind, _) in aggs.items()])
-    joined = _join_keys(rows, offsets, [*keys, "_b"])
+    joined = join_keys(rows, offsets, [*keys, "_b"])
     return joined.select(*df.columns, *[
         _COMBINE[kind][1](F.col(f"_o_{out}"), F.col(f"_l_{out}")).alias(out) for out, (kind, _) in aggs.items()])
 

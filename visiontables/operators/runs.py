@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visiontables.operators.ordered import join_keys, running_over_parts, sorted_parts
+from visiontables.operators.stages import materialize
+
 
 def finite(c: str | Column) -> Column:
     """NULL instead of NaN or infinity, so that aggregates skip the value."""
@@ -38,10 +41,32 @@ def run_summary(df: DataFrame, position: str, means: dict[str, str], tops: dict[
     return out.withColumns({**blank, **zero})
 
 
+def quantiles(values: DataFrame, keys: list[str], at: list[float]) -> DataFrame:
+    """(keys, _q array): exact quantiles, linear between neighbours, of distinct values _s that occur _n times each.
+
+    The values are written in ranges of equal depth; a running count along them gives each value the ranks it covers, so a quantile
+    is picked by an aggregate and no task holds a key's values. NULL values don't count; a key without others has no row.
+    """
+    known = values.where(F.col("_s").isNotNull())
+    placed = running_over_parts(sorted_parts(known, keys, [F.col("_s")]), keys, {"_upto": ("sum", F.col("_n"))})
+    met = join_keys(placed, known.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
+
+    def neighbour(q, rounded):
+        rank = rounded((F.col("_total") - 1) * F.lit(q))
+        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), F.col("_s")))
+
+    def between(q):
+        place = (F.max("_total") - 1) * F.lit(q)
+        low, high, part = neighbour(q, F.floor), neighbour(q, F.ceil), place - F.floor(place)
+        return F.when(low == high, low).otherwise(low * (1 - part) + high * part)
+
+    return met.groupBy(*keys).agg(F.array(*[between(q) for q in at]).alias("_q"))
+
+
 def score_boxplot(df: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """Quartiles, 1.5 IQR whiskers and outlier counts, from counts per distinct value."""
-    values = df.groupBy(*keys, F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
-    q = values.groupBy(*keys).agg(F.percentile("_s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q"), F.sum("_n").alias("n"))
+    """Quartiles, 1.5 IQR whiskers and outlier counts, from counts per distinct value. NULL scores count in ``n`` alone."""
+    values = materialize(df.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(F.count("*").alias("_n")), "values")
+    q = values.groupBy(*keys).agg(F.sum("_n").alias("n")).join(quantiles(values, keys, [0.25, 0.5, 0.75]), keys, "left")
     q = q.select(*keys, "n", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     ends = values.join(q, keys).groupBy(*keys).agg(

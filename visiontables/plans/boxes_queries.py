@@ -368,7 +368,11 @@ def fun11(spark, sf):
     return steps.select("event_id", hit.alias("crossed"))
 
 
-@query("fun12_convex_hull")
+@query("fun12_convex_hull", """
+WITH s AS (SELECT gt_id, list_distinct(pts) AS p FROM fx_segments), a AS (SELECT gt_id, p, unnest(p) AS a FROM s), ab AS (SELECT gt_id, p, a, unnest(p) AS b FROM a),
+c AS (SELECT *, list_transform(p, lambda c: {'side': (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x), 'beyond': (c.x-a.x)*(c.x-b.x)+(c.y-a.y)*(c.y-b.y)}) AS t FROM ab WHERE a<>b),
+e AS (SELECT gt_id, a, b FROM c WHERE len(list_filter(t, lambda v: v.side<0 OR (v.side=0 AND v.beyond>0)))=0)
+SELECT gt_id, CAST(greatest(count(e.a),1) AS INT) AS n_hull, round(coalesce(abs(sum(e.a.x*e.b.y-e.b.x*e.a.y))/2,0),6) AS area FROM s LEFT JOIN e USING (gt_id) GROUP BY 1""")
 def fun12(spark, sf):
     hull = G.convex_hull(F.col("pts"))
     return fx.segments(spark, sf).select("gt_id", F.size(hull).alias("n_hull"), r(G.polygon_area(hull), "area"))
