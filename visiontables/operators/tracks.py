@@ -270,17 +270,25 @@ def mask_runs(df: DataFrame, keys: Sequence[str], counts: str) -> DataFrame:
     return runs.where("i % 2 = 1").select(*keys, (F.col("z.e") - F.col("z.c")).alias("start"), F.col("z.e").alias("stop")).where("stop > start")
 
 
-def mask_iou(a: DataFrame, b: DataFrame, on: Sequence[str], size: int = 1 << 16, eps: float = 1e-7) -> DataFrame:
-    """IoU of run-length masks of the same image: runs meet in stretches of pixels, then their overlaps add up."""
+def mask_iou(a: DataFrame, b: DataFrame, on: Sequence[str], threshold: float | None = None, size: int = 1024, eps: float = 1e-7) -> DataFrame:
+    """IoU of run-length masks of the same image, all that overlap, or with ``threshold`` those that reach it.
+
+    Runs meet in stretches of ``size`` pixels, about a row or two of an image, so a run hardly meets one that it doesn't overlap; a long
+    run is copied once a stretch. Two masks share at most the smaller one's pixels of the larger one's, so a pair whose
+    areas alone rule out the threshold is left out before its runs are added up.
+    """
     def cells(df, p):
         d = df.select(*on, F.col(f"{p}_id"), F.col("start").alias(f"{p}_s"), F.col("stop").alias(f"{p}_e"))
-        return d.withColumn("_c", F.explode(F.sequence(F.floor(F.col(f"{p}_s") / size), F.floor((F.col(f"{p}_e") - 1) / size))))
+        area = d.groupBy(*on, f"{p}_id").agg(F.sum(F.col(f"{p}_e") - F.col(f"{p}_s")).alias(f"{p}_area"))
+        return d.join(area, [*on, f"{p}_id"]).withColumn("_c", F.explode(F.sequence(F.floor(F.col(f"{p}_s") / size), F.floor((F.col(f"{p}_e") - 1) / size))))
 
     lo, hi = F.greatest("a_s", "b_s", F.col("_c") * size), F.least("a_e", "b_e", (F.col("_c") + 1) * size)
-    inter = (cells(a, "a").join(cells(b, "b"), [*on, "_c"]).where(hi > lo).groupBy(*on, "a_id", "b_id").agg(F.sum(hi - lo).alias("inter")))
-    area = lambda d, p: d.groupBy(*on, f"{p}_id").agg(F.sum(F.col("stop") - F.col("start")).alias(f"{p}_area"))
-    out = inter.join(area(a, "a"), [*on, "a_id"]).join(area(b, "b"), [*on, "b_id"])
-    return out.withColumn("iou", F.col("inter") / (F.col("a_area") + F.col("b_area") - F.col("inter") + eps))
+    met = cells(a, "a").join(cells(b, "b"), [*on, "_c"]).where(hi > lo)
+    if threshold is not None:
+        met = met.where(F.least("a_area", "b_area") >= threshold * F.greatest("a_area", "b_area"))
+    out = met.groupBy(*on, "a_id", "b_id").agg(F.sum(hi - lo).alias("inter"), F.max("a_area").alias("a_area"), F.max("b_area").alias("b_area"))
+    out = out.withColumn("iou", F.col("inter") / (F.col("a_area") + F.col("b_area") - F.col("inter") + eps))
+    return out if threshold is None else out.where(F.col("iou") >= threshold)
 
 
 # --- global order ------------------------------------------------------------------------------------------------

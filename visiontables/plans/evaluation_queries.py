@@ -330,6 +330,6 @@ def agg16_segment(spark, sf):
         return rows.selectExpr("image_id", "cls", f"{key} AS {out}", "y*640+CAST(greatest(0D,x1) AS BIGINT) AS start", "y*640+CAST(least(640D,x2) AS BIGINT) AS stop")
 
     d = fx.detections(spark, sf)
-    ious = T.mask_iou(runs(d, "det_id", "a_id"), runs(fx.ground_truth(spark, sf), "gt_id", "b_id"), ["image_id", "cls"])
+    ious = T.mask_iou(runs(d, "det_id", "a_id"), runs(fx.ground_truth(spark, sf), "gt_id", "b_id"), ["image_id", "cls"], threshold=0.5)
     c = M.mask_candidates(ious.select(F.col("a_id").alias("det_id"), F.col("b_id").alias("gt_id"), "iou"), d)
     return task_ap(c, d, spark, sf)
