@@ -22,11 +22,11 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def source_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
-    """Rows of all sources from Parquet files as they arrive."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    """Rows of all sources from Parquet files as they arrive; what ``glob`` names in the folder may be a file or a folder of files."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder.rstrip('/')}/{glob}")
 
 
 def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
@@ -208,16 +208,20 @@ def score_stream(windows: DataFrame, refs: DataFrame, write: Callable[[DataFrame
 def run_scores(windows: DataFrame, refs: DataFrame, technique: Column, default: float = 60.0) -> DataFrame:
     """Score the full windows of a stream over what is there now and read the scores back.
 
-    A batch is written under its number, so one that is repeated after a failure replaces itself.
+    A batch is written under its number, so one that is repeated after a failure replaces itself. A stream without rows has no scores.
     """
+    from visiontables.operators import sequences as S
+
     spark = windows.sparkSession
     root = f"{shared_folder(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
 
     def write(scored: DataFrame, batch_id: int) -> None:
         scored.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
+    none = score_windows(spark.createDataFrame([], windows.schema), refs, technique, default, S)
+    spark.createDataFrame([], none.schema).write.parquet(f"{root}/out/batch=-1")
     score_stream(windows, refs, write, technique, default).option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out").drop("batch")
+    return spark.read.schema(none.schema).parquet(f"{root}/out")
 
 
 def score_windows(rows: DataFrame, refs: DataFrame, technique: Column, default: float, S) -> DataFrame:
