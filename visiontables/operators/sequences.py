@@ -29,10 +29,11 @@ def joint_rows(seqs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return f.select(*keys, "n", "i", F.posexplode("_f").alias("j", "_p")).select(*keys, "n", "i", "j", "_p.x", "_p.y")
 
 
-def resample(rows: DataFrame, keys: Sequence[str], target: Column) -> DataFrame:
+def resample(rows: DataFrame, keys: Sequence[str], target: Column, length: int | None = None) -> DataFrame:
     """Fill gaps (edges nearest, inside linear, nothing seen: 0) and read each joint at ``target`` even moments.
 
-    Input and output rows: keys, n, i, j, x, y. Each row serves the target moments that lie between it and the next.
+    Input and output rows: keys, n, i, j, x, y. Each row serves the target moments that lie between it and the next. The moments
+    spread over the clip, or over ``length`` frames: a clip that ends before has no rows for the moments behind its last frame.
     """
     w = Window.partitionBy(*keys, "j").orderBy("i")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
@@ -46,10 +47,10 @@ def resample(rows: DataFrame, keys: Sequence[str], target: Column) -> DataFrame:
 
     d = d.select(*keys, "n", "i", "j", filled("x").alias("x"), filled("y").alias("y")).withColumn("_t", target)
     d = d.withColumn("_x1", F.lead("x").over(w)).withColumn("_y1", F.lead("y").over(w))
-    steps, span = F.col("_t") - 1, F.col("n") - 1
+    steps, span = F.col("_t") - 1, (F.col("n") if length is None else F.lit(length)) - 1
     first = F.when(span > 0, F.ceil(F.try_divide(F.col("i") * steps, span))).otherwise(F.lit(0))
     after = F.when((span == 0) | (F.col("i") == span), F.col("_t")).otherwise(F.ceil(F.try_divide((F.col("i") + 1) * steps, span)))
-    d = d.withColumn("_lo", first.cast("int")).withColumn("_hi", (after - 1).cast("int")).where("_lo <= _hi")
+    d = d.withColumn("_lo", first.cast("int")).withColumn("_hi", (F.least(after, F.col("_t")) - 1).cast("int")).where("_lo <= _hi")
     d = d.withColumn("_k", F.explode(F.sequence("_lo", "_hi")))
     t = F.coalesce(F.try_divide(F.col("_k") * span, steps) - F.col("i"), F.lit(0.0))
     t = F.when((span == 0) | F.col("_x1").isNull(), F.lit(0.0)).otherwise(t)
