@@ -23,6 +23,12 @@ def assemble(poses: DataFrame, keys: Sequence[str] = ("seq_id",), frame: str = "
     return norm.groupBy(*keys).agg(item.alias("_l")).select(*keys, F.transform("_l", lambda s: s["pts"]).alias("frames"), F.size("_l").alias("n"))
 
 
+def pad_frames(frames: Column, length: int, joints: int = 17) -> Column:
+    """Frames without any joint behind the last one, up to ``length``."""
+    empty = F.array_repeat(F.lit(None).cast("struct<x:double,y:double>"), joints)
+    return F.concat(frames, F.array_repeat(empty, F.greatest(F.lit(0), length - F.size(frames))))
+
+
 def joint_rows(seqs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Normalised joints as rows (keys, i, j, x, y), missing ones with NULLs."""
     f = seqs.select(*keys, "n", F.posexplode("frames").alias("i", "_f"))
