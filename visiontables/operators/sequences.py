@@ -128,6 +128,18 @@ def compare_to_references(users: DataFrame, refs: DataFrame, joints: int = 17) -
     return final_score(pair_parts(pairs).withColumn("dtw_distance", dtw("u_best", "r_vec"))).drop("u_vec", "r_vec", "u_best", "u_angles", "r_angles")
 
 
+def compare_frames(users: DataFrame, refs: DataFrame) -> DataFrame:
+    """Every user sequence against every angle of its technique frame by frame, over the frames that both have: similarity parts.
+
+    Gaps are filled as in ``compare_to_references``, but nothing is resampled and nothing warped.
+    """
+    u, r = _resampled(users, ["seq_id", "technique"], F.col("n")), _resampled(refs, ["technique", "angle"], F.col("n"))
+    pairs = u.select("seq_id", "technique", F.col("vec").alias("u_vec"), F.col("angles").alias("u_angles")).join(
+        r.select("technique", "angle", F.col("vec").alias("r_vec"), F.col("angles").alias("r_angles")), "technique")
+    both = F.least(F.size("u_vec"), F.size("r_vec"))
+    return pair_parts(pairs.withColumns({c: F.slice(c, F.lit(1), both) for c in ("u_vec", "r_vec")}))
+
+
 METRICS = ["score", "cosine_similarity", "dtw_distance", "angle_error", "mean_pose_distance", "use_mirror"]
 
 
