@@ -275,15 +275,16 @@ def mask_iou(a: DataFrame, b: DataFrame, on: Sequence[str], threshold: float | N
 
     Runs meet in stretches of ``size`` pixels, about a row or two of an image, so a run hardly meets one that it doesn't overlap; a long
     run is copied once a stretch. Two masks share at most the smaller one's pixels of the larger one's, so a pair whose
-    areas alone rule out the threshold is left out before its runs are added up.
+    areas alone rule out the threshold is left out before its runs are added up. Runs are far more than their size estimate
+    knows, so none are broadcast.
     """
     def cells(df, p):
         d = df.select(*on, F.col(f"{p}_id"), F.col("start").alias(f"{p}_s"), F.col("stop").alias(f"{p}_e"))
         area = d.groupBy(*on, f"{p}_id").agg(F.sum(F.col(f"{p}_e") - F.col(f"{p}_s")).alias(f"{p}_area"))
-        return d.join(area, [*on, f"{p}_id"]).withColumn("_c", F.explode(F.sequence(F.floor(F.col(f"{p}_s") / size), F.floor((F.col(f"{p}_e") - 1) / size))))
+        return d.join(area.hint("merge"), [*on, f"{p}_id"]).withColumn("_c", F.explode(F.sequence(F.floor(F.col(f"{p}_s") / size), F.floor((F.col(f"{p}_e") - 1) / size))))
 
     lo, hi = F.greatest("a_s", "b_s", F.col("_c") * size), F.least("a_e", "b_e", (F.col("_c") + 1) * size)
-    met = cells(a, "a").join(cells(b, "b"), [*on, "_c"]).where(hi > lo)
+    met = cells(a, "a").join(cells(b, "b").hint("merge"), [*on, "_c"]).where(hi > lo)
     if threshold is not None:
         met = met.where(F.least("a_area", "b_area") >= threshold * F.greatest("a_area", "b_area"))
     out = met.groupBy(*on, "a_id", "b_id").agg(F.sum(hi - lo).alias("inter"), F.max("a_area").alias("a_area"), F.max("b_area").alias("b_area"))
