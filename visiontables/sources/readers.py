@@ -56,9 +56,13 @@ def read_plan(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("csv_line", "file_line", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in PLAN_COLUMNS])
 
 
-def read_label_text(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per label line: image, class and the numbers after it; box, quad, polygon and keypoint lines alike."""
-    d = spark.read.option("recursiveFileLookup", True).text(folder).select(image_of(_file()).alias("image"), F.trim("value").alias("v")).where("v <> ''")
+def read_label_text(spark: SparkSession, folder: str, named: bool = False) -> DataFrame:
+    """One row per label line: image, class and the numbers after it; box, quad, polygon and keypoint lines alike.
+
+    The image is the file's, or with ``named`` what stands before the line's last tab.
+    """
+    image, line = (F.regexp_extract("value", r"^(.*)\t", 1), F.substring_index("value", "\t", -1)) if named else (image_of(_file()), F.col("value"))
+    d = spark.read.option("recursiveFileLookup", True).text(folder).select(image.alias("image"), F.trim(line).alias("v")).where("v <> ''")
     nums = F.transform(F.split("v", r"\s+"), lambda s: s.try_cast("double"))
     return d.withColumn("_n", nums).select("image", F.get("_n", F.lit(0)).cast("int").alias("cls"), F.slice("_n", F.lit(2), F.greatest(F.size("_n") - 1, F.lit(0))).alias("numbers"), F.size("_n").alias("n_columns"))
 

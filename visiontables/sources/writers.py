@@ -33,8 +33,16 @@ def label_lines(labels: DataFrame, numbers: Column | None = None, conf: str | No
     return labels.select("image_id", F.array_join(parts, " ").alias("value"))
 
 
-def write_label_text(labels: DataFrame, path: str, numbers: Column | None = None, conf: str | None = None) -> None:
-    """One folder of text per image, ``image_id=<id>``; rows of an image meet first, a crowded image may be several part files."""
+def write_label_text(labels: DataFrame, path: str, numbers: Column | None = None, conf: str | None = None, named: bool = False) -> None:
+    """One folder of text per image, ``image_id=<id>``; rows of an image meet first, a crowded image may be several part files.
+
+    A set of very many images takes longer to make its folders than all else: ``named`` lines begin with the image and a tab instead,
+    and any number of images share a file.
+    """
+    if named:
+        lines = label_lines(labels, numbers, conf)
+        lines.select(F.concat(F.col("image_id").cast("string"), F.lit("\t"), "value").alias("value")).write.mode("overwrite").text(path)
+        return
     label_lines(labels, numbers, conf).hint("rebalance", "image_id").write.mode("overwrite").partitionBy("image_id").text(path)
 
 
