@@ -110,8 +110,11 @@ def read_sku(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SKU_SCHEMA).csv(path).withColumnRenamed("image", "image_id")
 
 
-def read_visdrone(spark: SparkSession, folder: str) -> DataFrame:
+def read_visdrone(spark: SparkSession, folder: str, named: bool = False) -> DataFrame:
+    """Boxes of annotation lines; the image is the file's, or with ``named`` the line's first cell."""
     schema = "left double, top double, width double, height double, score int, category int, truncation int, occlusion int"
+    if named:
+        return spark.read.schema(f"image_id string, {schema}").option("recursiveFileLookup", True).csv(folder)
     return spark.read.schema(schema).option("recursiveFileLookup", True).csv(folder).select(image_of(_file()).alias("image_id"), "*")
 
 
