@@ -142,27 +142,42 @@ def optimal_match(pairs: DataFrame, group: str, row: str, col: str, cost: str, l
 
 def suppress_fast(dets: DataFrame, threshold: float, on: Sequence[str] = ("image_id", "cls"),
                   overlap: Callable[[str, str], Column] | None = None, reach: B.Box | None = None,
-                  size: float = CELL) -> DataFrame:
+                  size: float = CELL, fold: int = FOLD, extra: Sequence[Column] = ()) -> DataFrame:
     """Drop a box when any better box of its group overlaps it by at least ``threshold``.
 
-    A semi join stops at the first better box, so crowded places cost no list of pairs; a pair is tested in one cell only.
+    An anti join stops at the first better box, so crowded places cost no list of pairs. A group of up to ``fold`` boxes is one join
+    key and its boxes move once, before what is only needed to compare them (``reach``, and ``extra`` for ``overlap``) is computed;
+    those of a larger one are copied to the cells they touch, and a pair is tested in one cell only.
     """
     overlap = overlap or (lambda a, b: B.iou(B.box(a), B.box(b)))
-    reach = reach or B.box()
     bounds = ("_rx1", "_ry1", "_rx2", "_ry2")
-    spread = to_cells(dets.select("*", *reach.named(*bounds)), reach, size)
-    a, b = prefixed(spread, "a_"), prefixed(spread, "b_")
-    keys = [*on, "_cx", "_cy"]
-    same = F.col("a_" + keys[0]) == F.col("b_" + keys[0])
-    for k in keys[1:]:
-        same = same & (F.col("a_" + k) == F.col("b_" + k))
+    bounded = lambda rows: rows.select("*", *extra, *(reach or B.box()).named(*bounds))
     better = (F.col("b_conf") > F.col("a_conf")) | ((F.col("b_conf") == F.col("a_conf")) & (F.col("b_det_id") < F.col("a_det_id")))
     # the cheap test of the bounds comes first
     mine, its = B.box("a_", bounds), B.box("b_", bounds)
+
+    same = reduce(lambda x, y: x & y, [F.col("a_" + k) == F.col("b_" + k) for k in on])
+    # a number that is never NULL as key, and a test that is never NULL: Spark derives no filters from them, so both sides of the join are one shuffle
+    group = F.when(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in on]), F.xxhash64(*on)).otherwise(F.xxhash64("det_id"))
+
+    def beaten(rows: DataFrame, keys: Sequence[str], near: Column, how: str) -> DataFrame:
+        clash = F.coalesce(same & near & B.overlaps(mine, its) & better & (overlap("a_", "b_") >= threshold), F.lit(False))
+        met = reduce(lambda x, y: x & y, [F.col("a_" + k) == F.col("b_" + k) for k in keys])
+        return prefixed(rows, "a_").join(prefixed(rows, "b_").hint("merge"), met & clash, how)
+
+    def whole(rows: DataFrame) -> DataFrame:
+        moved = bounded(rows.withColumn("_group", group).repartition("_group"))
+        return beaten(moved, ["_group"], F.lit(True), "left_anti").select(*[F.col("a_" + c).alias(c) for c in dets.columns])
+
+    crowded = materialize(dets.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > fold).select(*on), "crowded")
+    if crowded.isEmpty():
+        return whole(dets)
     home = (F.col("a__cx") == F.floor(F.greatest(mine.x1, its.x1) / size)) & (F.col("a__cy") == F.floor(F.greatest(mine.y1, its.y1) / size))
-    near = home & B.overlaps(mine, its)
-    lost = a.join(b.hint("merge"), same & near & better & (overlap("a_", "b_") >= threshold), "left_semi").select(F.col("a_det_id").alias("det_id")).distinct()
-    return dets.join(lost, "det_id", "left_anti")
+    crowd = dets.join(crowded, list(on), "left_semi").select(*dets.columns)
+    spread = to_cells(bounded(crowd), B.box("", bounds), size)
+    lost = beaten(spread, [*on, "_cx", "_cy"], home, "left_semi").select(F.col("a_det_id").alias("det_id")).distinct()
+    kept = crowd.join(lost, "det_id", "left_anti").select(*dets.columns)
+    return whole(dets.join(crowded, list(on), "left_anti").select(*dets.columns)).unionByName(kept)
 
 
 def suppress_rotated(dets: DataFrame, threshold: float, on: Sequence[str] = ("image_id", "cls")) -> DataFrame:
@@ -174,10 +189,9 @@ def suppress_rotated(dets: DataFrame, threshold: float, on: Sequence[str] = ("im
     k = math.sqrt(-4 * math.log(1 - (1 - threshold) ** 2) / 12) + 1e-3
     r = F.greatest("w", "h") * k + 1e-3
     reach = B.Box(F.col("cx") - r, F.col("cy") - r, F.col("cx") + r, F.col("cy") + r)
-    prepared = dets.select("*", *B.spread_columns(B.obb()))
     shape = lambda p: tuple(F.col(f"{p}{c}") for c in ("_sa", "_sb", "_sc"))
     gauss = lambda a, b: B.gaussian_overlap(F.col(f"{a}cx") - F.col(f"{b}cx"), F.col(f"{a}cy") - F.col(f"{b}cy"), shape(a), shape(b))
-    return suppress_fast(prepared, threshold, on, gauss, reach).drop("_sa", "_sb", "_sc")
+    return suppress_fast(dets, threshold, on, gauss, reach, extra=B.spread_columns(B.obb()))
 
 
 def top_boxes(dets: DataFrame, n: int, by: Sequence[str] = ("image_id",)) -> DataFrame:
