@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from visiontables.functions import boxes as B
+from visiontables.functions import geometry as G
 from visiontables.operators import match as M
 
 OBB = "image_id bigint, det_id bigint, cls int, conf double, cx double, cy double, w double, h double, theta double"
@@ -36,3 +38,17 @@ def test_uncrowded_suppression_is_one_shuffle(spark):
     out.collect()
     text = plan(out).split("Initial Plan")[0]
     assert "ReusedExchange" in text
+
+
+def test_quads_are_cut_without_folds(spark):
+    rng = random.Random(8)
+    point = lambda: (rng.choice([0.0, 100.0, rng.uniform(-50, 300)]), rng.choice([50.0, 200.0, rng.uniform(-50, 300)]))
+    rows = [(k, [point() for _ in range(3 if k % 10 == 0 else 5 if k % 10 == 1 else 4)]) for k in range(300)]  # flat sides, self-crossing ones, corners on borders
+    rows += [(300, [(10.0, 10.0), (90.0, 10.0 + 1e-12), (90.0, 60.0), (10.0, 60.0)]), (301, [(0.0, 0.0), (5.0, None), (5.0, 5.0), (0.0, 5.0)])]
+    df = spark.createDataFrame(rows, "k int, pts array<struct<x:double,y:double>>")
+    rect = B.lit_box(0, 50, 100, 200)
+    cut = G.polygon_area(G.clip_polygon(F.col("pts"), rect)) / F.greatest(G.polygon_area(F.col("pts")), F.lit(1e-6))
+    got = df.select("k", G.quad_iof(F.col("pts"), rect).alias("a"), cut.alias("b"), G.quad_area(F.col("pts")).alias("area"), G.polygon_area(F.col("pts")).alias("fold"),
+                    F.array(*G.quad_box(F.col("pts"))).alias("box"), F.array(*[G.points_box(F.col("pts"))[c] for c in ("x1", "y1", "x2", "y2")]).alias("held")).collect()
+    assert all(r["area"] == r["fold"] and r["box"] == r["held"] for r in got) and got.pop()["a"] is None  # an unknown corner
+    assert len(got) == 301 and all(abs(r["a"] - r["b"]) < (1e-9 * max(1, r["b"]) if r["area"] else 1e-5) for r in got) and sum(0 < r["a"] < 1 for r in got) > 100

@@ -98,8 +98,8 @@ def tile_objects(objects: DataFrame, sizes=((256, 64),), min_iof: float = 0.7, m
 
 def tile_quads(objects: DataFrame, sizes=((256, 64),), min_iof: float = 0.7) -> DataFrame:
     """As ``tile_objects`` for four-point outlines in ``pts``: of the tiles that the outline's box touches, those that hold enough of it."""
-    bounds = G.points_box(F.col("pts"))
-    bounded = objects.select(F.struct("*").alias("_object"), "w", "h", *[bounds[c].alias(c) for c in ("x1", "y1", "x2", "y2")], G.polygon_area(F.col("pts")).alias("_area"))
+    bounds = G.quad_box(F.col("pts")).named("x1", "y1", "x2", "y2")
+    bounded = objects.select(F.struct("*").alias("_object"), "w", "h", *bounds, G.quad_area(F.col("pts")).alias("_area"))
     rect = B.Box(*[F.col(f"tile.{c}").cast("double") for c in ("x1", "y1", "x2", "y2")])
     own = B.box()
     inside = (own.x1 >= rect.x1) & (own.y1 >= rect.y1) & (own.x2 <= rect.x2) & (own.y2 <= rect.y2)
