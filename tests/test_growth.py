@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from visiontables.functions import boxes as B
 from visiontables.functions import geometry as G
 from visiontables.operators import match as M
+from visiontables.streaming.tracker import Tracker
 
 OBB = "image_id bigint, det_id bigint, cls int, conf double, cx double, cy double, w double, h double, theta double"
 
@@ -52,3 +55,14 @@ def test_quads_are_cut_without_folds(spark):
                     F.array(*G.quad_box(F.col("pts"))).alias("box"), F.array(*[G.points_box(F.col("pts"))[c] for c in ("x1", "y1", "x2", "y2")]).alias("held")).collect()
     assert all(r["area"] == r["fold"] and r["box"] == r["held"] for r in got) and got.pop()["a"] is None  # an unknown corner
     assert len(got) == 301 and all(abs(r["a"] - r["b"]) < (1e-9 * max(1, r["b"]) if r["area"] else 1e-5) for r in got) and sum(0 < r["a"] < 1 for r in got) > 100
+
+
+def test_a_frame_is_corrected_in_one_step(monkeypatch):
+    # 40 walkers over 30 frames: array steps a frame, not one for each of their 40 tracks
+    calls = []
+    solve = np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda *a: calls.append(1) or solve(*a))
+    rows = [(0, f, f * 40 + k, k % 3, 0.9 if (f + k) % 5 else 0.7, 60.0 * k + 2 * f, 10.0, 60.0 * k + 2 * f + 50, 90.0 + f % 3) for f in range(30) for k in range(40)]
+    out = Tracker().step({}, pd.DataFrame(rows, columns=["source_id", "frame", "det_id", "cls", "conf", "x1", "y1", "x2", "y2"]))
+    assert out.groupby("track_id").size().max() == 30 and out.groupby(out["det_id"] % 40)["track_id"].nunique().max() == 1
+    assert len(calls) <= 3 * 30

@@ -21,9 +21,12 @@ def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     flipped = cost.shape[0] > cost.shape[1]
     c = np.minimum(np.asarray(cost.T if flipped else cost, dtype=float), limit)
     n, m = c.shape
-    row_price, col_price = np.zeros(n), np.zeros(m)
+    # priced at its cheapest column, a row may have that column unless an earlier row has it; only the others look for a path
+    row_price, col_price = c.min(1), np.zeros(m)
+    taken, first = np.unique(c.argmin(1), return_index=True)
     owner = np.full(m, -1)
-    for start in range(n):
+    owner[taken] = first
+    for start in np.setdiff1d(np.arange(n), first):
         dist, via, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
         row, col, base = start, -1, 0.0
         while row != -1:

@@ -1,6 +1,7 @@
 """Multi-object tracking of one source as a fold over its frames: numbers only, no pixels.
 
-The state is a plain dict, small whatever the length of the video, and the same step serves batch and stream.
+The state is a plain dict, small whatever the length of the video, and the same step serves batch and stream. The tracks of a
+source are arrays with one entry a track, in the order in which they began, so a frame is some array steps and not a loop over tracks.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pandas as pd
 
 from visiontables.functions.assignment import assign
 
-NEW, TRACKED, LOST, REMOVED = "new", "tracked", "lost", "removed"
+TRACKED, LOST, REMOVED = 1, 2, 3
 POS, VEL = 1 / 20, 1 / 160
 MOTION = np.eye(8) + np.eye(8, k=4)
 COLUMNS = ["source_id", "frame", "track_id", "x1", "y1", "x2", "y2", "conf", "cls", "det_id"]
@@ -37,63 +38,69 @@ class Settings:
     ema: float = 0.9
 
 
+#: One entry a track; ``feat`` (a list) is there only where detections have one.
+FIELDS = {"mean": (float, 8), "cov": (float, 8, 8), "id": (np.int64,), "state": (np.int8,), "confirmed": (bool,), "start": (np.int64,), "seen": (np.int64,),
+          "conf": (float,), "cls": (np.int64,), "det_id": (np.int64,)}
+
+
 def _measure(box: np.ndarray, form: str) -> np.ndarray:
-    w, h = box[2] - box[0], box[3] - box[1]
-    return np.array([box[0] + w / 2, box[1] + h / 2, w / h if form == "xyah" else w, h])
+    """Centre, aspect (or width) and height of boxes, one a row."""
+    w, h = box[..., 2] - box[..., 0], box[..., 3] - box[..., 1]
+    return np.stack([box[..., 0] + w / 2, box[..., 1] + h / 2, w / h if form == "xyah" else w, h], -1)
 
 
 def _corners(mean: np.ndarray, form: str) -> np.ndarray:
-    w = mean[2] * mean[3] if form == "xyah" else mean[2]
-    return np.array([mean[0] - w / 2, mean[1] - mean[3] / 2, mean[0] + w / 2, mean[1] + mean[3] / 2])
+    w = mean[..., 2] * mean[..., 3] if form == "xyah" else mean[..., 2]
+    return np.stack([mean[..., 0] - w / 2, mean[..., 1] - mean[..., 3] / 2, mean[..., 0] + w / 2, mean[..., 1] + mean[..., 3] / 2], -1)
 
 
-def _noise(mean: np.ndarray, form: str, ratio: float, pos: float, vel: float | None = None, ratio_vel: float = 1e-5) -> np.ndarray:
-    h = mean[3]
-    w = h if form == "xyah" else mean[2]
-    third = lambda s, fixed: fixed if form == "xyah" else s * w
+def _variance(mean: np.ndarray, form: str, ratio: float, pos: float, vel: float | None = None, ratio_vel: float = 1e-5) -> np.ndarray:
+    h = mean[..., 3]
+    w, one = (h, np.ones_like(h)) if form == "xyah" else (mean[..., 2], None)
+    third = lambda s, fixed: s * w if one is None else fixed * one
     std = [pos * w, pos * h, third(pos, ratio), pos * h]
     if vel is not None:
         std += [vel * w, vel * h, third(vel, ratio_vel), vel * h]
-    return np.diag(np.square(std))
+    return np.square(np.stack(std, -1))
+
+
+def _noise(mean: np.ndarray, form: str, ratio: float, pos: float, vel: float | None = None) -> np.ndarray:
+    v = _variance(mean, form, ratio, pos, vel)
+    return v[..., None] * np.eye(v.shape[-1])
 
 
 def start_track(box, form):
     m = _measure(box, form)
-    return np.r_[m, np.zeros(4)], _noise(m, form, 1e-2, 2 * POS, 10 * VEL)
+    return np.concatenate([m, np.zeros_like(m)], -1), _noise(m, form, 1e-2, 2 * POS, 10 * VEL)
 
 
-def predict(tracks: list[dict], form: str) -> None:
-    """Move all tracks one frame on; a lost track no longer changes its size."""
-    if not tracks:
+def predict(t: dict, pool: np.ndarray, form: str) -> None:
+    """Move the tracks of ``pool`` one frame on; a lost track no longer changes its size."""
+    if not len(pool):
         return
-    mean, cov = np.stack([t["mean"] for t in tracks]), np.stack([t["cov"] for t in tracks])
-    lost = np.array([t["state"] != TRACKED for t in tracks])
+    mean, lost = t["mean"][pool], t["state"][pool] != TRACKED
     mean[lost, 7] = 0
     if form == "xywh":
         mean[lost, 6] = 0
-    h = mean[:, 3]
-    w, fixed = (h, True) if form == "xyah" else (mean[:, 2], False)
-    one = np.ones(len(tracks))
-    std = np.stack([POS * w, POS * h, 1e-2 * one if fixed else POS * w, POS * h, VEL * w, VEL * h, 1e-5 * one if fixed else VEL * w, VEL * h], 1)
-    cov = MOTION @ cov @ MOTION.T
-    cov[:, range(8), range(8)] += std ** 2
-    mean = mean @ MOTION.T
-    for t, m, c in zip(tracks, mean, cov):
-        t["mean"], t["cov"] = m, c
+    cov = MOTION @ t["cov"][pool] @ MOTION.T
+    cov[:, range(8), range(8)] += _variance(mean, form, 1e-2, POS, VEL)
+    t["mean"][pool], t["cov"][pool] = mean @ MOTION.T, cov
 
 
-def correct(t: dict, box: np.ndarray, form: str) -> None:
-    inner = t["cov"][:4, :4] + _noise(t["mean"], form, 1e-1, POS)
-    gain = np.linalg.solve(inner, t["cov"][:, :4].T).T
-    t["mean"] = t["mean"] + gain @ (_measure(box, form) - t["mean"][:4])
-    t["cov"] = t["cov"] - gain @ inner @ gain.T
+def correct(t: dict, rows: np.ndarray, box: np.ndarray, form: str) -> None:
+    """Pull the tracks ``rows`` to the boxes that they took."""
+    mean, cov = t["mean"][rows], t["cov"][rows]
+    inner = cov[:, :4, :4] + _noise(mean, form, 1e-1, POS)
+    gain = np.linalg.solve(inner, cov[:, :, :4].transpose(0, 2, 1)).transpose(0, 2, 1)
+    t["mean"][rows] = mean + (gain @ (_measure(box, form) - mean[:, :4])[:, :, None])[:, :, 0]
+    t["cov"][rows] = cov - gain @ inner @ gain.transpose(0, 2, 1)
 
 
 def gating_distance(mean: np.ndarray, cov: np.ndarray, boxes: np.ndarray, form: str = "xyah", only_position: bool = False,
                     metric: str = "maha") -> np.ndarray:
     """Distance of measurements (corner boxes) from a predicted state: squared Mahalanobis or Euclidean."""
     n = 2 if only_position else 4
-    diff = np.stack([_measure(b, form) for b in boxes])[:, :n] - mean[:n]
+    diff = _measure(boxes, form)[:, :n] - mean[:n]
     if metric == "gaussian":
         return (diff ** 2).sum(1)
     inner = (cov[:4, :4] + _noise(mean, form, 1e-1, POS))[:n, :n]
@@ -103,112 +110,122 @@ def gating_distance(mean: np.ndarray, cov: np.ndarray, boxes: np.ndarray, form:
 def _iou_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if not len(a) or not len(b):
         return np.zeros((len(a), len(b)))
-    lt, rb = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inter = np.clip(rb - lt, 0, None).prod(-1)
+    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
+    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+    inter = np.maximum(w, 0) * np.maximum(h, 0)
     size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
     return 1 - inter / (size(a)[:, None] + size(b)[None] - inter + 1e-7)
 
 
 class Tracker:
-    """Fold step: ``state`` holds tracks, the next id and the last frame."""
+    """Fold step: ``state`` holds the tracks' arrays, the next id and the last frame."""
 
     def __init__(self, settings: Settings = Settings()):
         self.s = settings
 
-    def boxes(self, tracks):
-        if not tracks:
-            return np.zeros((0, 4))
-        m = np.stack([t["mean"] for t in tracks])
-        half = np.stack([m[:, 2] * m[:, 3] if self.s.form == "xyah" else m[:, 2], m[:, 3]], 1) / 2
-        return np.hstack([m[:, :2] - half, m[:, :2] + half])
-
-    def cost(self, tracks, dets, fuse=True, looks=True):
-        d = _iou_distance(self.boxes(tracks), np.array([x["box"] for x in dets]).reshape(-1, 4))
+    def cost(self, t, rows, dets, cols, looks=True):
+        d = _iou_distance(_corners(t["mean"][rows], self.s.form), dets["box"][cols])
         far = d > 1 - self.s.proximity
-        if fuse and self.s.fuse and d.size:
-            d = 1 - (1 - d) * np.array([x["conf"] for x in dets])
-        if looks and d.size and all("feat" in x for x in dets) and all("feat" in t for t in tracks):
-            a, b = np.stack([t["feat"] for t in tracks]), np.stack([x["feat"] for x in dets])
+        if self.s.fuse and d.size:
+            d = 1 - (1 - d) * dets["conf"][cols]
+        feats = ([t["feat"][i] for i in rows], [dets["feat"][j] for j in cols]) if looks and d.size and "feat" in dets else None
+        if feats and all(f is not None for side in feats for f in side):
+            a, b = np.stack(feats[0]), np.stack(feats[1])
             e = np.maximum(0, 1 - a @ b.T) / 2
             e[(e > 1 - self.s.appearance) | far] = 1.0
             d = np.minimum(d, e)
         return d
 
-    def associate(self, tracks, dets, limit, frame, looks=True):
-        """Match, update the matched, return what is left on both sides."""
-        pairs = assign(self.cost(tracks, dets, looks=looks), limit)
-        for i, j in pairs:
-            self.take(tracks[i], dets[j], frame)
-        a, b = {i for i, _ in pairs}, {j for _, j in pairs}
-        return [t for i, t in enumerate(tracks) if i not in a], [d for j, d in enumerate(dets) if j not in b]
-
-    def take(self, t, d, frame):
-        correct(t, d["box"], self.s.form)
-        t.update(state=TRACKED, confirmed=True, seen=frame, conf=d["conf"], cls=d["cls"], det_id=d["det_id"])
-        if "feat" in d:
-            f = self.s.ema * t["feat"] + (1 - self.s.ema) * d["feat"] if "feat" in t else d["feat"]
-            t["feat"] = f / max(np.linalg.norm(f), 1e-12)
+    def associate(self, t, rows, dets, cols, limit, frame, looks=True):
+        """Match tracks ``rows`` with detections ``cols``, update the matched, return what is left on both sides."""
+        pairs = np.array(assign(self.cost(t, rows, dets, cols, looks), limit), dtype=np.intp).reshape(-1, 2) if len(rows) and len(cols) else ()
+        if len(pairs):
+            self.take(t, rows[pairs[:, 0]], dets, cols[pairs[:, 1]], frame)
+            rows, cols = np.delete(rows, pairs[:, 0]), np.delete(cols, pairs[:, 1])
+        return rows, cols
+
+    def take(self, t, rows, dets, cols, frame):
+        correct(t, rows, dets["box"][cols], self.s.form)
+        t["state"][rows], t["confirmed"][rows], t["seen"][rows] = TRACKED, True, frame
+        for c in ("conf", "cls", "det_id"):
+            t[c][rows] = dets[c][cols]
+        for i, j in zip(rows, cols) if "feat" in dets else ():
+            if dets["feat"][j] is not None:
+                f = self.s.ema * t["feat"][i] + (1 - self.s.ema) * dets["feat"][j] if t["feat"][i] is not None else dets["feat"][j]
+                t["feat"][i] = f / max(np.linalg.norm(f), 1e-12)
+
+    def begin(self, state, dets, cols, frame, first):
+        """New tracks behind the others, numbered on."""
+        t, n = state["tracks"], len(cols)
+        mean, cov = start_track(dets["box"][cols], self.s.form)
+        new = {"mean": mean, "cov": cov, "id": state.get("next", 0) + 1 + np.arange(n), "state": np.full(n, TRACKED), "confirmed": np.full(n, first),
+               "start": np.full(n, frame), "seen": np.full(n, frame), **{c: dets[c][cols] for c in ("conf", "cls", "det_id")}}
+        for c, (kind, *_) in FIELDS.items():
+            t[c] = np.concatenate([t[c], new[c].astype(kind, copy=False)])
+        own = [dets["feat"][j] for j in cols] if "feat" in dets else [None] * n
+        t["feat"] += [f if f is None else f / max(np.linalg.norm(f), 1e-12) for f in own]
+        state["next"] = state.get("next", 0) + n
 
     def frame(self, state, frame, dets, warp=None, first=False):
-        s, tracks = self.s, state.setdefault("tracks", [])
-        high = [d for d in dets if d["conf"] >= s.high]
-        low = [d for d in dets if s.low < d["conf"] < s.high]
-        live = [t for t in tracks if t["state"] == TRACKED]
-        fresh = [t for t in live if not t["confirmed"]]
-        pool = [t for t in live if t["confirmed"]] + [t for t in tracks if t["state"] == LOST]
-        predict(pool, s.form)
+        s = self.s
+        t = state.setdefault("tracks", {c: np.zeros((0, *shape), kind) for c, (kind, *shape) in FIELDS.items()} | {"feat": []})
+        high = np.flatnonzero(dets["conf"] >= s.high)
+        low = np.flatnonzero((dets["conf"] > s.low) & (dets["conf"] < s.high))
+        live = t["state"] == TRACKED
+        fresh = np.flatnonzero(live & ~t["confirmed"])
+        pool = np.concatenate([np.flatnonzero(live & t["confirmed"]), np.flatnonzero(t["state"] == LOST)])
+        predict(t, pool, s.form)
         if warp is not None:
             turn = np.kron(np.eye(4), warp[:, :2])
-            for t in pool + fresh:
-                t["mean"], t["cov"] = turn @ t["mean"], turn @ t["cov"] @ turn.T
-                t["mean"][:2] += warp[:, 2]
-        left, high = self.associate(pool, high, s.match, frame)
-        missed, _ = self.associate([t for t in left if t["state"] == TRACKED], low, s.second, frame, looks=False)
-        for t in missed:
-            t["state"] = LOST
-        gone, high = self.associate(fresh, high, s.unconfirmed, frame)
-        for t in gone:
-            t["state"] = REMOVED
-        for d in high:
-            if d["conf"] < s.new:
-                continue
-            state["next"] = state.get("next", 0) + 1
-            mean, cov = start_track(d["box"], s.form)
-            t = dict(id=state["next"], mean=mean, cov=cov, state=TRACKED, confirmed=first, start=frame, seen=frame, conf=d["conf"], cls=d["cls"], det_id=d["det_id"])
-            if "feat" in d:
-                t["feat"] = d["feat"] / max(np.linalg.norm(d["feat"]), 1e-12)
-            tracks.append(t)
-        for t in tracks:
-            if t["state"] == LOST and frame - t["seen"] > s.buffer:
-                t["state"] = REMOVED
-        self.drop_doubles(tracks)
-        state["tracks"] = [t for t in tracks if t["state"] != REMOVED]
-
-    def drop_doubles(self, tracks):
-        a, b = [t for t in tracks if t["state"] == TRACKED], [t for t in tracks if t["state"] == LOST]
-        for i, j in zip(*np.where(_iou_distance(self.boxes(a), self.boxes(b)) < 0.15)):
-            longer = a[i]["seen"] - a[i]["start"] > b[j]["seen"] - b[j]["start"]
-            (b[j] if longer else a[i])["state"] = REMOVED
+            all_ = np.concatenate([pool, fresh])
+            t["mean"][all_], t["cov"][all_] = t["mean"][all_] @ turn.T, turn @ t["cov"][all_] @ turn.T
+            t["mean"][all_, :2] += warp[:, 2]
+        left, high = self.associate(t, pool, dets, high, s.match, frame)
+        missed, _ = self.associate(t, left[t["state"][left] == TRACKED], dets, low, s.second, frame, looks=False)
+        t["state"][missed] = LOST
+        gone, high = self.associate(t, fresh, dets, high, s.unconfirmed, frame)
+        t["state"][gone] = REMOVED
+        new = high[dets["conf"][high] >= s.new]
+        if len(new):
+            self.begin(state, dets, new, frame, first)
+        t["state"][(t["state"] == LOST) & (frame - t["seen"] > s.buffer)] = REMOVED
+        self.drop_doubles(t)
+        stays = t["state"] != REMOVED
+        if not stays.all():
+            t["feat"] = [f for f, kept in zip(t["feat"], stays) if kept]
+            t.update({c: t[c][stays] for c in FIELDS})
+
+    def drop_doubles(self, t):
+        a, b = np.flatnonzero(t["state"] == TRACKED), np.flatnonzero(t["state"] == LOST)
+        if not len(a) or not len(b):
+            return
+        i, j = np.nonzero(_iou_distance(_corners(t["mean"][a], self.s.form), _corners(t["mean"][b], self.s.form)) < 0.15)
+        age = t["seen"] - t["start"]
+        longer = age[a[i]] > age[b[j]]
+        t["state"][np.where(longer, b[j], a[i])] = REMOVED
 
     def step(self, state: dict, pdf: pd.DataFrame, _last: bool = False) -> pd.DataFrame:
         out = []
-        for frame, rows in pdf.groupby("frame", sort=True):
-            frame, source = int(frame), int(rows["source_id"].iloc[0])
+        pdf = pdf.sort_values("frame", kind="stable") if not pdf["frame"].is_monotonic_increasing else pdf
+        frames = pdf["frame"].to_numpy(dtype=np.int64)
+        columns = {"box": pdf[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float), "conf": pdf["conf"].to_numpy(dtype=float),
+                   "cls": pdf["cls"].to_numpy(dtype=np.int64), "det_id": pdf["det_id"].to_numpy(dtype=np.int64)}
+        if "feat" in pdf:
+            columns["feat"] = [None if f is None else np.asarray(f, float) for f in pdf["feat"]]
+        none = {c: v[:0] for c, v in columns.items()}
+        edges = [0, *(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(frames)]
+        for lo, hi in zip(edges[:-1], edges[1:]) if len(frames) else ():
+            frame = int(frames[lo])
             last = state.get("frame")
             # frames without rows still age the tracks; beyond the buffer there is nothing left to age
             for f in range(last + 1, min(frame, last + self.s.buffer + 2)) if last is not None else ():
-                self.frame(state, f, [])
-            first = last is None and ("opens" not in rows or bool(rows["opens"].iloc[0]))
+                self.frame(state, f, none)
+            first = last is None and ("opens" not in pdf or bool(pdf["opens"].iloc[lo]))
             state["frame"] = frame
-            dets = []
-            for r in rows.itertuples(index=False):
-                d = dict(box=np.array([r.x1, r.y1, r.x2, r.y2], float), conf=float(r.conf), cls=int(r.cls), det_id=int(r.det_id))
-                if getattr(r, "feat", None) is not None:
-                    d["feat"] = np.asarray(r.feat, float)
-                dets.append(d)
-            warp = rows["warp"].iloc[0] if "warp" in rows else None
-            self.frame(state, frame, dets, None if warp is None else np.asarray(warp, float).reshape(2, 3), first)
-            for t in state["tracks"]:
-                if t["state"] == TRACKED and t["confirmed"]:
-                    out.append((source, frame, t["id"], *_corners(t["mean"], self.s.form), t["conf"], t["cls"], t["det_id"]))
-        return pd.DataFrame(out, columns=COLUMNS)
+            warp = pdf["warp"].iloc[lo] if "warp" in pdf else None
+            self.frame(state, frame, {c: v[lo:hi] for c, v in columns.items()}, None if warp is None else np.asarray(warp, float).reshape(2, 3), first)
+            t = state["tracks"]
+            shown = np.flatnonzero((t["state"] == TRACKED) & t["confirmed"])
+            out.append((np.full(len(shown), pdf["source_id"].iloc[lo]), np.full(len(shown), frame), t["id"][shown], *_corners(t["mean"][shown], self.s.form).T,
+                        t["conf"][shown], t["cls"][shown], t["det_id"][shown]))
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(COLUMNS, zip(*out))}, columns=COLUMNS)
