@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from visiontables.functions import boxes as B
 from visiontables.functions import geometry as G
 from visiontables.operators import match as M
+from visiontables.streaming import folds
+from visiontables.streaming import streams as ST
 from visiontables.streaming.tracker import Tracker
 
 OBB = "image_id bigint, det_id bigint, cls int, conf double, cx double, cy double, w double, h double, theta double"
@@ -66,3 +68,19 @@ def test_a_frame_is_corrected_in_one_step(monkeypatch):
     out = Tracker().step({}, pd.DataFrame(rows, columns=["source_id", "frame", "det_id", "cls", "conf", "x1", "y1", "x2", "y2"]))
     assert out.groupby("track_id").size().max() == 30 and out.groupby(out["det_id"] % 40)["track_id"].nunique().max() == 1
     assert len(calls) <= 3 * 30
+
+
+def test_keys_of_a_stream_share_calls_and_states(spark, tmp_path):
+    rows = [(i % 300 if i % 300 else None, i, float(i * 37 % 640), float(i * 11 % 480)) for i in range(3000)]
+    schema = "track_id long, frame long, cx double, cy double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    step, out = folds.crossing([(320.0, -50.0), (320.0, 480.0)])
+    s = ST.source_stream(spark, f"{tmp_path}/in", spark.createDataFrame(rows, schema).schema)
+    q = (ST.fold_stream(s, ["track_id"], ["frame"], step, out, groups=4).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+         .option("checkpointLocation", f"{tmp_path}/check").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 4  # 300 keys, 4 states
+    pdf = pd.DataFrame(rows, columns=["track_id", "frame", "cx", "cy"])
+    want = [(None if k != k else int(k), r.frame, r.direction) for k, own in pdf.groupby("track_id", dropna=False) for r in step({}, own).itertuples()]
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert len(got) > 200 and sorted(got, key=str) == sorted(want, key=str)

@@ -3,10 +3,32 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Collection, Sequence
 
 import pandas as pd
 
 
+class RowStep:
+    """A step made of one function a row: ``each(state, *values)`` gives result rows, ``values`` being the columns ``uses``.
+
+    At the positions ``fresh`` the state starts afresh, so a key that pauses often costs no table for each of its stretches.
+    """
+
+    def __init__(self, each: Callable[..., list], uses: Sequence[str], columns: Sequence[str]):
+        self.each, self.uses, self.columns = each, list(uses), list(columns)
+
+    def __call__(self, state: dict, pdf: pd.DataFrame, _last: bool = False) -> pd.DataFrame:
+        return pd.DataFrame(self.rows(state, pdf), columns=self.columns)
+
+    def rows(self, state: dict, pdf: pd.DataFrame, fresh: Collection[int] = ()) -> list[tuple]:
+        out = []
+        for i, values in enumerate(zip(*[pdf[c].tolist() for c in self.uses])):
+            if i in fresh:
+                state.clear()
+            out += self.each(state, *values)
+        return out
+
+
 def _side(ax, ay, bx, by, px, py):
     v = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
     return (v > 0) - (v < 0)
@@ -25,53 +47,50 @@ def crossing(line: list[tuple[float, float]], key: str = "track_id"):
     a, b = line
     sideways = abs(a[0] - b[0]) < abs(a[1] - b[1])
 
-    def step(state: dict, pdf: pd.DataFrame, _last: bool = False) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples(index=False):
-            now, prev = (r.cx, r.cy), state.get("at")
-            state["at"] = now
-            if prev is None or state.get("counted") or not _touches(prev, now, a, b):
-                continue
-            state["counted"] = True
-            out.append((getattr(r, key), r.frame, "IN" if (now[0] > prev[0] if sideways else now[1] > prev[1]) else "OUT"))
-        return pd.DataFrame(out, columns=[key, "frame", "direction"])
+    def each(state: dict, k, frame, cx, cy) -> list:
+        now, prev = (cx, cy), state.get("at")
+        state["at"] = now
+        if prev is None or state.get("counted") or not _touches(prev, now, a, b):
+            return []
+        state["counted"] = True
+        return [(k, frame, "IN" if (now[0] > prev[0] if sideways else now[1] > prev[1]) else "OUT")]
 
+    step = RowStep(each, [key, "frame", "cx", "cy"], [key, "frame", "direction"])
     return step, f"{key} bigint, frame bigint, direction string"
 
 
 def repetitions(down: float, up: float, key: str = "track_id"):
     """One row per completed repetition with the running count."""
-    def step(state: dict, pdf: pd.DataFrame, _last: bool = False) -> pd.DataFrame:
+    def each(state: dict, k, frame, angle) -> list:
         out = []
-        for r in pdf.itertuples(index=False):
-            if r.angle < down:
-                if state.get("stage") == "up":
-                    state["n"] = state.get("n", 0) + 1
-                    out.append((getattr(r, key), r.frame, state["n"]))
-                state["stage"] = "down"
-            elif r.angle > up:
-                state["stage"] = "up"
-        return pd.DataFrame(out, columns=[key, "frame", "reps"])
-
+        if angle < down:
+            if state.get("stage") == "up":
+                state["n"] = state.get("n", 0) + 1
+                out.append((k, frame, state["n"]))
+            state["stage"] = "down"
+        elif angle > up:
+            state["stage"] = "up"
+        return out
+
+    step = RowStep(each, [key, "frame", "angle"], [key, "frame", "reps"])
     return step, f"{key} bigint, frame bigint, reps bigint"
 
 
 def speed_lock(n: int = 5, fps: float = 30, meters_per_pixel: float = 0.05, cap: int = 120, key: str = "track_id"):
     """Speed fixed at the n-th sighting of a track; the state is the first sighting and a count."""
-    def step(state: dict, pdf: pd.DataFrame, _last: bool = False) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples(index=False):
-            if state.get("locked"):
-                break
-            state.setdefault("first", (r.cx, r.cy, r.frame))
-            state["n"] = state.get("n", 0) + 1
-            x, y, f = state["first"]
-            if state["n"] == n and r.frame > f:
-                pace = math.hypot(r.cx - x, r.cy - y) * meters_per_pixel / ((r.frame - f) / fps) * 3.6
-                out.append((getattr(r, key), r.frame, int(min(pace, cap))))
-                state["locked"] = True
-        return pd.DataFrame(out, columns=[key, "frame", "speed"])
-
+    def each(state: dict, k, frame, cx, cy) -> list:
+        if state.get("locked"):
+            return []
+        state.setdefault("first", (cx, cy, frame))
+        state["n"] = state.get("n", 0) + 1
+        x, y, f = state["first"]
+        if state["n"] != n or frame <= f:
+            return []
+        state["locked"] = True
+        pace = math.hypot(cx - x, cy - y) * meters_per_pixel / ((frame - f) / fps) * 3.6
+        return [(k, frame, int(min(pace, cap)))]
+
+    step = RowStep(each, [key, "frame", "cx", "cy"], [key, "frame", "speed"])
     return step, f"{key} bigint, frame bigint, speed int"
 
 

@@ -11,11 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from visiontables.operators.ordered import lag_rows, rank_rows, running
 from visiontables.operators.scan import scan_sorted
 from visiontables.operators.stages import shared_folder
+from visiontables.streaming.folds import RowStep
 from visiontables.streaming.tracker import COLUMNS, SCHEMA, Settings, Tracker
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -53,11 +54,18 @@ def dedupe_events(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def with_pauses(step: Callable[[dict, pd.DataFrame, bool], pd.DataFrame], pause_ms: int, time: str = "ts"):
-    """``step`` that starts afresh where a key is unseen for more than ``pause_ms``, inside a batch as well as between batches."""
+    """``step`` that starts afresh where a key is unseen for more than ``pause_ms``, inside a batch as well as between batches.
 
-    def run(state: dict, pdf: pd.DataFrame, last: bool = False) -> pd.DataFrame:
+    A step of rows gives a list of rows, another one a table.
+    """
+
+    def run(state: dict, pdf: pd.DataFrame, last: bool = False) -> pd.DataFrame | list[tuple]:
         at = pdf[time].to_numpy().astype("datetime64[ms]").astype("int64")
         new = np.flatnonzero(np.diff(at, prepend=state.get("_seen", at[0])) > pause_ms)
+        if isinstance(step, RowStep):
+            out = step.rows(state, pdf, set(new.tolist()))
+            state["_seen"] = int(at[-1])
+            return out
         edges = sorted({0, len(pdf), *new.tolist()})
         out = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -70,50 +78,63 @@ def with_pauses(step: Callable[[dict, pd.DataFrame, bool], pd.DataFrame], pause_
     return run
 
 
-class Fold(StatefulProcessor):
-    """Runs a state step over the rows of a key, batch after batch; rows of one batch are put in order first.
-
-    With ``pause_ms`` a timer clears a key's state once the watermark says that it can only be followed by a pause.
-    """
-
-    def __init__(self, step: Callable[[dict, pd.DataFrame, bool], pd.DataFrame], order: Sequence[str], ttl_ms: int | None = None, pause_ms: int | None = None):
-        self.step, self.order, self.ttl_ms, self.pause_ms = step, list(order), ttl_ms, pause_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        schema = T.StructType([T.StructField("blob", T.BinaryType())])
-        self.value = handle.getValueState("fold", schema, self.ttl_ms) if self.ttl_ms else handle.getValueState("fold", schema)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = pickle.loads(self.value.get()[0]) if self.value.exists() else {}
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        out = self.step(state, batch, False)
-        self.value.update((pickle.dumps(state),))
-        if self.pause_ms:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(state["_seen"] + self.pause_ms)
-        yield out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.value.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+#: Groups into which the keys of a stream are dealt; a group's states are read and written together. Part of a checkpoint.
+GROUPS = 4096
 
 
 def fold_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], step, schema: str, ttl_ms: int | None = None,
-                pause_ms: int | None = None, time: str = "ts") -> DataFrame:
+                pause_ms: int | None = None, time: str = "ts", groups: int = GROUPS) -> DataFrame:
     """Keyed state over a stream; the key may include a video id, so that a new video starts afresh.
 
-    State ends ``ttl_ms`` of processing time after its last change, or ``pause_ms`` of event time (column ``time``, which has a
-    watermark) after its key was last seen; without either it stays.
+    Runs a state step over the rows of a key, batch after batch; rows of one batch are put in order first. State ends ``ttl_ms`` of
+    processing time after its last change, or ``pause_ms`` of event time (column ``time``, which has a watermark) after its key was last
+    seen; without either it stays. A call, with its table and its state, costs milliseconds and a key's few rows microseconds, so keys share
+    calls: they are dealt by hash to ``groups``, whose states are those of their live keys.
     """
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    mode = "EventTime" if pause_ms else "ProcessingTime" if ttl_ms else "None"
-    fold = Fold(with_pauses(step, pause_ms, time) if pause_ms else step, order, ttl_ms, pause_ms)
-    return df.groupBy(*keys).transformWithStateInPandas(fold, outputStructType=schema, outputMode="Append", timeMode=mode)
+    run = with_pauses(step, pause_ms, time) if pause_ms else step.rows if isinstance(step, RowStep) else step
+    timeout = GroupStateTimeout.EventTimeTimeout if pause_ms else GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    by, key = list(order), list(keys)
+
+    def advance(states: dict, batch: pd.DataFrame, now: int) -> pd.DataFrame:
+        batch = batch.sort_values(by, kind="stable", ignore_index=True)
+        number = batch.groupby(key, sort=False, dropna=False).ngroup().to_numpy()
+        batch, number = batch.take(np.argsort(number, kind="stable")), np.sort(number)
+        edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(batch)]
+        names = list(zip(*[batch[k].iloc[edges[:-1]].tolist() for k in key]))
+        out = []
+        for name, lo, hi in zip(names, edges[:-1], edges[1:], strict=True):
+            own = states.setdefault(tuple(None if v != v else v for v in name), [0, {}])
+            out.append(run(own[1], batch.iloc[lo:hi]))
+            own[0] = now
+        if isinstance(step, RowStep):
+            return pd.DataFrame([row for rows in out for row in rows], columns=step.columns)
+        return pd.concat(out, ignore_index=True)
+
+    def fold(_key, rows: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        states = pickle.loads(held.get[0]) if held.exists else {}
+        now = held.getCurrentProcessingTimeMs()
+        out = advance(states, pd.concat(list(rows), ignore_index=True), now) if not held.hasTimedOut else ()
+        if pause_ms:  # the watermark says that only a pause can follow
+            passed = held.getCurrentWatermarkMs()
+            states = {k: v for k, v in states.items() if v[1]["_seen"] + pause_ms >= passed}
+        if ttl_ms:
+            states = {k: v for k, v in states.items() if v[0] + ttl_ms > now}
+        if states:
+            held.update((pickle.dumps(states),))
+            if pause_ms:
+                held.setTimeoutTimestamp(max(min(v[1]["_seen"] for v in states.values()) + pause_ms, passed) + 1)
+            elif ttl_ms:
+                held.setTimeoutDuration(max(1, min(v[0] for v in states.values()) + ttl_ms - now))
+        elif held.exists:
+            held.remove()
+        if len(out):
+            yield out
+
+    if isinstance(step, RowStep):
+        df = df.select(*dict.fromkeys([*key, *by, *step.uses, *([time] if pause_ms else [])]))
+    dealt = df.withColumn("_group", F.pmod(F.xxhash64(*key), F.lit(groups)))
+    return dealt.groupBy("_group").applyInPandasWithState(fold, schema, "blob binary", "append", timeout)
 
 
 def fold_batch(df: DataFrame, key: str, order: Sequence[str], step, schema: str) -> DataFrame:
