@@ -84,3 +84,16 @@ def test_keys_of_a_stream_share_calls_and_states(spark, tmp_path):
     want = [(None if k != k else int(k), r.frame, r.direction) for k, own in pdf.groupby("track_id", dropna=False) for r in step({}, own).itertuples()]
     got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert len(got) > 200 and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_matching_copies_only_where_an_image_is_crowded(spark, monkeypatch):
+    rng = random.Random(12)
+    box = lambda k: (k, rng.choice([1, 2, 3, None]), rng.choice([0, 1]), rng.random(), *(lambda x, y: (x, y, x + rng.uniform(30, 200), y + rng.uniform(30, 200)))(rng.uniform(-50, 300), rng.uniform(-50, 300)))
+    d = spark.createDataFrame([box(k) for k in range(200)], "det_id long, image_id long, cls int, conf double, x1 double, y1 double, x2 double, y2 double")
+    g = spark.createDataFrame([box(k) for k in range(150)], d.withColumnRenamed("det_id", "gt_id").schema)
+    calm = M.match_candidates(d, g, 0.3)
+    assert "Generate" not in plan(calm)
+    want = sorted(calm.collect())
+    monkeypatch.setattr(M, "crowds", lambda rows, by: rows)
+    cells = M.match_candidates(d, g, 0.3)
+    assert "Generate" in plan(cells) and len(want) > 50 and sorted(cells.collect()) == want

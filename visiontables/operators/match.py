@@ -61,6 +61,12 @@ def overlap_join(a: DataFrame, b: DataFrame, threshold: float, on: Sequence[str]
     return pairs.where(F.col("overlap") >= threshold)
 
 
+def crowds(rows: DataFrame, by: Sequence[str], fold: int = FOLD) -> DataFrame | None:
+    """The groups of more than ``fold`` rows, written, or None where there is none."""
+    found = materialize(rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > fold).select(*by), "crowded")
+    return None if found.isEmpty() else found
+
+
 # --- matching ----------------------------------------------------------------------------------------------------
 
 def _best(pairs: DataFrame, key: str, other: str, carry: Sequence[str] = ()) -> DataFrame:
@@ -71,10 +77,17 @@ def _best(pairs: DataFrame, key: str, other: str, carry: Sequence[str] = ()) ->
 
 def match_candidates(dets: DataFrame, gts: DataFrame, min_overlap: float = THRESHOLDS[0],
                      metric: Callable[[B.Box, B.Box], Column] = B.iou) -> DataFrame:
-    """Each detection's best ground truth of its class: (det_id, gt_id, overlap, conf)."""
-    pairs = overlap_join(dets.select("image_id", "cls", "det_id", "conf", "x1", "y1", "x2", "y2"),
-                         gts.select("image_id", "cls", "gt_id", "x1", "y1", "x2", "y2"),
-                         min_overlap, on=("image_id", "cls"), metric=metric)
+    """Each detection's best ground truth of its class: (det_id, gt_id, overlap, conf).
+
+    Only where an image is crowded do boxes meet in cells; without crowds they meet in their image and class and are not copied.
+    """
+    on = ("image_id", "cls")
+    a, b = dets.select(*on, "det_id", "conf", "x1", "y1", "x2", "y2"), gts.select(*on, "gt_id", "x1", "y1", "x2", "y2")
+    if any(crowds(side, on[:1]) is not None for side in (a, b)):
+        pairs = overlap_join(a, b, min_overlap, on=on, metric=metric)
+    else:
+        met = prefixed(a, "a_", on).join(prefixed(b, "b_", on).hint("merge"), list(on)).where(B.overlaps(B.box("a_"), B.box("b_")))
+        pairs = met.withColumn("overlap", metric(B.box("a_"), B.box("b_"))).where(F.col("overlap") >= min_overlap)
     pairs = pairs.select(F.col("a_det_id").alias("det_id"), F.col("b_gt_id").alias("gt_id"), "overlap", F.col("a_conf").alias("conf"))
     return _best(pairs, "det_id", "gt_id", ["conf"])
 
@@ -169,8 +182,8 @@ def suppress_fast(dets: DataFrame, threshold: float, on: Sequence[str] = ("image
         moved = bounded(rows.withColumn("_group", group).repartition("_group"))
         return beaten(moved, ["_group"], F.lit(True), "left_anti").select(*[F.col("a_" + c).alias(c) for c in dets.columns])
 
-    crowded = materialize(dets.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > fold).select(*on), "crowded")
-    if crowded.isEmpty():
+    crowded = crowds(dets, on, fold)
+    if crowded is None:
         return whole(dets)
     home = (F.col("a__cx") == F.floor(F.greatest(mine.x1, its.x1) / size)) & (F.col("a__cy") == F.floor(F.greatest(mine.y1, its.y1) / size))
     crowd = dets.join(crowded, list(on), "left_semi").select(*dets.columns)
