@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from visiontables.functions import boxes as B
 from visiontables.functions import geometry as G
 from visiontables.operators import match as M
+from visiontables.operators import tracks as T
 from visiontables.streaming import folds
 from visiontables.streaming import streams as ST
 from visiontables.streaming.tracker import Tracker
@@ -97,3 +98,12 @@ def test_matching_copies_only_where_an_image_is_crowded(spark, monkeypatch):
     monkeypatch.setattr(M, "crowds", lambda rows, by: rows)
     cells = M.match_candidates(d, g, 0.3)
     assert "Generate" in plan(cells) and len(want) > 50 and sorted(cells.collect()) == want
+
+
+def test_heat_moves_its_sums_once(spark):
+    df = spark.range(300).selectExpr("id div 20 AS image_id", "id % 50 * 7D AS x1", "id % 40 * 5D AS y1", "id % 50 * 7D + 40 + id % 13 AS x2", "id % 40 * 5D + 60 AS y2")
+    out = T.normalize_heat(T.heat(df, cell=16))
+    text = plan(out).split("Initial Plan")[-1]
+    assert text.count("Exchange hashpartitioning") == 2 and "Join" not in text  # sums by cell, then by image
+    best = {r["image_id"]: r["level"] for r in out.groupBy("image_id").agg(F.max("level").alias("level")).collect()}
+    assert len(best) == 15 and set(best.values()) == {255}

@@ -117,7 +117,8 @@ def heat(boxes: DataFrame, key: str = "image_id", cell: int = 1) -> DataFrame:
     """Heat per cell: 2 for every whole pixel of a box within half its short side of its centre, scaled to 0..255.
 
     A difference table: of each pixel row of a disc only the two ends are rows, which are summed by cell before anything is
-    shuffled, and a running sum along a row of cells gives the heat. A row of cells has at most as many entries as cells.
+    shuffled, and a running sum along a row of cells gives the heat. A row of cells has at most as many entries as cells. The sums move to
+    their key once, where rows of cells are added up and where ``normalize_heat`` finds the key's largest: a key has no more of them than cells.
     """
     b = B.Box(*[F.col(c).cast("int") for c in ("x1", "y1", "x2", "y2")])
     half = lambda v: F.floor(v / 2).cast("int")
@@ -132,7 +133,7 @@ def heat(boxes: DataFrame, key: str = "image_id", cell: int = 1) -> DataFrame:
     ends = runs.select(key, "gy", F.explode(F.array(end("xa", 2), end("xb", -2))).alias("e")).select(key, "gy", F.floor(F.col("e.x") / cell).alias("gx"), "e.*")
     # a start fills the rest of its own cell and all of each later one, an end takes that back
     own = F.sum(F.col("sign") * ((F.col("gx") + 1) * cell - F.col("x"))).alias("own")
-    marks = ends.groupBy(key, "gy", "gx").agg(own, F.sum(F.col("sign") * cell).alias("later"))
+    marks = ends.groupBy(key, "gy", "gx").agg(own, F.sum(F.col("sign") * cell).alias("later")).repartition(key)
     along = Window.partitionBy(key, "gy").orderBy("gx")
     run = marks.withColumn("_sum", F.sum("later").over(along)).withColumn("_next", F.lead("gx").over(along))
     here = F.col("_sum") - F.col("later") + F.col("own")
@@ -144,10 +145,11 @@ def heat(boxes: DataFrame, key: str = "image_id", cell: int = 1) -> DataFrame:
 
 def normalize_heat(cells: DataFrame, key: str = "image_id", has_empty: bool = True) -> DataFrame:
     """Min-max to 0..255 per key; cells never touched count as zero."""
-    ends = cells.groupBy(key).agg(F.max("heat").alias("_hi"), F.min("heat").alias("_lo"))
+    whole = Window.partitionBy(key)
+    ends = cells.withColumns({"_hi": F.max("heat").over(whole), "_lo": F.min("heat").over(whole)})
     low = F.lit(0) if has_empty else F.col("_lo")
     scaled = F.try_divide((F.col("heat") - low) * 255.0, F.col("_hi") - low)
-    return cells.join(ends, key).withColumn("level", F.floor(F.coalesce(scaled, F.lit(0.0))).cast("int")).drop("_hi", "_lo")
+    return ends.where(F.col(key).isNotNull()).withColumn("level", F.floor(F.coalesce(scaled, F.lit(0.0))).cast("int")).drop("_hi", "_lo")
 
 
 def activity_score(rows: DataFrame, keys: Sequence[str], w: float, h: float) -> DataFrame:
