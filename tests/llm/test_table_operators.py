@@ -67,6 +67,35 @@ def test_large_clusters_settle_by_their_hub(spark):
     assert _as_map(jaccard.similarity_components(docs, 3, 90, 900, 12)) == plain.similar(rows, 3, 90)
 
 
+@pytest.mark.parametrize("few", [2, 64])
+def test_chained_cluster_meets_in_its_keys(spark, monkeypatch, few):
+    """Neighbours share a passage, so chance makes one cluster of all; documents are dealt out by keys and not to each other's tiles."""
+    passage = lambda k: [f"p{k}w{j}" for j in range(10)]
+    rows = [(k, " ".join(passage(k) + passage(k + 1))) for k in range(240)]
+    rows += [(1000 + k, " ".join(passage(k % 8 * 30) + [f"u{k}x{j}" for j in range(10)])) for k in range(64)]
+    rows += [(2000 + k, " ".join([f"n{k}", *passage(5 * k)[1:], *passage(5 * k + 1)])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, pairs = [], jaccard._pairs
+    monkeypatch.setattr(jaccard, "FEW", few, raising=False)
+    monkeypatch.setattr(jaccard, "_pairs", lambda tasks, *more: dealt.append(tasks.count()) or pairs(tasks, *more))
+    assert _as_map(jaccard.similarity_components(docs, 3, 70, 2_000_000, 12)) == plain.similar(rows, 3, 70)
+    assert sum(dealt) < 20 * len(rows)
+
+
+def test_many_points_lose_no_link():
+    """Families of near copies that stars connect, others at the limit, and loners, with and without parts known before."""
+    rng = np.random.default_rng(7)
+    families = [rng.choice(1 << 40, int(size), replace=False).astype(np.uint64) for size in (60, 61, 64, 200, 300)]
+    sets = [np.sort(np.concatenate((f[int(rng.integers(0, 9)):], rng.choice(1 << 40, int(rng.integers(0, 5))).astype(np.uint64)))) for f in families for _ in range(50)]
+    sets += [np.sort(rng.choice(1 << 40, int(rng.integers(1, 90))).astype(np.uint64)) for _ in range(60)]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if (both := len(np.intersect1d(sets[i], sets[j]))) * 100 >= 90 * (len(sets[i]) + len(sets[j]) - both)]
+    everything = range(len(sets))
+    assert plain.union(everything, jaccard.linked(sets, 90)) == plain.union(everything, pairs)
+    known = np.where(np.arange(len(sets)) % 5 == 0, len(sets), np.arange(len(sets)))
+    as_pairs = [(i, 0) for i in everything if i % 5 == 0]
+    assert plain.union(everything, jaccard.linked(sets, 90, known) + as_pairs) == plain.union(everything, pairs + as_pairs)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6), st.sampled_from([70, 80, 90]))
 def test_linked_sets_share_a_key(seed, percent):

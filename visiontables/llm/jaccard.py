@@ -12,13 +12,16 @@ documents share are left out of the contents.
 
 Such clusters are split twice. First the trees connect the points whose bound allows a link; that needs no sets, only some
 bytes a document. Then the sets of each part that is left are fetched, and the trees' surviving pairs are verified until all
-are connected that links connect. Equal sets are one point throughout. A cluster is as large as fits a task; a larger one is
-first tried against one of its documents, and the documents not settled by that meet the others tile by tile.
+are connected that links connect. Equal sets are one point throughout. A cluster is as large as fits a task. Chance chains
+documents into clusters that grow with the table; in a larger one, the points meet within each key that few of them share,
+and the other keys alone say which clusters are left. What even then, or of the sets, is too large for a task is first tried
+against one of its documents, and the documents not settled by that meet the others tile by tile.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,12 @@ SAMPLED = 10_000
 COMMON = 5
 #: Documents seen by a task whose keys it does not send twice.
 REMEMBERED = 500_000
+#: Classes of one key that a task holds to see whether another key has the same ones.
+HELD = 1_000_000
+#: Points that meet without a tree, at most; and classes of a key that meet by themselves in a cluster too large for a task.
+FEW = 64
+#: Points tried with all others of their tree before it is joined that may connect fewer than FANOUT of them.
+STARS = 16
 
 
 def keys_of(sets: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -186,45 +195,74 @@ def _keys(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFram
     return docs.select("text").mapInArrow(run, "key bigint, cls bigint")
 
 
-def _meetings(keys: DataFrame) -> DataFrame:
-    """(a, b): for every key, its smallest class with each other one."""
+def _groups(keys: DataFrame) -> DataFrame:
+    """(name, cls, least, size): the classes of every key that different ones share, the smallest and the number of them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, c = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            starts = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
-            run_first = np.where(starts, c, 0)
-            at = np.maximum.accumulate(np.where(starts, np.arange(len(k)), -1))
-            least = np.where(at >= 0, run_first[at], first)
-            key, first = k[-1], least[-1]
-            met = c != least
-            yield pa.RecordBatch.from_arrays([pa.array(c[met]), pa.array(least[met])], names=["a", "b"])
+    Keys with the same classes have one name, as they say the same. One of more than HELD classes keeps a name of its own.
+    """
 
-    return keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "a bigint, b bigint").distinct()
+    def rows(name: np.ndarray, cls: np.ndarray, least: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed(name), pa.array(cls), pa.array(least), pa.array(size)], names=["name", "cls", "least", "size"])
 
+    def crowded(key: np.ndarray, cls: np.ndarray, least: np.int64) -> pa.RecordBatch:
+        return rows(key, cls, np.full(len(key), least), np.full(len(key), HELD))
 
-def tree(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    def named(key: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        key, cls = key[new], cls[new]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(starts, len(key)))
+        name = mix(np.add.reduceat(mix(cls.view(np.uint64) ^ np.uint64(0x6C62272E07BB0142)), starts) + size.astype(np.uint64))
+        shared = np.repeat(size > 1, size)
+        return rows(np.repeat(name, size)[shared], cls[shared], np.repeat(cls[starts], size)[shared], np.repeat(size, size)[shared])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the rows of the last key, which may go on
+        crowd = None  # a key of which rows have gone, and its smallest class
+        for batch in batches:
+            k, c = (np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1))
+            if crowd is not None:
+                more = int(np.searchsorted(k, crowd[0], side="right"))
+                yield crowded(k[:more], c[:more], crowd[1])
+                k, c = k[more:], c[more:]
+            if not len(k):
+                continue
+            crowd = None
+            last = int(np.searchsorted(k, k[-1], side="left"))
+            if last or (held and held[0][0][0] != k[0]):
+                yield named(*(np.concatenate(x) for x in zip(*held, (k[:last], c[:last]), strict=True)))
+                held = []
+            held.append((k[last:], c[last:]))
+            if sum(len(x) for x, _ in held) > HELD:
+                crowd = held[0][0][0], held[0][1][0]
+                yield from (crowded(x, y, crowd[1]) for x, y in held)
+                held = []
+        if held:
+            yield named(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "name bigint, cls bigint, least bigint, size bigint").distinct()
+
+
+def tree(points: np.ndarray, sizes: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Order of the points, and the tree's levels from the points up: low corners, high corners and smallest sizes of each node.
 
-    The order goes by size, and among SLAB neighbours by halving at the median of the widest coordinate, so neighbours are
-    close; node k of a level holds nodes FANOUT * k and so on of the level below. Levels are filled up with nodes that nothing
+    The order goes by ``part`` if there is one, by size, and among SLAB neighbours by halving at the median of the widest
+    coordinate, so neighbours are close; node k of a level holds nodes FANOUT * k and so on of the level below. Levels are filled up with nodes that nothing
     can overlap.
     """
-    by_size = np.argsort(sizes, kind="stable")
+    by_size = np.argsort(sizes, kind="stable") if part is None else np.lexsort((sizes, part))
     order, stack = [], [by_size[k:k + SLAB] for k in range(0, len(points), SLAB)][::-1]
     while stack:
-        part = stack.pop()
-        if len(part) <= FANOUT:
-            order.append(part)
+        some = stack.pop()
+        if len(some) <= FANOUT:
+            order.append(some)
             continue
-        own = points[part]
+        own = points[some]
         wide = int(np.argmax(own.max(0) - own.min(0)))
-        half = -(-len(part) // (2 * FANOUT)) * FANOUT
+        half = -(-len(some) // (2 * FANOUT)) * FANOUT
         split = np.argsort(own[:, wide], kind="stable")
-        stack += [part[split[half:]], part[split[:half]]]
+        stack += [some[split[half:]], some[split[:half]]]
     order = np.concatenate(order) if order else np.zeros(0, np.int64)
     low = high = points[order]
     small = sizes[order]
@@ -245,19 +283,34 @@ def _folded(point: np.ndarray, groups: int) -> np.ndarray:
     return point.reshape(-1, groups).sum(0, dtype=np.int64)
 
 
+def _level(points: list[np.ndarray]) -> np.ndarray:
+    """Points in the groups that all of them have."""
+    groups = min(map(len, points))
+    return np.stack([p if len(p) == groups else _folded(p, groups) for p in points]).astype(np.int32)
+
+
 def _joined(points: list[np.ndarray], sizes: np.ndarray, percent: int, label: np.ndarray, test) -> list[tuple[int, int]]:
     """Pairs (i, j) that ``test`` accepts, enough to connect all that such pairs connect; ``label`` says what is connected.
 
     The tree is joined with itself. Pairs of nodes whose boxes can't hold the shared shingles that a link needs are left
-    out; of the pairs of points that remain, those in different parts are checked on all their groups and then tested.
+    out; of the pairs of points that remain, those in different parts are checked on all their groups and then tested. Before
+    that, points that many others are like connect these one by one; nodes that lie in one part already are left out too.
     """
+    if len(points) <= FEW:
+        own, found = _level(points), []
+        ok = (100 + percent) * np.minimum(own[:, None, :], own[None, :, :]).sum(2, dtype=np.int64) >= percent * (sizes[:, None] + sizes[None, :])
+        _tried(*np.nonzero(np.triu(ok, 1)), label, test, found)
+        return found
     coarse = np.stack([_folded(p, GROUPS) for p in points]).astype(np.int32)
-    order, levels = tree(coarse, sizes)
+    found = _starred(points, coarse, sizes, percent, label, test)
+    if (label == label[0]).all():
+        return found
+    _, part, members = np.unique(label, return_inverse=True, return_counts=True)
+    order, levels = tree(coarse, sizes, np.where(members[part] > FANOUT, part, -1))
+    spans = _spans(part[order], levels)
     leaves = []
     for k in range(0, len(order), FANOUT):
-        own = [points[i] for i in order[k:k + FANOUT]]
-        leaves.append(np.stack([_folded(p, min(map(len, own))) for p in own]))
-    found: list[tuple[int, int]] = []
+        leaves.append(_level([points[i] for i in order[k:k + FANOUT]]))
     stack = [(len(levels) - 1, 0, 0)]
     step = np.arange(FANOUT)
     while stack:
@@ -275,6 +328,8 @@ def _joined(points: list[np.ndarray], sizes: np.ndarray, percent: int, label: np
         if a == b:
             ok &= step[:, None] <= step[None, :] if level else step[:, None] < step[None, :]
         if level:
+            first, last = spans[level]
+            ok &= (first[left][:, None] != last[right][None, :]) | (last[left][:, None] != first[right][None, :])
             rows, cols = np.nonzero(ok)
             stack += [(level - 1, a * FANOUT + int(r), b * FANOUT + int(c)) for r, c in zip(rows, cols, strict=True)]
             continue
@@ -285,13 +340,52 @@ def _joined(points: list[np.ndarray], sizes: np.ndarray, percent: int, label: np
         groups = min(one.shape[1], other.shape[1])
         one, other = one.reshape(len(one), -1, groups).sum(1), other.reshape(len(other), -1, groups).sum(1)
         rows, cols = np.nonzero(ok & ((100 + percent) * np.minimum(one[:, None, :], other[None, :, :]).sum(2) >= needed[:len(i), :len(j)]))
-        for x, y in zip(i[rows].tolist(), j[cols].tolist(), strict=True):
-            if label[x] != label[y] and test(x, y):
-                found.append((x, y))
-                label[label == label[y]] = label[x]
+        _tried(i[rows], j[cols], label, test, found)
+    return found
+
+
+def _tried(one: np.ndarray, other: np.ndarray, label: np.ndarray, test, found: list[tuple[int, int]]) -> None:
+    """Test the pairs whose labels differ; those accepted go to ``found`` and share a label."""
+    for x, y in zip(one.tolist(), other.tolist(), strict=True):
+        if label[x] != label[y] and test(x, y):
+            found.append((x, y))
+            label[label == label[y]] = label[x]
+
+
+def _starred(points: list[np.ndarray], coarse: np.ndarray, sizes: np.ndarray, percent: int, label: np.ndarray, test) -> list[tuple[int, int]]:
+    """Pairs that ``test`` accepts of points with all others, in ``label`` too; up to STARS points connect fewer than FANOUT others each."""
+    found: list[tuple[int, int]] = []
+    few, tried, groups = 0, np.zeros(len(points), dtype=bool), np.asarray([len(p) for p in points])
+    while few < STARS:
+        _, part, members = np.unique(label, return_inverse=True, return_counts=True)
+        alone = np.flatnonzero(~tried & (members[part] == 1))
+        if not len(alone):
+            break
+        x = int(alone[len(alone) // 2])
+        tried[x] = True
+        near = np.flatnonzero((label != label[x]) & ((100 + percent) * np.minimum(coarse, coarse[x]).sum(1, dtype=np.int64) >= percent * (sizes + sizes[x])))
+        before = len(found)
+        for n in np.unique(groups[near]):
+            same = near[groups[near] == n]
+            own = _level([points[x], *[points[y] for y in same]])
+            same = same[(100 + percent) * np.minimum(own[1:], own[0]).sum(1, dtype=np.int64) >= percent * (sizes[same] + sizes[x])]
+            _tried(np.full(len(same), x), same, label, test, found)
+        few += len(found) - before < FANOUT
     return found
 
 
+def _spans(part: np.ndarray, levels: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Least and largest part among the points below each node of the levels; of what only fills a level up, none."""
+    out = []
+    low = high = part
+    for nodes, _, _ in levels:
+        low = np.concatenate((low, np.full(len(nodes) - len(low), 1 << 60)))
+        high = np.concatenate((high, np.full(len(nodes) - len(high), -1)))
+        out.append((low, high))
+        low, high = low.reshape(-1, FANOUT).min(1), high.reshape(-1, FANOUT).max(1)
+    return out
+
+
 def linked(sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Enough verified links (i, j) to connect all sets that links connect; sets with one label count as connected already."""
     sizes = np.asarray([len(s) for s in sets], dtype=np.int64)
@@ -314,11 +408,17 @@ def _pairs(tasks: DataFrame, payload: list[str], find) -> DataFrame:
     names = [c for c in tasks.columns if c not in ("cls", "settled", *payload)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(cls: list[int], settled: list[bool], rows: list[tuple]) -> pa.RecordBatch:
+        found: list[tuple[int, int]] = []
+
+        def links(cls: list[int], settled: list[bool], rows: list[tuple]) -> None:
             labels = np.arange(len(cls))
             labels[np.asarray(settled, dtype=bool)] = len(cls)
-            pairs = find(rows, labels) if len(cls) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([cls[i] for i, _ in pairs], pa.int64()), pa.array([cls[j] for _, j in pairs], pa.int64())], names=["a", "b"])
+            found.extend((cls[i], cls[j]) for i, j in find(rows, labels))
+
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+            found.clear()
+            return out
 
         key, cls, settled, rows = None, [], [], []
         for batch in batches:
@@ -328,14 +428,18 @@ def _pairs(tasks: DataFrame, payload: list[str], find) -> DataFrame:
             for r, task in enumerate(keys):
                 if task != key:
                     if len(cls) > 1:
-                        yield links(cls, settled, rows)
+                        links(cls, settled, rows)
+                    if len(found) > 10_000:
+                        yield sent()
                     key, cls, settled, rows = task, [], [], []
                 if cls and own[r] == cls[-1]:
                     continue
                 cls.append(own[r])
                 settled.append(flags[r])
                 rows.append(tuple(c[r] for c in columns))
-        yield links(cls, settled, rows)
+        if len(cls) > 1:
+            links(cls, settled, rows)
+        yield sent()
 
     return tasks.repartition(*names).sortWithinPartitions(*names, "cls").mapInArrow(run, "a bigint, b bigint")
 
@@ -344,16 +448,16 @@ def _connected(members: DataFrame, payload: list[str], weight: Column, limit: in
     """(a, b) from ``find`` over ``members`` (root, cls, payload...), only members of one root being tried with each other.
 
     Roots whose members weigh up to ``limit`` are one task. Members of larger ones are settled if ``hub_test`` accepts them
-    with the member that is the root; tiles of the others meet each other and the tiles of the settled ones.
+    with the smallest member; tiles of the others meet each other and the tiles of the settled ones.
     """
     own = members.select("root", "cls", *payload)
-    weights = materialize(own.groupBy("root").agg(F.sum(weight).alias("weight")).where(F.col("weight") > limit), "large")
+    weights = materialize(own.groupBy("root").agg(F.sum(weight).alias("weight"), F.min("cls").alias("hub")).where(F.col("weight") > limit), "large")
     pairs = _pairs(own.join(weights, "root", "left_anti").select("root", "cls", F.lit(False).alias("settled"), *payload), payload, find)
     if weights.isEmpty():
         return pairs
-    large = own.join(weights.select("root"), "root", "left_semi")
-    hub = large.where(F.col("cls") == F.col("root")).select("root", *[F.col(c).alias(f"hub_{c}") for c in payload])
-    tried = materialize(large.join(hub, "root").select("root", "cls", *payload, hub_test.alias("settled")), "tried")
+    large = own.join(weights.select("root", "hub"), "root")
+    hub = large.where(F.col("cls") == F.col("hub")).select("root", *[F.col(c).alias(f"hub_{c}") for c in payload])
+    tried = materialize(large.join(hub, "root").select("root", "cls", "hub", *payload, hub_test.alias("settled")), "tried")
     half = F.lit(2 / limit)
     tiles = materialize(tried.groupBy("root").agg(
         F.ceil(F.sum(F.when(~F.col("settled"), weight).otherwise(0)) * half).cast("int").alias("n_open"),
@@ -367,10 +471,40 @@ def _connected(members: DataFrame, payload: list[str], weight: Column, limit: in
     spread = (tried.join(tiles, "root").where(F.col("n_open") > 0)
               .withColumn("task", F.explode(F.when(F.col("settled"), with_open).otherwise(F.concat(among, with_settled))))
               .select("root", F.col("task.kind").alias("kind"), F.col("task.i").alias("i"), F.col("task.j").alias("j"), "cls", "settled", *payload))
-    stars = tried.where(F.col("settled") & (F.col("cls") != F.col("root"))).select(F.col("cls").alias("a"), F.col("root").alias("b"))
+    stars = tried.where(F.col("settled") & (F.col("cls") != F.col("hub"))).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
     return pairs.unionAll(stars).unionAll(_pairs(spread, payload, find))
 
 
+def _clusters(groups: DataFrame) -> DataFrame:
+    """(node, root): what chains of shared keys connect."""
+    return materialize(components(groups.select(F.col("cls").alias("a"), F.col("least").alias("b"))), "met")
+
+
+def _tasks(groups: DataFrame, limit: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(root, cls): who has to meet, root being a cluster of up to ``limit`` classes or the name of a key; and the stages that it reads.
+
+    In a larger cluster each key of up to ``few`` classes is a task. The others, whose classes share many keys and are not to
+    meet in each of them, make new clusters; of these the larger ones are taken apart by more classes a key.
+    """
+    out, stages, few = [], [], FEW
+    while True:
+        met = _clusters(groups)
+        large = materialize(met.groupBy("root").count().where(F.col("count") > limit).select("root"), "chained")
+        stages += [met, large]
+        out.append(met.join(large, "root", "left_anti").select("root", F.col("node").alias("cls")))
+        if large.isEmpty():
+            break
+        chained = groups.join(met.join(large, "root", "left_semi"), F.col("least") == F.col("node"), "left_semi")
+        own = chained.where(F.col("size") <= few) if few < limit else chained
+        out.append(own.select(F.col("name").alias("root"), "cls"))
+        if few >= limit:
+            break
+        groups = materialize(chained.where(F.col("size") > few), "groups")
+        stages.append(groups)
+        few *= 4
+    return reduce(DataFrame.unionAll, out), stages
+
+
 def _point(raw: pa.Scalar, width: pa.Scalar) -> np.ndarray:
     return np.frombuffer(raw.as_py(), dtype=f"<u{width.as_py()}")
 
@@ -429,9 +563,13 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, task_s
     if not 70 <= percent <= 100:
         raise ValueError("percent is from 70 to 100")
     rows = materialize(_classes(docs, n), "classes")
-    met = materialize(components(_meetings(_keys(docs, n, percent, _common(docs, n, rows.count())))), "met")
-    points = rows.join(met.withColumnRenamed("node", "cls"), "cls").select("root", "cls", "n_shingles", "point", "width").dropDuplicates(["cls"])
-    clusters = materialize(components(_bounded(points, percent, task_points)), "clusters")
+    groups = materialize(_groups(_keys(docs, n, percent, _common(docs, n, rows.count()))), "groups")
+    tasks, stages = _tasks(groups, task_points)
+    points = rows.join(tasks.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    members = points.join(tasks, "cls").select("root", "cls", "n_shingles", "point", "width")
+    clusters = materialize(components(_bounded(members, percent, task_points)), "clusters")
+    for stage in (groups, *stages):
+        discard(stage)
     reps = rows.join(clusters.select(F.col("node").alias("cls")), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("_rep"))
     wanted = materialize(reps.select("_rep").distinct(), "wanted")
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
@@ -440,7 +578,7 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80, task_s
     named = rows.select("doc_id", "n_shingles", "cls").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("_c", F.coalesce("root", "cls"))
     least = named.where(F.col("_c").isNotNull()).groupBy("_c").agg(F.min("doc_id").alias("component_id"))
     out = materialize(named.join(least, "_c", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "components")
-    for stage in (rows, met, clusters, wanted, members):
+    for stage in (rows, clusters, wanted, members):
         discard(stage)
     return out
 
