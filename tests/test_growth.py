@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from visiontables.functions import boxes as B
 from visiontables.functions import geometry as G
+from visiontables.functions import pose as P
 from visiontables.operators import match as M
 from visiontables.operators import tracks as T
 from visiontables.streaming import folds
@@ -107,3 +108,27 @@ def test_heat_moves_its_sums_once(spark):
     assert text.count("Exchange hashpartitioning") == 2 and "Join" not in text  # sums by cell, then by image
     best = {r["image_id"]: r["level"] for r in out.groupBy("image_id").agg(F.max("level").alias("level")).collect()}
     assert len(best) == 15 and set(best.values()) == {255}
+
+
+def test_pose_matching_copies_no_poses(spark, monkeypatch):
+    rng = random.Random(5)
+    box = lambda i: (i, rng.randrange(3), rng.randrange(2), rng.random(), x := rng.uniform(0, 200), y := rng.uniform(0, 200), x + rng.uniform(60, 300), y + rng.uniform(60, 300))
+    boxes, truths = [box(i) for i in range(60)], [box(i) for i in range(30)]
+    boxes += [(100 + t[0], *t[1:4], *(v + rng.uniform(-2, 2) for v in t[4:])) for t in truths]
+    ddl = "{} bigint, image_id bigint, cls int, conf double, x1 double, y1 double, x2 double, y2 double"
+    dets, gts = spark.createDataFrame(boxes, ddl.format("det_id")), spark.createDataFrame(truths, ddl.format("gt_id"))
+    joints = lambda p: F.expr(f"transform(sequence(0, 16), j -> named_struct('x', {p}x1 + ({p}x2 - {p}x1) * j / 17, 'y', {p}y1 + ({p}y2 - {p}y1) * (j * 5 % 17) / 17, 'c', CAST(j % 3 AS DOUBLE)))")
+    rows = lambda df: sorted((r["det_id"], r["gt_id"], round(r["overlap"], 9), r["conf"]) for r in df.collect())
+    brute = dets.alias("a").join(gts.alias("b"), ["image_id", "cls"]).select(
+        "det_id", "gt_id", P.oks(joints("b."), joints("a."), F.expr("(b.x2 - b.x1) * (b.y2 - b.y1) * 0.53D")).alias("overlap"), F.col("a.conf").alias("conf"))
+    best = {}
+    for r in rows(brute):
+        if r[2] >= 0.5 and (r[0] not in best or (-r[2], r[1]) < (-best[r[0]][2], best[r[0]][1])):
+            best[r[0]] = r
+    made = M.pose_candidates(dets, gts, joints=(joints, joints))
+    assert "Generate" not in plan(made) and len(best) >= 20
+    assert rows(made) == sorted(best.values())
+    assert rows(M.pose_candidates(dets.withColumn("kpts", joints("")), gts.withColumn("kpts", joints("")))) == sorted(best.values())
+    monkeypatch.setattr(M, "crowds", lambda *_: True)
+    cells = M.pose_candidates(dets, gts, joints=(joints, joints))
+    assert "Generate" in plan(cells) and rows(cells) == sorted(best.values())
